@@ -1,0 +1,17 @@
+"""Registered queries of the engine and the SQL that must agree with them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters by source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
+FLAGSHIP = source_profile
+QUERIES = {"source_profile": source_profile}
+ORACLES = {"source_profile": "SELECT source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source"}
