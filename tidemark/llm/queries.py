@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
@@ -19,5 +25,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_classifier, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op6_quality_classifier, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
