@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import VOCABULARY, encode_decode
+
+    return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_id
 
@@ -31,5 +39,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_quality_classifier, op7_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op6_quality_classifier, op7_quality_rules, op10_simhash)}
 ORACLES: dict[str, str] = {}
