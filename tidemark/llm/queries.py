@@ -21,6 +21,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
@@ -39,5 +45,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op6_quality_classifier, op7_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op6_quality_classifier, op7_quality_rules, op10_simhash)}
 ORACLES: dict[str, str] = {}
