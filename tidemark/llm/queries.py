@@ -39,11 +39,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digests, windows
+
+    said = "</s>[INST] ok [/INST]"
+    added = spark.sql(f"SELECT -1L AS conv_id, stack(2, 0L, 'user', '{said}', 1L, 'assistant', '{said}') AS (turn, role, text)")
+    return digests(windows(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op6_quality_classifier, op7_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op6_quality_classifier, op7_quality_rules, op8_chat_format, op10_simhash)}
 ORACLES: dict[str, str] = {}
+
