@@ -47,12 +47,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(windows(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op6_quality_classifier, op7_quality_rules, op8_chat_format, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash)}
 ORACLES: dict[str, str] = {}
 
