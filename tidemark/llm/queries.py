@@ -27,6 +27,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
@@ -59,6 +65,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op4_toxicity, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash)}
 ORACLES: dict[str, str] = {}
 
