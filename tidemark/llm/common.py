@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,17 +18,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    Only where that is unset (tests, a laptop) a temporary folder takes its place."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only where it names none (tests, a laptop) a temporary one."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again; for tables with whole texts."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remainder(doc_id: Column, of: int) -> Column:
     """crc32 of the id's decimal digits, modulo `of`: the fold of a row (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % of
@@ -41,7 +53,7 @@ def per_text(df: DataFrame, fn: Callable[[list[bytes | None]], dict], schema: st
     """Columns that `fn` makes of a batch of whole texts (UTF-8, or None), beside the columns `keep`.
 
     Only `keep` and `text` are read, so extra or clashing columns of the input don't matter."""
-    kept = df.select(*keep, "text")
+    kept = df.select(*dict.fromkeys([*keep, "text"]))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

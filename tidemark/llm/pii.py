@@ -34,6 +34,8 @@ CANDIDATE = r"(?<![^\s(\[<\"'=:])(?=(?:[^\s0-9]*+[0-9]){5})[^\s(\[<\"'=:,;)\]>]+
 SUPPORT = 5
 CONFIDENCE = 0.9
 ROUNDS = 3
+#: Documents with discovered spans are broadcast up to this many; beyond it Spark shuffles.
+EXTRA_ROWS = 100_000
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 

@@ -33,6 +33,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scores
+
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
@@ -65,6 +71,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op4_toxicity, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op4_toxicity, op5_lm_scoring, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash)}
 ORACLES: dict[str, str] = {}
 
