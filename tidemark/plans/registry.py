@@ -1,17 +1,175 @@
-"""Registered queries of the engine and the SQL that must agree with them."""
+"""Registered queries of the engine and the SQL that must agree with them.
+
+Each SQL query is one definition rendered for Spark and for DuckDB; queries that SQL can't express have no oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidemark.functions import pages as P
+from tidemark.functions import questions as Q
+from tidemark.functions import text as T
+from tidemark.functions.dialect import DUCK, SPARK, Dialect
+from tidemark.operators import retrieval as R
+from tidemark.sources import relations as S
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The result of sql over the tables of sf_dir that it names."""
+    for table in TABLES:
+        if SPARK.table(table) in sql:
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(SPARK.table(table))
+    return spark.sql(sql)
+
+
+def sql_query(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
+    name = build.__name__
+    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, build(SPARK))
+    ORACLES[name] = build(DUCK)
+    return build
 
 
-def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plan_query(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[query.__name__] = query
+    return query
+
+
+@sql_query
+def source_profile(d: Dialect) -> str:
     """Documents and characters by source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+    return f"SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM {d.table('documents')} GROUP BY source"
+
+
+@sql_query
+def text_normalization(d: Dialect) -> str:
+    return f"SELECT id, {T.normalize_whitespace(d, 'text')} AS clean, {T.normalize_heading(d, 'title')} AS heading, {T.normalize_document_text(d, 'text')} AS lines FROM {S.pages(d)} p"
+
+
+@sql_query
+def term_functions(d: Dialect) -> str:
+    return f"SELECT id, {d.join(T.important_terms(d, 'query'), ' ')} AS terms, {T.keyword_focus(d, 'query', 6)} AS focus, {T.strip_question_prefix(d, 'query')} AS stripped, {T.clean_fragment(d, 'query')} AS fragment, {d.join(T.specific_terms(d, 'query'), ' ')} AS specific FROM {S.questions(d)} q"
+
+
+@sql_query
+def constraint_phrases(d: Dialect) -> str:
+    a = f"SELECT id, {T.normalize_whitespace(d, 'query')} AS q FROM {S.questions(d)} s"
+    b = f"SELECT id, {T.constraint_phrases(d, 'q')} AS phrases, {T.strip_question_prefix(d, 'q')} AS stripped FROM a"
+    return f"WITH a AS ({a}), b AS ({b}) SELECT id, {d.join('phrases', '|')} AS phrases, {d.join(Q.clauses(d, 'stripped', 'phrases'), '|')} AS clauses FROM b"
+
+
+@sql_query
+def url_functions(d: Dialect) -> str:
+    return f"SELECT id, {T.canonicalize_url(d, 'url')} AS canonical_url, {T.extract_source(d, 'url')} AS source, CAST({T.domain_reliability(d, 'url')} AS DOUBLE) AS reliability, CAST({T.document_type(d, 'url', 'title', 'text')} AS DOUBLE) AS type_score FROM {S.pages(d)} p"
+
+
+@sql_query
+def identifier_functions(d: Dialect) -> str:
+    return f"SELECT id, {d.join(T.doi_candidates(d, 'text'), ' ')} AS dois, {T.contains_primary_doi(d, 'url', 'title', 'text')} AS has_primary_doi, {d.join(T.years(d, 'text'), ' ')} AS years, {T.looks_like_reference(d, 'text')} AS is_reference FROM {S.pages(d)} p"
+
+
+@sql_query
+def name_functions(d: Dialect) -> str:
+    return f"SELECT id, {d.join(T.capitalized_entities(d, 'title'), '|')} AS entities, {d.join(T.person_names(d, 'left(text, 1600)'), '|')} AS people, {T.plausible_person_name(d, 'title')} AS title_is_person, {d.join(T.author_names(d, 'left(text, 1600)'), '|')} AS authors, {d.join(T.institutions(d, 'left(text, 1600)'), '|')} AS institutions FROM {S.pages(d)} p"
+
+
+@sql_query
+def sentence_split(d: Dialect) -> str:
+    return f"SELECT id, {d.size(T.sentences(d, 'text'))} AS n_sentences, {d.join(d.head(T.sentences(d, 'text'), 2), '|')} AS first_two FROM {S.pages(d)} p"
+
+
+PREDICATES = ("broad_overview", "non_english_wiki", "wiki_meta", "listing", "forum", "social", "recipe", "monument", "media_topic", "event_topic")
+
+
+@sql_query
+def page_predicates(d: Dialect) -> str:
+    return f"SELECT id, {', '.join(PREDICATES)} FROM {P.features(d, S.pages(d))} f"
+
+
+@sql_query
+def page_scores(d: Dialect) -> str:
+    return f"SELECT id, round(event_score, 9) AS event_score, event_score >= 0.28 AS looks_like_event, round(media_score, 9) AS media_score, media_score >= 0.32 AS looks_like_media FROM {P.features(d, S.pages(d))} f"
+
+
+@sql_query
+def title_phrases(d: Dialect) -> str:
+    return f"SELECT id, title_phrase FROM {P.title_phrases(d, S.pages(d))} t"
+
+
+@sql_query
+def query_intent(d: Dialect) -> str:
+    return f"SELECT id, answer_type, {', '.join(Q.FLAGS)}, {Q.signals(d)} AS signals, {Q.media_type(d, 'q', 'is_media_query')} AS media_type FROM {Q.intent(d, S.questions(d))} i"
+
+
+@sql_query
+def query_constraints(d: Dialect) -> str:
+    return f"SELECT id, author_count, sample_min, sample_max, sample_terms, publication_year, publication_month, reference_year_min, reference_year_max, institution_year_min, institution_year_max FROM {Q.constraints(d, S.questions(d))} c"
+
+
+@sql_query
+def query_plan(d: Dialect) -> str:
+    return f"SELECT id, mode, use_decomposition, use_follow_up, max_results_per_clue, max_iterations FROM {Q.plans(d, S.questions(d))} g"
+
+
+@sql_query
+def query_page_overlap(d: Dialect) -> str:
+    """Specificity and shared years of invented questions and every page, joined by a question number."""
+    questions = d.rows("v", ("qid", "query"), [(k, q) for k, q in enumerate(S.QUESTIONS)])
+    joined = f"SELECT p.id, q.qid, {T.specific_terms(d, 'q.query')} AS terms, {T.years(d, 'q.query')} AS asked_years, {T.years(d, 'p.text')} AS own_years, lower({T.normalize_whitespace(d, 'left(p.text, 2000)')}) AS clean FROM {S.pages(d)} p JOIN {questions} q ON q.qid = abs(p.id) % {len(S.QUESTIONS)}"
+    termed = f"SELECT *, {T.important_terms(d, 'clean')} AS own FROM ({joined}) j"
+    return f"SELECT id, qid, round(CAST({T.specificity_overlap(d, 'terms', 'own', 'clean')} AS DOUBLE), 9) AS specificity, {T.share_an_item(d, 'asked_years', 'own_years')} AS same_year FROM ({termed}) k"
+
+
+@sql_query
+def seen_hits(d: Dialect) -> str:
+    """What the memory of search hits admits: the first hit of each canonical URL."""
+    return f"SELECT query_id, pos, k AS url_key FROM {R.first_by_key(d, S.hits(d), R.url_key(d))} f"
+
+
+@sql_query
+def merged_documents(d: Dialect) -> str:
+    return R.merged_documents(d, S.hits(d))
+
+
+@sql_query
+def normalized_scores(d: Dialect) -> str:
+    return f"SELECT query_id, pos, round(normalized, 9) AS normalized FROM ({R.normalized_scores(d, S.hits(d))}) n"
+
+
+@sql_query
+def provider_rank_scores(d: Dialect) -> str:
+    return R.rank_scores(d, S.hits(d))
+
+
+@sql_query
+def frontier_batch(d: Dialect) -> str:
+    tasks = f"(SELECT query_id, pos AS seq, CASE WHEN pos % 3 = 0 THEN 'search' ELSE 'fetch' END AS kind, retrieval_score AS priority FROM {S.hits(d)} h)"
+    return R.frontier(d, tasks, 4, "fetch")
+
+
+@sql_query
+def evidence_graph_summary(d: Dialect) -> str:
+    return R.evidence_graph(d, f"(SELECT query_id, url, 'entity' AS kind, clue AS value FROM {S.hits(d)} h UNION ALL SELECT query_id, url, 'fact', title FROM {S.hits(d)} i WHERE title <> '')")
+
+
+@sql_query
+def context_block(d: Dialect) -> str:
+    return R.context_block(d, f"(SELECT query_id, pos, title, url, left({T.normalize_whitespace(d, 'content')}, 80) AS snippet, retrieval_score AS score FROM {S.hits(d)} h WHERE pos < 1000000)")
+
+
+@sql_query
+def evaluation_records(d: Dialect) -> str:
+    return f"SELECT * FROM {R.records(d, S.evaluation(d))} r"
+
+
+@sql_query
+def evaluation_metrics(d: Dialect) -> str:
+    return R.metrics(d, S.evaluation(d))
 
 
-FLAGSHIP = source_profile
-QUERIES = {"source_profile": source_profile}
-ORACLES = {"source_profile": "SELECT source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source"}
+FLAGSHIP = QUERIES["evaluation_metrics"]
