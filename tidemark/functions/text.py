@@ -63,8 +63,8 @@ def specific_terms(d: Dialect, x: str) -> str:
     kept = d.distinct(d.filter(important_terms(d, f"lower({x})"), lambda t: f"length({t}) >= 4 AND NOT {d.is_in(t, L.BROWSECOMP_LOW_SIGNAL_TERMS)}", "s"))
     if d.spark:
         return f"array_sort({kept}, (la, lb) -> CASE WHEN length(la) <> length(lb) THEN length(lb) - length(la) ELSE CAST(array_position({kept}, la) - array_position({kept}, lb) AS INT) END)"
-    keyed = f"list_sort(list_transform({kept}, lambda p, i: {{'n': -length(p), 'i': i, 't': p}}))"
-    return f"list_transform({keyed}, lambda p: p['t'])"
+    keyed = f"list_sort(list_transform({kept}, lambda la, li: {{'n': -length(la), 'i': li, 't': la}}))"
+    return f"list_transform({keyed}, lambda la: la['t'])"
 
 
 def exact_phrase(d: Dialect, x: str, phrase: str) -> str:
