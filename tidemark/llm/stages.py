@@ -18,12 +18,16 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang and n_chars of docs beside whole rows in `_row`, so that no other column can clash."""
+    return docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "n_chars")
+
+
 def in_a_language(docs: DataFrame) -> DataFrame:
     """Drops documents without a language (`und`); fills in a missing lang."""
-    columns = docs.columns
-    found = language_id.identify(docs, language_id.fit(docs), tuple(columns))
-    kept = found.where(F.col("lang_pred") != "und").withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return kept.select(columns)
+    found = language_id.identify(packed(docs), language_id.fit(docs), ("_row",))
+    lang = F.coalesce("_row.lang", "lang_pred")
+    return found.where(F.col("lang_pred") != "und").select(F.col("_row").withField("lang", lang).alias("_row")).select("_row.*")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -39,11 +43,11 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the new text."""
-    columns = docs.columns
+    docs = packed(docs)
     narrow = staged(pii.base_spans(docs))
     extra = size_checked(staged(pii.discovered(pii.instances(narrow)).toDF("_doc_id", "_h", "extra")), pii.EXTRA_ROWS)
-    text = F.coalesce("text", F.lit(""))
-    rows = pii.base_spans(docs, tuple(columns)).join(extra, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")), "left")
+    rows = pii.base_spans(docs, ("_row", "doc_id", "text", "n_chars")).join(extra, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")), "left")
     rows = rows.withColumn("extra", F.coalesce("extra", F.array().cast(pii.SPAN))).withColumn("_spans", pii.all_spans())
-    clean = rows.withColumn("text", F.when(F.col("text").isNull(), None).otherwise(pii.redacted(text, F.col("_spans"))))
-    return clean.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(columns)
+    rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("_spans"))))
+    size = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select(F.col("_row").withField("text", F.col("text")).withField("n_chars", size).alias("_row")).select("_row.*")
