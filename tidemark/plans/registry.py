@@ -173,3 +173,101 @@ def evaluation_metrics(d: Dialect) -> str:
 
 
 FLAGSHIP = QUERIES["evaluation_metrics"]
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, f"SELECT id, url, title, text FROM {S.pages(SPARK)} p")
+
+
+def _question_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of invented questions: pages dealt to questions by number, with clues and scores."""
+    sql = f"""SELECT abs(id) % {len(S.QUESTIONS)} AS query_id, CAST(id + 1000 AS INT) AS pos, url, title, text AS content, {T.extract_source(SPARK, 'url')} AS source, CAST(abs(id) % 7 AS DOUBLE) / 7 AS retrieval_score,
+      array(concat('clue ', abs(id) % 3)) AS matched_clues FROM {S.pages(SPARK)} p"""
+    asked = SPARK.rows("v", ("query_id", "query"), list(enumerate(S.QUESTIONS)))
+    return run_sql(spark, sf_dir, f"SELECT d.*, a.query FROM ({sql}) d JOIN {asked} a ON a.query_id = d.query_id")
+
+
+@plan_query
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.sources.html import parse_pages
+
+    return parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@plan_query
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The link graph of the pages: absolute targets with their canonical form."""
+    links = parsed_pages(spark, sf_dir).selectExpr("id", "url", "explode(links) AS link")
+    return links.selectExpr("id", "url", "link.text AS link_text", "link.url AS link_url", f"{T.canonicalize_url(SPARK, 'link.url')} AS target")
+
+
+@plan_query
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query-aware PageRank of the documents of each question, eight at most to a request."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.pagerank import pagerank_rerank
+
+    docs = _question_documents(spark, sf_dir)
+    request = (F.col("query_id") * 1000000 + F.floor(F.col("pos") / 120)).cast("long")
+    return pagerank_rerank(docs.select(request.alias("request_id"), "pos", F.lit(None).cast("string").alias("id"), "query", "title", F.left("content", F.lit(600)).alias("content"), F.col("retrieval_score").alias("prior")))
+
+
+@plan_query
+def deduplicated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.documents import deduplicate
+
+    docs = _question_documents(spark, sf_dir).withColumn("content", F.left("content", F.lit(600)))
+    return deduplicate(docs.withColumn("query_id", F.col("query_id") * 1000000 + F.floor(F.col("pos") / 200)))
+
+
+@plan_query
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.documents import near_duplicate_pairs as pairs
+
+    return pairs(_question_documents(spark, sf_dir))
+
+
+@plan_query
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.documents import ranked
+
+    return ranked(_question_documents(spark, sf_dir)).select("query_id", "pos", "url", "lexical", "rank_score", "rank")
+
+
+@plan_query
+def evidence_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.documents import evidence, ranked
+
+    return evidence(ranked(_question_documents(spark, sf_dir)).where("rank <= 6"))
+
+
+@plan_query
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.documents import sections, thanked_people
+
+    docs = _question_documents(spark, sf_dir)
+    return sections(docs).select("query_id", "pos", "acknowledgements", "references", thanked_people("content").alias("thanked"))
+
+
+@plan_query
+def constraint_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.documents import assess_constraints
+
+    asked = run_sql(spark, sf_dir, f"SELECT * FROM {Q.constraints(SPARK, '(SELECT query_id AS id, query FROM ' + SPARK.rows('v', ('query_id', 'query'), list(enumerate(S.QUESTIONS))) + ' w)')} c")
+    docs = _question_documents(spark, sf_dir).drop("query")
+    rows = docs.join(F.broadcast(asked), docs["query_id"] == asked["id"]).withColumns({"reference_text": F.lit(""), "authors": F.array().cast("array<string>"), "published_date": F.lit("")})
+    return assess_constraints(rows).select("query_id", "pos", "score", "matched", "missing", "contradicted")
+
+
+@plan_query
+def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offline search: the five best documents for each benchmark item by shared terms."""
+    from tidemark.sources.search import corpus_search as search
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS doc_key", "CAST(NULL AS string) AS url", "'' AS title", "text")
+    return search(spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id AS query_id", "text AS clue"), docs).drop("text")
