@@ -15,7 +15,7 @@ STATE = "until double, reason string"
 def provider_cooldowns(calls: DataFrame, quota_seconds: float = 3600, failure_seconds: float = 300) -> DataFrame:
     """For each call (provider, at, outcome: ok, failure or quota): whether its provider was resting when it was made.
 
-    Works on a stream (state per provider, given up after a day of silence) and reads calls of a batch in time order."""
+    State is kept by provider and given up after a day of event time without a call; calls of a batch are read in time order."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,7 +33,7 @@ def provider_cooldowns(calls: DataFrame, quota_seconds: float = 3600, failure_se
             if r.outcome in ("quota", "failure"):
                 until, reason = now + (quota_seconds if r.outcome == "quota" else failure_seconds), "quota_exhausted" if r.outcome == "quota" else "provider_failure"
         state.update((until, reason))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + 86_400_000)
         yield pd.DataFrame(out, columns=["provider", "at", "outcome", "resting", "reason"])
 
-    return calls.select("provider", "at", "outcome").groupBy("provider").applyInPandasWithState(step, OUT, STATE, "append", "ProcessingTimeTimeout")
+    return calls.select("provider", "at", "outcome").withWatermark("at", "1 hour").groupBy("provider").applyInPandasWithState(step, OUT, STATE, "append", "EventTimeTimeout")
