@@ -22,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import texts
+from .common import small_batches, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REMEMBER = 350_000
+REMEMBER = 200_000
 LONG = 1000
-CHUNK = 3_000_000
+CHUNK = 1_000_000
+#: Words of one recursive query; it holds the rows of all its steps until it ends.
+WORDS = 20_000
 # The code points with the White_Space property.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -147,7 +149,7 @@ class Coder:
                 if a is not None and b is not None:
                     pairs.append(a * 65536 + b)
                     merged.append(rank * 1048576)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         for name, table in (
             ("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "r": pa.array(merged, pa.int64())})),
             ("vocabulary", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "s": pa.array([x.decode("latin-1") for x in ranks], pa.string())})),
@@ -168,8 +170,8 @@ class Coder:
                 out[k] = np.array(contract(word, self.ranks), np.int32).tobytes()
             elif word:
                 rows.append(k)
-        for at in range(0, len(rows), 60_000):
-            part = rows[at : at + 60_000]
+        for at in range(0, len(rows), WORDS):
+            part = rows[at : at + WORDS]
             size = np.array([len(words[k]) for k in part])
             owner = np.repeat(np.arange(len(part), dtype=np.int32), size)
             place = (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
@@ -240,7 +242,7 @@ def encode_decode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tok
     loaded = load_ranks(path)
     key, ranks = hash(tuple(sorted(loaded.items()))), spark.sparkContext.broadcast(loaded)
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "ids_sha256": ("string", pa.string()), "decoded": ("binary", pa.binary()), "decoded_sha256": ("string", pa.string())}
-    kept = docs.select(*keep, "text")
+    kept = small_batches(docs).select(*keep, "text")
 
     def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         size = np.cumsum(np.array([len(t or b"") for t in texts(batch)], np.int64)) // CHUNK

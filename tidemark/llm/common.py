@@ -49,11 +49,19 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after the session's Arrow batches are held to `rows`: whole texts in batches of 10000 fill a worker's memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def per_text(df: DataFrame, fn: Callable[[list[bytes | None]], dict], schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns that `fn` makes of a batch of whole texts (UTF-8, or None), beside the columns `keep`.
 
     Only `keep` and `text` are read, so extra or clashing columns of the input don't matter."""
-    kept = df.select(*dict.fromkeys([*keep, "text"]))
+    kept = small_batches(df).select(*dict.fromkeys([*keep, "text"]))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, remainder, texts
+from .common import per_text, remainder, small_batches, texts
 
 WIDTH = 2048
 PER_LANGUAGE = 800
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | No
             got = [(t, z) for t, z in zip(texts(b), b.column(1).to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([features(t).astype(np.float16).tobytes() for t, _ in got], pa.binary()), pa.array([z for _, z in got], pa.string())], ["x", "lang"])
 
-    table = rows.where(draw < rate).select("text", "lang").mapInArrow(made, "x binary, lang string").toArrow()
+    table = small_batches(rows).where(draw < rate).select("text", "lang").mapInArrow(made, "x binary, lang string").toArrow()
     if not table.num_rows:
         return None
     order = np.argsort(np.array([x + z.encode() for x, z in zip(table["x"].to_pylist(), table["lang"].to_pylist())], object), kind="stable")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, remainder, texts
+from .common import per_text, remainder, small_batches, texts
 from .quality_classifier import isotonic
 
 PER_CLASS = 2000
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     kind = labels.schema["doc_id"].dataType.simpleString()
     # chosen has about 2 * per_class rows at any size of the corpus
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "y", "text").mapInArrow(counted, f"of {kind}, y int, terms binary, counts array<int>").toArrow().sort_by([("of", "ascending"), ("y", "ascending"), ("terms", "ascending")])
+    sample = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "y", "text").mapInArrow(counted, f"of {kind}, y int, terms binary, counts array<int>").toArrow().sort_by([("of", "ascending"), ("y", "ascending"), ("terms", "ascending")])
     counts = [Counter(dict(zip(t.split(), c))) for t, c in zip(sample["terms"].to_pylist(), sample["counts"].to_pylist())]
     y = np.array(sample["y"].to_pylist(), int)
     if len(set(y.tolist())) < 2:
