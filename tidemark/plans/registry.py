@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions import answers as A
 from tidemark.functions import pages as P
 from tidemark.functions import questions as Q
 from tidemark.functions import text as T
@@ -172,6 +173,28 @@ def evaluation_metrics(d: Dialect) -> str:
     return R.metrics(d, S.evaluation(d))
 
 
+@sql_query
+def winner_evidence(d: Dialect) -> str:
+    return f"SELECT id, round(winner_score, 9) AS winner_score, winner_score >= 0.38 AS has_winner FROM {A.winner_evidence(d, S.pages(d))} w"
+
+
+@sql_query
+def year_questions(d: Dialect) -> str:
+    return f"SELECT * FROM {A.year_questions(d, S.questions(d))} y"
+
+
+@sql_query
+def construction_years(d: Dialect) -> str:
+    return f"SELECT id, {d.join(A.construction_years(d, 'lower(text)'), ' ')} AS built FROM {S.pages(d)} p"
+
+
+@sql_query
+def link_scores(d: Dialect) -> str:
+    """Page titles as link texts, judged for an invented question."""
+    relation = f"(SELECT p.id, p.url, p.title, '' AS text, {T.specific_terms(d, d.lit(S.QUESTIONS[2]))} AS terms FROM {S.pages(d)} p)"
+    return f"SELECT id, round(link_score, 9) AS link_score FROM {A.link_scores(d, relation)} l"
+
+
 FLAGSHIP = QUERIES["evaluation_metrics"]
 
 
@@ -271,3 +294,19 @@ def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS doc_key", "CAST(NULL AS string) AS url", "'' AS title", "text")
     return search(spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id AS query_id", "text AS clue"), docs).drop("text")
+
+
+@plan_query
+def question_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.plans.clues import question_clues as clues
+
+    return clues(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q"))
+
+
+@plan_query
+def research_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops of search over the documents for every benchmark item, and the best five snippets of each."""
+    from tidemark.plans.research import research
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS doc_key", "CAST(NULL AS string) AS url", "'' AS title", "text")
+    return research(spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id AS query_id", "text AS query"), docs)
