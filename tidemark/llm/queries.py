@@ -72,5 +72,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op4_toxicity, op5_lm_scoring, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash)}
-ORACLES: dict[str, str] = {}
-
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+tok AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d)),
+gram AS (SELECT rid, p, w || ' ' || lead(w, 1) OVER x || ' ' || lead(w, 2) OVER x || ' ' || lead(w, 3) OVER x || ' ' || lead(w, 4) OVER x AS g FROM tok WINDOW x AS (PARTITION BY rid ORDER BY p)),
+again AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS c FROM gram WHERE g IS NOT NULL) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2, p + 3, p + 4]) AS q FROM again) GROUP BY rid),
+line AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+size AS (SELECT rid, count(*) AS n FROM tok GROUP BY rid),
+f AS (SELECT doc_id, source, coalesce(size.n, 0) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN size USING (rid) LEFT JOIN line USING (rid) LEFT JOIN covered USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+r AS (SELECT *, base_failed OR 10 * n_symbols > 3 * n_words OR n_dup_lines > 3 OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS failed FROM b),
+h AS (SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS k FROM r WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT least(greatest(coalesce(sum(k) / sum(n), 0.5), 0.001), 0.999) AS mean, coalesce(var_pop(k / n), 0.0) AS v FROM h),
+s AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(v, 0.000001) - 1, 1.0), 10000.0) AS strength FROM m),
+p AS (SELECT source, n + strength AS size, (k + mean * strength) / (n + strength) AS rate FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(rate - 2.0 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5, false) AS kept
+FROM r LEFT JOIN p USING (source)""",
+    "op8_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM c),
+t AS (SELECT *, n = 1 AND role = 'system' AS system, CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE len(regexp_split_to_array(text, '[\t\n\x0B\f\r ]+')) + 4 END AS tokens,
+  length('<|turn|>' || regexp_replace(role, '([<\[])(~*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2~\3', 'g') || '<|text|>' || regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2~\3', 'g') || '<|end|>') AS size FROM n),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY n) AS till FROM t),
+b AS (SELECT *, till - tokens AS since, dense_rank() OVER (PARTITION BY conv_id ORDER BY floor(greatest(till - 1, 0) / 768)) AS win FROM u),
+f AS (SELECT conv_id, win, min(since) AS first FROM b GROUP BY conv_id, win),
+shown AS (SELECT b.conv_id, b.size FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND (b.system OR f.win = b.win OR (f.win BETWEEN b.win + 1 AND b.win + 3 AND f.first - b.since <= 256))),
+chars AS (SELECT conv_id, CAST(sum(size) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS said, coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS loss FROM n GROUP BY conv_id)
+SELECT d.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM d JOIN chars ON chars.conv_id IS NOT DISTINCT FROM d.conv_id""",
+}
