@@ -214,3 +214,18 @@ def test_cooldown_stream(spark, tmp_path):
     assert query.awaitTermination(60)
     got = {(r["provider"], r["at"].timestamp() - at(0).timestamp()): r["resting"] for r in spark.sql("SELECT * FROM cooled").collect()}
     assert sorted(got.values()) == [False, False, False, True, True]
+
+
+def test_sinks_and_samples(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    df = spark.createDataFrame([("", "e", "s", 0.5), ("42", "e", "s", 0.9)], "a string, e string, s string, c double")
+    made = df.select(sinks.response(F.col("a"), F.col("e"), F.col("s"), F.col("c"), F.array("s")).alias("v"))
+    assert [r["v"] for r in made.collect()] == ['{"evidence":"e","source":"s","confidence":0.5,"sources":["s"]}', '{"answer":"42","evidence":"e","source":"s","confidence":0.9,"sources":["s"]}']
+    paths = sinks.save_both(df, made, str(tmp_path), "now")
+    assert spark.read.json(paths["raw"]).count() == 2
+    (tmp_path / "q.csv").write_text('Problem,ANSWER\n"a, b",1\nc,2\n')
+    got = sinks.sampled_questions(spark, f"{tmp_path}/q.csv", 5).collect()
+    assert sorted((r["problem"], r["answer"], r["url"]) for r in got) == [("a, b", "1", ""), ("c", "2", "")]
+    cells = [(0, "x")] + [(2, f" {c} ") for c in sinks.HEADER_CELLS] + [(3, c) for c in sinks.HEADER_CELLS]
+    assert sinks.header_row(spark.createDataFrame(cells, "row int, value string")) == 2

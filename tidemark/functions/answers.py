@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import lexicons as L
 from . import pages as P
+from . import questions as Q
 from . import text as T
 from .dialect import Dialect
 
@@ -81,3 +82,28 @@ def link_scores(d: Dialect, relation: str) -> str:
     score = f"0.18 + CASE WHEN {n} <= 6 THEN 0.12 ELSE 0.0 END + CASE WHEN {d.size(T.capitalized_entities(d, 'clean_title'))} > 0 THEN 0.12 ELSE 0.0 END + CASE WHEN {d.matches('clean_title', '[A-Z][a-z]+')} THEN 0.07 ELSE 0.0 END"
     score += f" + 0.28 * media_score + 0.22 * ({T.specificity_overlap(d, 'terms', 'own', 'own_text')}) - CASE WHEN {d.any_in('lower(clean_title)', LINK_PENALTIES)} THEN 0.4 ELSE 0.0 END - CASE WHEN {n} = 1 AND length({d.at('tokens', 1)}) < 5 THEN 0.08 ELSE 0.0 END"
     return f"(WITH l1 AS ({a}) SELECT id, CASE WHEN {reject} THEN CAST(0 AS DOUBLE) ELSE CAST(greatest(0.0, least(1.0, {score})) AS DOUBLE) END AS link_score FROM l1)"
+
+
+def anchor_groups(d: Dialect, relation: str) -> str:
+    """relation (id, query) as rows (id, place, terms): up to four specific terms of each sentence, of each clause if there are fewer than two such groups; six groups at most."""
+    a = f"SELECT r.id, {T.normalize_whitespace(d, 'query')} AS nq FROM {relation} r"
+    b = f"SELECT id, nq, {T.sentences(d, 'nq')} AS parts, {T.constraint_phrases(d, 'nq')} AS phrases, {T.strip_question_prefix(d, 'nq')} AS stripped FROM a1"
+    c = f"SELECT id, parts, {Q.clauses(d, 'stripped', 'phrases')} AS clauses FROM a2"
+    if d.spark:
+        rows = lambda column: f"SELECT id, place, part FROM a3 LATERAL VIEW posexplode({column}) v AS place, part"
+    else:
+        rows = lambda column: f"SELECT id, generate_subscripts({column}, 1) - 1 AS place, unnest({column}) AS part FROM a3"
+    termed = lambda column, base: f"SELECT id, {base} + min(place) AS place, terms FROM (SELECT id, place, {d.join(d.head(T.specific_terms(d, 'part'), 4), ' ')} AS terms FROM ({rows(column)}) g) h WHERE terms <> '' GROUP BY id, terms"
+    own = "SELECT id, count(*) AS n FROM a4 GROUP BY id"
+    more = "SELECT a5.* FROM a5 LEFT JOIN a6 ON a6.id = a5.id LEFT JOIN a4 ON a4.id = a5.id AND a4.terms = a5.terms WHERE coalesce(a6.n, 0) < 2 AND a4.id IS NULL"
+    every = f"SELECT id, place, terms, row_number() OVER (PARTITION BY id ORDER BY place) AS nth FROM (SELECT * FROM a4 UNION ALL {more}) u"
+    return f"(WITH a1 AS ({a}), a2 AS ({b}), a3 AS ({c}), a4 AS ({termed('parts', 0)}), a5 AS ({termed('clauses', 1000000)}), a6 AS ({own}) SELECT id, CAST(nth AS INT) AS nth, terms FROM ({every}) e WHERE nth <= 6)"
+
+
+def first_answers(d: Dialect, documents: str) -> str:
+    """The first document of each question (query_id, place, id, title, text) that names a title, and an institution."""
+    titled = P.title_phrases(d, documents)
+    place = d.at(T.institutions(d, "left(text, 3000)"), 1)
+    rows = f"SELECT query_id, place, title_phrase, coalesce({place}, '') AS institution FROM {titled} t"
+    best = lambda column: f"SELECT query_id, {column} AS answer FROM (SELECT query_id, {column}, row_number() OVER (PARTITION BY query_id ORDER BY place) AS nth FROM f1 WHERE {column} <> '') x WHERE nth = 1"
+    return f"(WITH f1 AS ({rows}) SELECT query_id, 'title' AS answer_type, answer, 0.58e0 AS confidence FROM ({best('title_phrase')}) a UNION ALL SELECT query_id, 'institution', answer, 0.56e0 FROM ({best('institution')}) b)"

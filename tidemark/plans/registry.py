@@ -195,6 +195,23 @@ def link_scores(d: Dialect) -> str:
     return f"SELECT id, round(link_score, 9) AS link_score FROM {A.link_scores(d, relation)} l"
 
 
+@sql_query
+def anchor_groups(d: Dialect) -> str:
+    return f"SELECT id, nth, terms FROM {A.anchor_groups(d, S.questions(d))} a"
+
+
+@sql_query
+def first_answers(d: Dialect) -> str:
+    documents = f"(SELECT abs(p.id) % 20 AS query_id, p.id AS place, p.id, p.title, p.text FROM {S.pages(d)} p)"
+    return f"SELECT * FROM {A.first_answers(d, documents)} f"
+
+
+@sql_query
+def result_summary(d: Dialect) -> str:
+    """How many results there are, their mean title and text lengths, and how many have text."""
+    return f"SELECT count(*) AS n_results, round(avg(length(title)), 6) AS title_length, round(avg(length(text)), 6) AS text_length, CAST(sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_with_text FROM {S.pages(d)} p"
+
+
 FLAGSHIP = QUERIES["evaluation_metrics"]
 
 
