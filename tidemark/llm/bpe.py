@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import small_batches, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REMEMBER = 200_000
+REMEMBER = 150_000
 LONG = 1000
-CHUNK = 1_000_000
+CHUNK = 600_000
 #: Words of one recursive query; it holds the rows of all its steps until it ends.
 WORDS = 20_000
 # The code points with the White_Space property.
