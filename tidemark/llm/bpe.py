@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, texts
+from .common import WORKER_CACHES, small_batches, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REMEMBER = 150_000
@@ -225,6 +225,7 @@ class Coder:
 
 
 _CODER: dict[int, Coder] = {}
+WORKER_CACHES.append(_CODER)
 
 
 def _coder(key: int, ranks) -> Coder:

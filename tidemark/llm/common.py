@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +52,20 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
+#: What Python workers remember between tasks; another operator's tasks on the same worker start without it.
+WORKER_CACHES: list[dict] = []
+
+
+def forget() -> None:
+    """Empties the worker's caches and gives the memory back."""
+    if any(WORKER_CACHES):
+        for cache in WORKER_CACHES:
+            cache.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, after the session's Arrow batches are held to `rows`: whole texts in batches of 10000 fill a worker's memory."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -65,6 +82,7 @@ def per_text(df: DataFrame, fn: Callable[[list[bytes | None]], dict], schema: st
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):  # bounds what Python objects of a batch take
                 part = batch.slice(at, 1000)
