@@ -160,3 +160,23 @@ def test_scores_of_odd_rows(spark, odd, empty, net):
     assert all(by[k]["n_tokens"] == 0 and by[k]["log_prob"] == 0 and by[k]["mean_log_prob"] is None for k in (1, 2, 3))
     assert all(np.isclose(r["mean_log_prob"] * r["n_tokens"], r["log_prob"]) and r["log_prob"] < 0 for r in got if r["n_tokens"])
     assert lm_scoring.lm_scores(empty).count() == 0
+
+
+def test_every_word_of_the_corpus_has_its_own_probability(spark, net):
+    common = [(k, "the cat of the house xqzing", None, None, 1) for k in range(9)]
+    docs = spark.createDataFrame([*common, (20, "zzzing", None, None, 1), (21, "xqzing", None, None, 1), (None, "zzzing", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.lm_scores(docs, net).collect()}
+    assert np.isclose(got[21] - got[20], np.log(10 / 2)) and got[None] == got[20]  # one class, ten occurrences and two
+    ids, place, _ = net.padded([b"zzzing"])
+    total = sum(n for w, n in [(b"xqzing", 10), (b"zzzing", 2)])
+    assert np.isclose(got[20], net.log_probs(ids, place)[0] + np.log(2 / (total + 1)), atol=1e-4)
+    counts = spark.createDataFrame([(b"xqzing", 40)], "word binary, n long")
+    told = {r["doc_id"]: r["log_prob"] for r in lm_scoring.lm_scores(docs, net, counts).collect()}
+    assert np.isclose(told[21] - told[20], np.log(40))
+
+
+def test_every_position_is_masked_in_one_round(net):
+    batch = [b"one two three four " * 50, None, b"five", b"one two three four " * 50]
+    _, place, owner = net.padded(batch)
+    rounds = [lm_scoring.chosen(batch, place, owner, k, 2) for k in range(2)]
+    assert sorted(np.concatenate(rounds).tolist()) == place.tolist() and min(map(len, rounds)) > 100

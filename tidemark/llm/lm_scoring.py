@@ -1,13 +1,15 @@
 """LM scoring by masked pseudo-likelihood.
 
-Word counts over all documents choose the vocabulary; words outside it fall into classes by the hash of their ending.
-A bidirectional window network (numpy) predicts every token from two tokens on both sides. It is trained in rounds:
-each partition starts from the shared weights, takes gradient steps at masked positions of all its texts, and the
-partitions' weights are averaged by the positions they trained on. A document's score is the sum of the logarithms
-of the probabilities of its tokens, each given its neighbours.
+Every word has a class: the most frequent words have one each, the others share classes by the hash of their ending.
+A bidirectional window network (numpy) predicts every token's class from two tokens on both sides. It is trained in
+rounds: each partition starts from the shared weights, takes gradient steps at the round's positions of all its texts,
+and the partitions' weights are averaged by the positions they trained on; over the rounds every position is masked
+once. A token's probability is that of its class given its neighbours, times that of the word in its class, which
+follows the counts of all words of the corpus. A document's score is the sum of the logarithms of these.
 
-Only counts of the vocabulary's words and one set of weights reach the driver. Masks follow the text and the round,
-so a lost task trains again as before.
+The counts grow with the corpus and stay distributed: words meet their counts in a shuffle. Only the most frequent
+words' counts, the classes' sums and one set of weights reach the driver. Masks follow the text, so a lost task
+trains again as before.
 
 Defined cases: a null, empty or blank text has no tokens, log_prob 0 and a null mean; repeated rows are scored one by
 one; an empty table gives an empty result; other columns of the input are ignored."""
@@ -20,20 +22,22 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_text, small_batches, texts
+from .common import forget, small_batches, texts
 
 WORDS = 192
 ENDINGS = 64
 SIDE = 2
 HIDDEN = 32
-MASKED = 0.1
 ROUNDS = 2
 BATCH = 256
 #: Word counts that a task holds before it passes them on.
 HELD = 200_000
+#: Different words and documents of one chunk of scored documents.
+CHUNK = 100_000
 CLASSES = WORDS + ENDINGS
 
 
@@ -116,13 +120,16 @@ class Network:
             p[np.arange(len(at)), ids[at]] -= 1
             p /= len(at)
             back = (p @ self.weights[1].T) * (1 - h * h)
-            table = np.zeros_like(self.weights[0])
-            for j, step in enumerate(steps):
-                seen = ids[at + step]
-                order = np.argsort(seen, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(seen[order]) > 0]))
-                table[j][seen[order][first]] = np.add.reduceat(back[order], first, axis=0)
-            for w, g, s in zip(self.weights, (table, h.T @ p, p.sum(0)), past):
+            # rows of the class tables that no neighbour has get no gradient, so only the others are touched
+            seen = np.concatenate([j * (CLASSES + 1) + ids[at + step] for j, step in enumerate(steps)])
+            order = np.argsort(seen, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(seen[order]) > 0]))
+            rows = seen[order][first]
+            g = np.add.reduceat(back[order % len(at)], first, axis=0)
+            w, s = self.weights[0].reshape(-1, HIDDEN), past[0].reshape(-1, HIDDEN)
+            s[rows] += g * g
+            w[rows] -= rate * g / np.sqrt(s[rows])
+            for w, g, s in zip(self.weights[1:], (h.T @ p, p.sum(0)), past[1:]):
                 s += g * g
                 w -= rate * g / np.sqrt(s)
 
@@ -131,21 +138,44 @@ def _flat(weights: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([w.ravel() for w in weights])
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, masked: float = MASKED) -> Network:
-    """Counts all words, then trains on all documents in `rounds` averaged rounds."""
+def class_sums(counts: DataFrame, words: list[bytes]) -> np.ndarray:
+    """The sum of the counts of each shared class, where `words` have a class each."""
+    end = F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))
+    other = counts.where(~F.col("word").isin(*words)) if words else counts
+    out = np.zeros(ENDINGS)
+    for r in other.groupBy((F.crc32(end) % ENDINGS).alias("c")).agg(F.sum("n").alias("n")).collect():
+        out[r["c"]] = r["n"]
+    return out
+
+
+def chosen(batch: list[bytes | None], place: np.ndarray, owner: np.ndarray, fold: int, folds: int) -> np.ndarray:
+    """The places that round `fold` of `folds` masks: each place is in one round, by the text's hash and the place in it."""
+    size = np.bincount(owner, minlength=len(batch))
+    inside = (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
+    start = np.array([crc32(t or b"") for t in batch], np.uint64)
+    mix = inside * np.uint64(0x9E3779B97F4A7C15) ^ start[owner] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return place[((mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(folds) == fold]
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Network:
+    """Counts all words, then trains on every position of all documents, each in one of `rounds` averaged rounds."""
     spark = docs.sparkSession
-    top = word_counts(docs).orderBy(F.col("n").desc(), "word").limit(WORDS).collect()
+    counts = word_counts(docs).persist(StorageLevel.DISK_ONLY)
+    top = counts.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()
     words, n = [bytes(r["word"]) for r in top], [float(r["n"]) for r in top]
+    sums = class_sums(counts, words)
+    counts.unpersist()
     prior = np.ones(CLASSES)
     prior[: len(n)] += n
-    prior[WORDS:] += sum(n) / ENDINGS
+    prior[WORDS:] += sums
     net = Network(words, prior / prior.sum())
+    net.sums = sums
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(net)
         size = len(_flat(net.weights))
         cuts = list(range(0, size, 8192))
 
-        def part(batches: Iterator[pa.RecordBatch], shared=shared, salt=k) -> Iterator[pa.RecordBatch]:
+        def part(batches: Iterator[pa.RecordBatch], shared=shared, fold=k) -> Iterator[pa.RecordBatch]:
             import copy
 
             own = copy.deepcopy(shared.value)
@@ -155,11 +185,9 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, masked: float = MASKED) -> Networ
                 for at in range(0, b.num_rows, 500):
                     rows = texts(b.slice(at, 500))
                     ids, place, owner = own.padded(rows)
-                    start = np.array([crc32(t or b"", salt) for t in rows], np.uint64)
-                    mix = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ start[owner] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(place) else place.astype(np.uint64)
-                    chosen = place[((mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) < np.uint64(int(masked * (1 << 24)))]
-                    own.train(ids, chosen, past)
-                    seen += len(chosen)
+                    masked = chosen(rows, place, owner, fold, rounds)
+                    own.train(ids, masked, past)
+                    seen += len(masked)
             if seen:
                 flat = _flat(own.weights).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.int32()), pa.array([float(seen)] * len(cuts), pa.float64()), pa.array([flat[c : c + 8192].tobytes() for c in cuts], pa.binary())], ["i", "n", "v"])
@@ -188,19 +216,83 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, masked: float = MASKED) -> Networ
     return net
 
 
-def lm_scores(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """doc_id, n_tokens, log_prob and mean_log_prob of every row of docs; trains on docs if no network is given."""
-    shared = docs.sparkSession.sparkContext.broadcast(net or fit(docs))  # one set of weights, of fixed size
+def lm_scores(docs: DataFrame, net: Network | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob and mean_log_prob of every row of docs; trains on docs if no network is given.
 
-    def scored(batch: list[bytes | None]) -> dict:
-        out = []
-        for at in range(0, len(batch), 200):
-            rows = batch[at : at + 200]
-            ids, place, owner = shared.value.padded(rows)
-            lp = shared.value.log_probs(ids, place)
-            out.append((np.bincount(owner, minlength=len(rows)), np.bincount(owner, lp.astype(float), minlength=len(rows))))
-        n = np.concatenate([a for a, _ in out]) if out else np.zeros(0)
-        total = np.concatenate([b for _, b in out]) if out else np.zeros(0)
-        return {"n_tokens": pa.array(n, pa.int64()), "log_prob": pa.array(total, pa.float64())}
+    counts (word, n) gives the words' probabilities in their classes, by default the counts of docs; a word that isn't
+    in it counts once. A chunk of documents sends each of its words out once, with the documents that have it."""
+    spark = docs.sparkSession
+    if net is None:
+        net = fit(docs)
+        sums = net.sums if counts is None else class_sums(counts, list(net.at))
+    else:
+        sums = class_sums(word_counts(docs) if counts is None else counts, list(net.at))
+    shared = spark.sparkContext.broadcast(net)  # one set of weights, of fixed size
+    narrow = small_batches(docs).select("doc_id", "text")
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        net, task = shared.value, TaskContext.get().partitionId()
+        local: dict[bytes, int] = {}
+        pairs: list[np.ndarray] = []
+        rows: list[pa.RecordBatch] = []
+        chunks = docs = 0
+
+        def out() -> pa.RecordBatch:
+            """A row for each word, with (document, count) pairs, and one row for the documents; no word has a space."""
+            chunk, words = task << 32 | chunks, list(local)
+            at = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+            at = at[np.argsort(at[:, 0], kind="stable")]
+            cuts = np.searchsorted(at[:, 0], np.arange(len(words) + 1))
+            n = np.add.reduceat(at[:, 2], cuts[:-1]) if words else np.zeros(0, np.int64)
+            ends = pa.py_buffer(np.append(cuts, cuts[-1]).astype(np.int32) * 8)
+            packed = pa.Array.from_buffers(pa.binary(), len(words) + 1, [None, ends, pa.py_buffer(at[:, 1:].astype(np.uint32).tobytes())])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows[0].schema) as stream:
+                for b in rows:
+                    stream.write_batch(b)
+            classes = np.append(net.classes(words) - WORDS, 0).astype(np.int32)
+            names = pa.array([*words, b" %d" % chunk], pa.binary())
+            documents = pa.array([None] * len(words) + [sink.getvalue().to_pybytes()], pa.binary())
+            size = len(words) + 1
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk)), pa.array(np.arange(size, dtype=np.int32)), pa.array(classes), names, pa.array(np.append(n, 0).astype(np.int64)), packed, documents], ["chunk", "k", "c", "word", "n", "at", "documents"])
 
-    return per_text(docs, scored, "n_tokens long, log_prob double").withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+        for b in batches:
+            for start in range(0, b.num_rows, 200):
+                part = b.slice(start, 200)
+                batch = texts(part)
+                ids, place, owner = net.padded(batch)
+                total = np.bincount(owner, net.log_probs(ids, place).astype(float), minlength=len(batch))
+                rows.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(owner, minlength=len(batch)), pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "log_prob"]))
+                shares = np.flatnonzero(ids[place] >= WORDS)
+                if len(shares):
+                    words = [w for t in batch for w in tokens(t)]
+                    number = np.array([local.setdefault(words[j], len(local)) for j in shares.tolist()], np.int64)
+                    both, n = np.unique(number << 32 | (owner[shares] + docs), return_counts=True)
+                    pairs.append(np.stack([both >> 32, both & 0xFFFFFFFF, n], 1))
+                docs += len(batch)
+                if len(local) > CHUNK or docs > CHUNK:
+                    yield out()
+                    local, pairs, rows, chunks, docs = {}, [], [], chunks + 1, 0
+        if rows:
+            yield out()
+
+    def summed(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("k").combine_chunks()
+        documents = pa.ipc.open_stream(chunk["documents"][-1].as_py()).read_all()
+        words = chunk.slice(0, chunk.num_rows - 1)
+        own = np.log(np.maximum(words["of"].fill_null(0).to_numpy().astype(float), 1) / (sums[words["c"].to_numpy()] + 1))
+        at = words["at"].to_pylist()
+        pairs = np.frombuffer(b"".join(at), np.uint32).reshape(-1, 2)
+        each = np.repeat(own, [len(x) // 8 for x in at])
+        total = documents["log_prob"].to_numpy() + np.bincount(pairs[:, 0], pairs[:, 1] * each, minlength=documents.num_rows)
+        return pa.table({"doc_id": documents["doc_id"], "n_tokens": documents["n_tokens"], "log_prob": pa.array(total, pa.float64())})
+
+    rows = narrow.mapInArrow(scored, "chunk long, k int, c int, word binary, n long, at binary, documents binary")
+    if counts is None:
+        rows = rows.withColumn("of", F.sum("n").over(Window.partitionBy("word")))
+    else:
+        rows = rows.join(counts.select("word", F.col("n").alias("of")), "word", "left")
+    found = rows.select("chunk", "k", "c", "at", "of", "documents").groupBy("chunk").applyInArrow(summed, f"doc_id {kind}, n_tokens long, log_prob double")
+    return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
