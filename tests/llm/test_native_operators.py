@@ -59,6 +59,20 @@ def test_slots_must_agree(spark):
     assert found(docs, benchmark(spark, [(5, item)])) == {(1, 5)}
 
 
+REPEATED = "The red box holds 52 red balls and 31 blue balls. The old box holds 27 red balls and 96 blue balls. How many red balls are there in all?"
+
+
+def test_repeated_templates_are_aligned(spark):
+    swapped = REPEATED.replace("52", "8").replace("31", "1").replace("27", "64").replace("96", "5")
+    longer = REPEATED.replace("The old", "Look now: the old")
+    noise = "The big box holds 1 red balls and 2 blue balls. " * 5 + "The new box holds 7 red balls and 7 blue balls. "
+    torn = REPEATED.replace("red balls and 31", "red balls or 31").replace("red balls and 96", "red balls or 96")
+    docs = documents(spark, [(1, REPEATED, None, None, 1), (2, swapped, None, None, 1), (3, noise + REPEATED + noise, None, None, 1), (4, longer, None, None, 1), (5, noise, None, None, 1), (6, torn, None, None, 1), (None, REPEATED, None, None, 1)])
+    rows = {r["doc_id"]: r for r in decontamination.contaminated(docs, benchmark(spark, [(5, REPEATED)])).collect()}
+    assert {1, 2, 3, None} <= rows.keys() and not rows.keys() & {5, 6}
+    assert all(rows[k]["coverage"] == 1 and rows[k]["slot_agreement"] == 1 for k in (1, 2, 3, None))
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = benchmark(spark, [(1, "one"), (2, None), (3, ""), (4, "!!!"), (5, "the cat sat on the mat and looked at the moon"), (5, "the cat sat on the mat and looked at the moon"), (6, "123 456"), (None, "a b")])
     got = found(odd, items)

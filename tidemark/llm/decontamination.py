@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, units after numbers and names inside sentences become typed placeholders. Windows of five template words
-are hashed and joined with the windows of the benchmark items; what stood in the slots of windows that met must
-map each value of the item to one value of the document. So verbatim copies and questions with exchanged
-parameters are found, and windows whose slots contradict each other don't count.
+are hashed and joined with the windows of the benchmark items. Every place where a window with slots met is kept;
+its place in the document less that in the item tells the aligned instance. What stood in the slots of an instance
+must map each value of the item to one value of the document, and the best instance of an item counts. So verbatim
+copies and questions with exchanged parameters are found, also where templates repeat, and instances whose slots
+contradict each other don't count.
 
 A window with fewer than two literal words is hashed by its own values, so bare tables of numbers aren't
 templates. Windows with a name are hashed a second time with the name kept, since a word's place in a sentence
@@ -20,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import size_checked
+from .common import size_checked, staged
 
 WIDTH = 5
 COVERAGE = 0.8
@@ -102,15 +104,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     A document holds an item if at least `coverage` of the item's windows are in it, counting windows with slots
     only where the slots agree: each value of the item has one value in the document, in `coverage` of the slots."""
-    item = windows(benchmark.select("item_id", "text").dropDuplicates(["item_id"]), "item_id")
-    item = item.groupBy("item_id", "h").agg(F.min("pos").alias("item_pos"), F.min_by("slots", "pos").alias("item_slots"))
+    item = windows(benchmark.select("item_id", "text").dropDuplicates(["item_id"]), "item_id").where(F.col("item_id").isNotNull())
+    item = item.select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
     size = item.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    met = windows(docs, "doc_id").join(size_checked(item, BROADCAST_ROWS), "h").select("doc_id", "item_id", "item_pos", "item_slots", "slots")
-    met = met.groupBy("doc_id", "item_id", "item_pos").agg(F.max(F.col("item_slots").isNotNull()).alias("slotted"), F.min("item_slots").alias("item_slots"), F.min("slots").alias("slots"))
-    value = lambda x: F.substring_index(x, ":", -1)
-    pairs = met.withColumn("pair", F.explode_outer(F.when(F.size("item_slots") == F.size("slots"), F.arrays_zip("item_slots", "slots"))))
-    counted = pairs.groupBy("doc_id", "item_id", value(F.col("pair.item_slots")).alias("theirs"), value(F.col("pair.slots")).alias("ours")).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(~F.col("slotted"), F.col("item_pos"))).alias("plain"), F.collect_set(F.when(F.col("slotted"), F.col("item_pos"))).alias("with_slots"))
-    by_value = counted.groupBy("doc_id", "item_id", "theirs").agg(F.when(F.col("theirs").isNotNull(), F.max("n")).alias("most"), F.when(F.col("theirs").isNotNull(), F.sum("n")).alias("all"), F.flatten(F.collect_list("plain")).alias("plain"), F.flatten(F.collect_list("with_slots")).alias("with_slots"))
-    joined = by_value.groupBy("doc_id", "item_id").agg(F.coalesce(F.sum("most") / F.sum("all"), F.lit(1.0)).alias("slot_agreement"), F.array_distinct(F.flatten(F.collect_list("plain"))).alias("plain"), F.array_distinct(F.flatten(F.collect_list("with_slots"))).alias("with_slots"))
-    found = joined.select("doc_id", "item_id", "slot_agreement", F.when(F.col("slot_agreement") >= coverage, F.size(F.array_union("plain", "with_slots"))).otherwise(F.size("plain")).cast("long").alias("n_found"))
-    return found.join(size_checked(size, BROADCAST_ROWS), "item_id").withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "slot_agreement")
+    met = windows(docs, "doc_id").join(size_checked(item, BROADCAST_ROWS), "h")
+    pair = F.when(F.col("item_slots").isNotNull(), F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(_value(x["item_slots"]).alias("theirs"), _value(x["slots"]).alias("ours"))))
+    # a struct of the id joins null ids with each other; windows without slots count wherever they are
+    met = staged(met.select(F.struct("doc_id").alias("doc"), "item_id", "item_pos", pair.alias("pairs"), F.when(F.col("item_slots").isNotNull(), F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+    places = met.groupBy("doc", "item_id").agg(F.collect_set("item_pos").alias("any"), F.collect_set(F.when(F.col("pairs").isNull(), F.col("item_pos"))).alias("plain"))
+    places = places.join(size_checked(size, BROADCAST_ROWS), "item_id").where(F.size("any") >= coverage * F.col("n_windows")).select("doc", "item_id", "n_windows", "plain")
+    slotted = met.where(F.col("pairs").isNotNull()).join(places.select("doc", "item_id", "n_windows"), ["doc", "item_id"])
+    best = instances(slotted, places, coverage)
+    found = places.join(best, ["doc", "item_id"], "left").select("doc.doc_id", "item_id", "n_windows", F.greatest(F.size("plain"), F.coalesce("with_slots", F.lit(0))).cast("long").alias("n_found"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
+    return found.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "slot_agreement")
+
+
+def _value(slot: Column) -> Column:
+    return F.substring_index(slot, ":", -1)
+
+
+def instances(slotted: DataFrame, places: DataFrame, coverage: float) -> DataFrame:
+    """doc, item_id, with_slots and slot_agreement of the best aligned instance of each item in each document.
+
+    An instance is anchored at a shift. It is tried in two forms: the windows at that very shift, and for each window
+    of the item the nearest place within the item's length, which bears words put in or left out. with_slots counts
+    the windows found, those without slots among them, and is 0 where no instance's slots agree."""
+    slotted = slotted.groupBy("doc", "item_id", "n_windows", "item_pos", "shift").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    slotted = slotted.withColumn("near", F.floor(F.col("shift") / F.col("n_windows")))
+    anchors = slotted.select("doc", "item_id", F.col("shift").alias("anchor"), "near").distinct().withColumn("near", F.explode(F.array(*(F.col("near") + k for k in (-1, 0, 1)))))
+    away = F.abs(F.col("shift") - F.col("anchor"))
+    aligned = slotted.join(anchors, ["doc", "item_id", "near"]).where(away <= F.col("n_windows")).groupBy("doc", "item_id", "anchor", "item_pos").agg(F.min_by("pairs", F.struct(away, "shift")).alias("pairs"), F.min(away).alias("away"))
+    aligned = aligned.withColumn("form", F.explode(F.when(F.col("away") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    key = ["doc", "item_id", "anchor", "form"]
+    values = aligned.select(*key, F.explode("pairs").alias("pair")).groupBy(*key, "pair.theirs", "pair.ours").agg(F.count(F.lit(1)).alias("n"))
+    agreed = values.groupBy(*key, "theirs").agg(F.max("n").alias("most"), F.sum("n").alias("all")).groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("slot_agreement"))
+    made = aligned.groupBy(*key).agg(F.collect_set("item_pos").alias("at")).join(agreed, key).join(places.select("doc", "item_id", "plain"), ["doc", "item_id"])
+    n = F.when(F.col("slot_agreement") >= coverage, F.size(F.array_union("plain", "at"))).otherwise(0)
+    return made.select("doc", "item_id", n.alias("with_slots"), "slot_agreement").groupBy("doc", "item_id").agg(F.max(F.struct("with_slots", "slot_agreement")).alias("best")).select("doc", "item_id", "best.*")
