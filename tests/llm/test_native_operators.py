@@ -73,6 +73,17 @@ def test_repeated_templates_are_aligned(spark):
     assert all(rows[k]["coverage"] == 1 and rows[k]["slot_agreement"] == 1 for k in (1, 2, 3, None))
 
 
+OPENED = "Tom has 12 apples and 7 pears. Tom gives 3 apples to Mary. How many apples does Tom have left?"
+ALONE = "Peter buys 4 melons for a party and 8 lemons. (Sarah eats 2 of the melons before noon.) How many melons can still be served?"
+
+
+def test_names_that_open_a_sentence(spark):
+    swap = lambda t, *names: [t := t.replace(a, b) for a, b in names][-1]
+    texts = [swap(OPENED, ("Tom", "Bob"), ("Mary", "Lucy")), "So:\n" + swap(ALONE, ("Peter", "Ann"), ("Sarah", "Zoe")), swap(OPENED, ("Tom gives", "Bob gives"), ("Tom has", "Al has"), ("does Tom", "does Eve"), ("apples", "plums"))]
+    docs = documents(spark, [(k, t, None, None, 1) for k, t in enumerate(texts)])
+    assert found(docs, benchmark(spark, [(5, OPENED), (6, ALONE)])) == {(0, 5), (1, 6)}
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = benchmark(spark, [(1, "one"), (2, None), (3, ""), (4, "!!!"), (5, "the cat sat on the mat and looked at the moon"), (5, "the cat sat on the mat and looked at the moon"), (6, "123 456"), (None, "a b")])
     got = found(odd, items)

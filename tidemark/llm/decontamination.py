@@ -8,8 +8,6 @@ copies and questions with exchanged parameters are found, also where templates r
 contradict each other don't count.
 
 A window with fewer than two literal words is hashed by its own values, so bare tables of numbers aren't
-templates. Windows with a name are hashed a second time with the name kept, since a word's place in a sentence
-can differ between copies.
 
 Defined cases: null texts and texts without a word have no windows; a text or an item of fewer than five words
 has one window, all of it; an item without a word matches nothing; items given twice under one id count once;
@@ -28,9 +26,12 @@ WIDTH = 5
 COVERAGE = 0.8
 #: Up to this many benchmark windows are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-MARK, NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002", "\ue003"
-TOKEN = "[0-9]+(?:[.,][0-9]+)*|\ue000?[\\p{L}\\p{N}]+"
+MARK, NUMBER, UNIT, NAME, OPENS = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+TOKEN = "[0-9]+(?:[.,][0-9]+)*|[\ue000\ue004]?[\\p{L}\\p{N}]+"
 INNER_NAME = r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})"
+#: A capitalised word at any other place, after INNER_NAME is marked.
+OPENING = r"(?<![\p{L}\p{N}\x{E000}])(?=\p{Lu}\p{Ll})"
+NONE, INNER, ALL = range(3)
 # Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l cl gal s sec min h hr hrs hours hour minutes minute seconds days day weeks week months month years year hz khz mhz ghz w kw mw kwh v a mah pa kpa bar psi j kj cal kcal c f k usd eur gbp dollars euros cents percent meters metres miles kilometers kilometres grams kilograms pounds ounces liters litres tons".split()
 
@@ -41,22 +42,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text in order; inner names carry a mark."""
-    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), INNER_NAME, MARK), F.lit(TOKEN), F.lit(0))
+    """The words of a text in order; inner names and other capitalised words carry a mark."""
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), INNER_NAME, MARK), OPENING, OPENS)
+    return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
 
 
 def _plain(word: Column) -> Column:
-    return F.lower(F.translate(word, MARK, ""))
+    return F.lower(F.translate(word, MARK + OPENS, ""))
 
 
-def _template(found: Column, names: bool) -> Column:
+def _template(found: Column, names: int) -> Column:
     number = lambda x: x.rlike("^[0-9]")
 
     def one(x: Column, i: Column) -> Column:
         plain = _plain(x)
         unit = plain.isin(UNITS) & F.coalesce(number(F.get(found, i - 1)), F.lit(False))
         out = F.when(number(x), F.lit(NUMBER)).when(unit, F.lit(UNIT))
-        return (out.when(x.startswith(MARK), F.lit(NAME)) if names else out).otherwise(plain)
+        if names == INNER:
+            out = out.when(x.startswith(MARK), F.lit(NAME))
+        elif names == ALL:
+            out = out.when(x.startswith(MARK) | x.startswith(OPENS), F.lit(NAME))
+        return out.otherwise(plain)
 
     return F.transform(found, one)
 
@@ -65,8 +71,8 @@ def _slot(x: Column) -> Column:
     return x.isin(NUMBER, UNIT, NAME)
 
 
-def _windows(found: Column, names: bool) -> Column:
-    """array<struct<pos, h, slots>> of the windows of one template; with names, only those that have one."""
+def _windows(found: Column, names: int) -> Column:
+    """array<struct<pos, h, slots>> of the windows of one template; with names, only those that have one of its kind."""
     steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.greatest(F.size(found) - WIDTH, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     none = F.lit(None).cast("array<string>")
 
@@ -75,7 +81,8 @@ def _windows(found: Column, names: bool) -> Column:
             return let(F.slice(template, i + 1, WIDTH), lambda w: F.when(F.size(F.filter(w, lambda x: ~_slot(x))) < 2, own(i)).when(F.exists(w, _slot), F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), values(template, i).alias("slots"))).otherwise(F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), none.alias("slots"))))
 
         made = F.transform(steps, window)
-        return made if not names else F.transform(F.filter(steps, lambda i: F.array_contains(F.slice(template, i + 1, WIDTH), NAME)), window)
+        mark = OPENS if names == ALL else MARK
+        return made if names == NONE else F.transform(F.filter(steps, lambda i: F.exists(F.slice(found, i + 1, WIDTH), lambda x: x.startswith(mark))), window)
 
     def own(i: Column) -> Column:
         return F.struct(i.alias("pos"), F.xxhash64(F.transform(F.slice(found, i + 1, WIDTH), _plain)).alias("h"), none.alias("slots"))
@@ -88,14 +95,19 @@ def _windows(found: Column, names: bool) -> Column:
         return F.transform(steps, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(template, i + 1, WIDTH)).alias("h"), none.alias("slots")))
 
     if names:
-        return let(_template(found, True), slotted)
+        return let(_template(found, names), slotted)
     has_slot = F.exists(found, lambda x: x.rlike("^[0-9]"))
-    return F.when(has_slot, let(_template(found, False), slotted)).otherwise(let(F.transform(found, _plain), lambda t: F.when(F.size(t) < 2, F.transform(steps, own)).otherwise(light(t))))
+    return F.when(has_slot, let(_template(found, NONE), slotted)).otherwise(let(F.transform(found, _plain), lambda t: F.when(F.size(t) < 2, F.transform(steps, own)).otherwise(light(t))))
 
 
 def windows(table: DataFrame, key: str) -> DataFrame:
     """(key, pos, h, slots): the template windows of every row of table."""
-    every = let(words(F.col("text")), lambda found: F.concat(_windows(found, False), F.when(F.exists(found, lambda x: x.startswith(MARK)), _windows(found, True)).otherwise(F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>"))))
+    none = F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")
+
+    def with_names(found: Column, names: int, mark: str) -> Column:
+        return F.when(F.exists(found, lambda x: x.startswith(mark)), _windows(found, names)).otherwise(none)
+
+    every = let(words(F.col("text")), lambda found: F.concat(_windows(found, NONE), with_names(found, INNER, MARK), with_names(found, ALL, OPENS)))
     return table.select(F.col(key), F.explode(every).alias("w")).select(key, "w.pos", "w.h", "w.slots")
 
 
