@@ -90,6 +90,19 @@ def test_nearest_examples_are_exact():
     assert index.nearest(Counter({b"unknown": 3})) == []
 
 
+def test_rare_words_reach_the_labelled_examples(spark):
+    # each example has its own words only, so no word tells the classes apart in four documents
+    rows = [(k, f"alpha{chr(97 + k // 26)}{chr(97 + k % 26)} beta{chr(97 + k // 26)}{chr(97 + k % 26)}", None, None, 1) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    letters = docs.withColumn("text", F.translate("text", "0123456789", ""))
+    model = toxicity.fit(letters, labels)
+    hits = [model.index.nearest(toxicity.term_counts(r[1].encode())) for r in rows]
+    assert len(model.index.labels) > 90 and sum(bool(h) and h[0][0] > 0.999 for h in hits) == len(model.index.labels)
+    df, n = toxicity.document_frequencies(letters.union(letters), [b"alphaaa", b"nowhere"])
+    assert df.tolist() == [2, 0] and n == 400
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(k, 1, int(k == 8)) for k in range(1, 12)] + [(3, None, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
     got = toxicity.toxicity(odd, labels).collect()

@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 A bounded sample of labelled rows (`PER_CLASS` of each class, chosen by a hash of the id) gives the examples. Terms
-are lower-case letter runs; the `TERMS` terms that tell the classes apart best (log-likelihood ratio over the sample's
-documents) are the index's vocabulary, and every whole text is a query. Blocks of examples carry the largest weight
+are lower-case letter runs; every term of the examples is in the index, weighted by its frequency in all documents,
+and every whole text is a query. Blocks of examples carry the largest weight
 of each term; blocks are visited by falling bound until no bound can beat the k-th best, so the k nearest are exact.
 Distance-weighted votes are mapped to probabilities by an isotonic fit on a part of the sample that the index
-leaves out, weighted to the label's share in all labelled rows.
+leaves out, weighted to the label's share in all labelled rows. The `TERMS` terms that tell the classes apart best
+(log-likelihood ratio over the sample's documents) are only named as evidence; no score depends on them.
 
 Defined cases: null, empty and term-less texts are near no example and get the calibrated score of such texts;
 equal cosines are ordered by example; repeated rows are scored one by one; with one class of labels or none every
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,15 @@ def telling_terms(counts: list[Counter], y: np.ndarray, most: int = TERMS, least
 class BlockMaxIndex:
     """Inverted index of unit TF-IDF vectors with the largest weight of each term in each block of examples."""
 
-    def __init__(self, counts: list[Counter], labels: np.ndarray, vocabulary: list[bytes], block: int = BLOCK):
+    def __init__(self, counts: list[Counter], labels: np.ndarray, vocabulary: list[bytes], block: int = BLOCK, df: np.ndarray | None = None, n: int = 0):
+        """df and n: each term's document frequency and the number of documents; by default those of the examples."""
         self.at = {t: k for k, t in enumerate(vocabulary)}
-        n = max(len(counts), 1)
-        df = np.ones(len(vocabulary))
-        for c in counts:
-            for t in c.keys() & self.at.keys():
-                df[self.at[t]] += 1
-        self.idf = np.log1p(n / df)
+        if df is None:
+            n, df = len(counts), np.zeros(len(vocabulary))
+            for c in counts:
+                for t in c.keys() & self.at.keys():
+                    df[self.at[t]] += 1
+        self.idf = np.log1p(max(n, 1) / (df + 1))
         vectors = [self.vector(c) for c in counts]
         used = [k for k, (t, _) in enumerate(vectors) if len(t)]
         # examples with like terms share blocks, which keeps bounds tight
@@ -73,15 +75,25 @@ class BlockMaxIndex:
         self.labels = np.array([labels[k] for k in used], float)
         self.block = block
         self.blocks = -(-len(used) // block)
+        terms = np.concatenate([vectors[k][0] for k in used]) if used else np.zeros(0, np.int64)
+        weights = np.concatenate([vectors[k][1] for k in used]) if used else np.zeros(0, np.float32)
+        place = np.repeat(np.arange(len(used)), [len(vectors[k][0]) for k in used]) if used else np.zeros(0, np.int64)
         self.best = np.zeros((len(vocabulary), max(self.blocks, 1)), np.float32)
-        postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for place, k in enumerate(used):
-            for t, w in zip(*vectors[k]):
-                postings[t].append((place, w))
-                self.best[t, place // block] = max(self.best[t, place // block], w)
-        self.ids = [np.array([p for p, _ in x], np.int64) for x in postings]
-        self.weights = [np.array([w for _, w in x], np.float32) for x in postings]
-        self.cuts = [np.searchsorted(x, np.arange(self.blocks + 1) * block) for x in self.ids]
+        np.maximum.at(self.best, (terms, place // block), weights)
+        order = np.argsort(terms, kind="stable")
+        self.places, self.held, terms = place[order].astype(np.int32), weights[order], terms[order]
+        # postings of term t in block b are those from cuts[t, b] to cuts[t, b + 1]
+        first = np.arange(len(vocabulary), dtype=np.int64)[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)
+        self.cuts = np.searchsorted(terms * (self.blocks + 1) + self.places // block, first).astype(np.int32)
+
+    @property
+    def ids(self) -> list[np.ndarray]:
+        """The examples that have each term."""
+        return np.split(self.places, self.cuts[1:, 0])
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return np.split(self.held, self.cuts[1:, 0])
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit TF-IDF weights of a text's counts."""
@@ -97,16 +109,22 @@ class BlockMaxIndex:
             return []
         bound = weights @ self.best[terms]
         top: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(top) == k and bound[b] < top[-1][0] - 1e-6):
+        order, seen, step = np.argsort(-bound, kind="stable"), 0, 4
+        while seen < len(order):  # blocks that can still beat the k-th best, in growing groups
+            group = order[seen : seen + step]
+            group = group[(bound[group] > 0) & (bound[group] >= (top[-1][0] - 1e-6 if len(top) == k else 0))]
+            if not len(group):
                 break
-            dots = np.zeros(self.block, np.float32)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if hi > lo:
-                    dots[self.ids[t][lo:hi] - b * self.block] += w * self.weights[t][lo:hi]
+            lo = self.cuts[terms[:, None], group]
+            size = self.cuts[terms[:, None], group + 1] - lo
+            share, lo, size = np.repeat(weights, size.sum(1)), lo.ravel(), size.ravel()
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            dots = np.bincount(self.places[at], share * self.held[at], len(self.labels))
             hit = np.flatnonzero(dots > 0)
-            top = sorted([*top, *((float(dots[j]), b * self.block + j) for j in hit.tolist())], key=lambda x: (-x[0], x[1]))[:k]
+            if len(hit) > k:
+                hit = hit[dots[hit] >= np.partition(dots[hit], -k)[-k]]
+            top = sorted([*top, *((float(dots[j]), j) for j in hit.tolist())], key=lambda x: (-x[0], x[1]))[:k]
+            seen, step = seen + step, step * 4
         return top
 
     def vote(self, counts: Counter, k: int = NEIGHBOURS) -> tuple[float, list[tuple[float, int]]]:
@@ -121,11 +139,13 @@ class BlockMaxIndex:
 class ToxicityModel:
     """An index, and the calibration of its votes."""
 
-    def __init__(self, counts: list[Counter], y: np.ndarray, share: float):
+    def __init__(self, counts: list[Counter], y: np.ndarray, share: float, frequencies: Callable[[list[bytes]], tuple[np.ndarray, int]]):
         spare = np.arange(len(y)) % 4 == 3
         fit = [k for k in range(len(y)) if not spare[k]]
-        vocabulary = telling_terms([counts[k] for k in fit], y[fit])
-        self.index = BlockMaxIndex([counts[k] for k in fit], y[fit], vocabulary)
+        self.telling = set(telling_terms([counts[k] for k in fit], y[fit]))
+        vocabulary = sorted(set().union(*(counts[k].keys() for k in fit)))
+        df, n = frequencies(vocabulary)
+        self.index = BlockMaxIndex([counts[k] for k in fit], y[fit], vocabulary, df=df, n=n)
         held = np.flatnonzero(spare)
         votes = np.array([self.index.vote(counts[k])[0] for k in held])
         weight = np.where(y[held] == 1, share / max((y[held] == 1).mean(), 1e-9), (1 - share) / max((y[held] == 0).mean(), 1e-9))
@@ -146,6 +166,30 @@ class ToxicityModel:
         return float(np.interp(vote, self.grid[1:], self.level[1:])) if len(self.grid) > 1 else float(self.level[0]), near
 
 
+def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray, int]:
+    """In how many of all docs each term of vocabulary is, and the number of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(vocabulary)})
+    size = len(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, df, n = shared.value, np.zeros(size, np.int64), 0
+        for b in batches:
+            for text in texts(b):
+                found = [at[t] for t in term_counts(text).keys() & at.keys()]
+                df[found] += 1
+                n += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], ["term", "n"])
+
+    df, n = np.zeros(size), 0
+    for r in small_batches(docs).select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+        if r["term"] < 0:
+            n = r["n"]
+        else:
+            df[r["term"]] = r["n"]
+    return df, n
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel | float:
     """Learns from labels whose fold mod 5 isn't 0; a constant share if they have fewer than two classes."""
     marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0))
@@ -168,12 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     y = np.array(sample["y"].to_pylist(), int)
     if len(set(y.tolist())) < 2:
         return n[1] / (n[0] + n[1])
-    return ToxicityModel(counts, y, n[1] / (n[0] + n[1]))
+    return ToxicityModel(counts, y, n[1] / (n[0] + n[1]), lambda vocabulary: document_frequencies(docs, vocabulary))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the telling terms found) of every row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))  # bounded by PER_CLASS and TERMS
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))  # bounded by the terms of 2 * PER_CLASS examples
 
     def scored(batch: list[bytes | None]) -> dict:
         m = model.value
@@ -184,7 +228,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
             else:
                 counts = term_counts(text)
                 score, near = m.score(counts)
-                found = sorted(t.decode("utf-8", "replace") for t in counts.keys() & m.index.at.keys()) if near else []
+                found = sorted(t.decode("utf-8", "replace") for t in counts.keys() & m.telling) if near else []
             scores.append(min(max(score, 0.0), 1.0))
             evidence.append(found)
         return {"score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, pa.list_(pa.string()))}
