@@ -220,6 +220,16 @@ def test_context_discovers_unseen_identifiers(spark):
     assert got[51]["n_id"] == 0
 
 
+def test_base_spans_of_any_shape_are_seeds(spark):
+    seeds = [(k, f"{prose(k, 6)} contact: {'abcdefgh'[k]}.x@mail.org {prose(k + 1, 4)}", None, None, 1) for k in range(8)]
+    seeds += [(20 + k, f"{prose(k, 6)} call +1 555 123 45{k}7 {prose(k + 1, 4)}", None, None, 1) for k in range(8)]
+    rest = [(50, f"é𝔸 {prose(3, 5)}\n contact: zoe_k, thanks", None, None, 1), (51, f"{prose(4, 5)} total: zoe_k2 units", None, None, 1), (None, "call 0800", None, None, 1)]
+    got = {r["doc_id"]: r for r in pii.report(documents(spark, seeds + rest)).collect()}
+    start = rest[0][1].index("zoe_k")
+    assert got[50]["spans"] == f"id:{start}:{start + 5}" and got[None]["spans"] == "id:5:9"
+    assert got[51]["n_id"] == 0 and all(r["n_id"] == 0 for k, r in got.items() if k is not None and k < 50)
+
+
 def test_redaction(spark):
     text = "é a@b.cd and 10.0.0.1, end"
     df = pii.personal_data(documents(spark, [(1, text, None, None, 1)], False), ("doc_id", "text")).select(pii.redacted(F.col("text"), pii.all_spans()).alias("t"))

@@ -1,7 +1,8 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of unseen identifiers.
 
-DataFrame functions only. Base entities (email, ip, card, phone) are seeds. The word before an identifier-like token
-(five digits or more) is a lexical pattern; patterns and the values that they surround form a graph. In rounds, a
+DataFrame functions only. Base entities (email, ip, card, phone) are seeds, whatever their shape. The word before a seed
+is a lexical pattern, and every token that such a pattern precedes is a candidate; patterns and the values that they
+surround form a graph. In rounds, a
 pattern's confidence is the shrunk mean score of its values and a value's score is the noisy-or of its patterns;
 seeds stay at one. Confident patterns with enough different seed values then mark the tokens after them as
 identifiers, kind `id`.
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import size_checked, staged
+from .decontamination import let
 
 _RUN = "[A-Za-z0-9._%+-]"
 # The base expressions, by kind, in the order in which spans are listed.
@@ -29,8 +31,16 @@ BASE = {
 }
 KINDS = [*BASE, "id"]
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: An identifier-like token: five digits or more, cut from the punctuation around it.
-CANDIDATE = r"(?<![^\s(\[<\"'=:])(?=(?:[^\s0-9]*+[0-9]){5})[^\s(\[<\"'=:,;)\]>]++"
+_OPEN, _CLOSE = r"(\[<\"'=:", r",;)\]>"
+#: A word up to the end of its first token: opening marks, then what stands before closing ones.
+TOKEN = rf"^[{_OPEN}]*+([^\s{_OPEN}{_CLOSE}]++)"
+#: A token inside a word, after one of the opening marks.
+INNER = rf"(?<=[{_OPEN}])[^\s{_OPEN}{_CLOSE}]++"
+WORD = r"\S+"
+ENDS = "[.!?]+$"
+BLANK = "\ue000"
+#: Characters before a span in which its context is looked for; longer words aren't patterns.
+BEFORE = 256
 SUPPORT = 5
 CONFIDENCE = 0.9
 ROUNDS = 3
@@ -70,26 +80,76 @@ WORTH = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0
 
 
 def base_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, h (a hash of the text), one array of spans for each base kind, and candidates, of every row of docs."""
+    """`keep`, h (a hash of the text) and one array of spans for each base kind, of every row of docs."""
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:string,before:string>>")
-    columns = [F.when(WORTH[kind](text), located(text, pattern, k, ACCEPTED[kind])).otherwise(none).alias(kind) for k, (kind, pattern) in enumerate(BASE.items())]
-    candidates = F.when(text.rlike("[0-9]"), located(text, CANDIDATE, len(BASE), lambda v: F.lit(True))).otherwise(none).alias("candidates")
-    return docs.select(*keep, F.xxhash64(text).alias("h"), *columns, candidates)
+    before = lambda x: x.withField("before", F.substring(text, F.greatest(x["start"] - BEFORE + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(BEFORE)).cast("int")))
+    columns = [F.when(WORTH[kind](text), F.transform(located(text, pattern, k, ACCEPTED[kind]), before)).otherwise(none).alias(kind) for k, (kind, pattern) in enumerate(BASE.items())]
+    return docs.select(*keep, F.xxhash64(text).alias("h"), *columns)
+
+
+def _folded(word: Column) -> Column:
+    """A word as a pattern: lower case, digits as 9; null if there is none or it is too long."""
+    return F.when(F.length(word).between(1, BEFORE // 2), F.regexp_replace(F.lower(word), "[0-9]", "9"))
 
 
 def _context(before: Column) -> Column:
-    """The word before a candidate, folded: lower case, digits as 9; null if none is near."""
-    word = F.regexp_extract(before, r"(?:^|\s)(\S+)\s*$", 1)
-    return F.nullif(F.regexp_replace(F.lower(word), "[0-9]", "9"), F.lit(""))
+    """The pattern of what stands before a span."""
+    return _folded(F.regexp_extract(before, r"(?:^|\s)(\S+)\s*$", 1))
+
+
+def seeds(spans: DataFrame) -> DataFrame:
+    """pattern and value of every base span that has a word before it."""
+    every = spans.select(F.explode(F.concat(*BASE)).alias("c")).select(_context(F.col("c.before")).alias("pattern"), F.col("c.value").alias("value"))
+    return every.where(F.col("pattern").isNotNull())
+
+
+def known_patterns(seeds: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """The patterns before at least `support` different base values; that is their definition, not a cap."""
+    return seeds.groupBy("pattern").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= support).select("pattern")
+
+
+def _in_word(word: Column, earlier: Column) -> Column:
+    """array<struct<at, value, pattern>> of the tokens of a word, where `earlier` is the word before it."""
+    whole = F.regexp_extract(word, TOKEN, 1)
+    value = F.regexp_replace(whole, ENDS, "")
+    skipped = F.length(F.regexp_extract(word, TOKEN, 0)) - F.length(whole)
+    token = lambda at, value: F.struct(at.cast("long").alias("at"), value.alias("value"), F.when(at == 0, _folded(earlier)).otherwise(_folded(F.left(word, at.cast("int")))).alias("pattern"))
+    inside = F.transform(located(word, INNER, len(BASE), lambda v: F.lit(True)), lambda x: token(x["start"], F.regexp_replace(x["value"], ENDS, "")))
+    first = F.when((value != "") & (skipped == 0), F.array(token(F.lit(0), value))).otherwise(F.array().cast("array<struct<at:bigint,value:string,pattern:string>>"))
+    return F.when(word.rlike(rf"[{_OPEN}]"), F.concat(first, inside)).otherwise(first)
 
 
-def instances(spans: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per candidate: `keep`, h, start, end, value, pattern, and seed if a base span overlaps it."""
-    base = F.concat(*(F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in BASE))
-    rows = spans.where(F.size("candidates") > 0).select(*keep, "h", base.alias("base"), F.explode("candidates").alias("c"))
-    rows = rows.select(*keep, "h", "c.start", "c.end", "c.value", _context(F.col("c.before")).alias("pattern"), F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))).alias("seed"))
-    return rows.where(F.col("pattern").isNotNull())
+def instances(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """h, i, at, value and pattern of every token of the texts that a known pattern precedes: it is at `at` of word i.
+
+    Base spans are blanked before, since the span itself is an instance there."""
+    text = F.coalesce("text", F.lit(""))
+    base = F.concat(*(F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), (x["end"] - x["start"]).alias("size"))) for k in BASE))
+    blank = lambda t, x: F.overlay(t, F.repeat(F.lit(BLANK), x["size"].cast("int")), (x["start"] + 1).cast("int"), x["size"].cast("int"))
+    texts = base_spans(docs.select(text.alias("text")), ("text",)).select("h", F.aggregate(base, F.col("text"), blank).alias("text"))
+    each = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("word"), F.get(w, i - 1).alias("earlier"))))
+    tokens = texts.select("h", F.explode(each).alias("w")).select("h", "w.i", F.explode(_in_word(F.col("w.word"), F.col("w.earlier"))).alias("t")).select("h", "i", "t.*")
+    return tokens.where(F.col("pattern").isNotNull() & (F.col("value") != "") & ~F.col("value").contains(BLANK)).join(size_checked(known, 200_000), "pattern", "left_semi")
+
+
+def placed(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """h and extra: where the hits (h, i, at, value) are in their texts."""
+    text = F.coalesce("text", F.lit(""))
+    hits = hits.groupBy("h").agg(F.collect_set(F.struct("i", "at", F.length("value").alias("size"))).alias("hits"))
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(size_checked(staged(hits), EXTRA_ROWS), "h")
+    sizes = F.arrays_zip(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.length), F.transform(F.split("text", WORD, -1), F.length)).cast("array<struct<word:int,gap:int>>")
+    spans = "array<struct<start:bigint,end:bigint>>"
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        here = F.filter("hits", lambda h: h["i"] == acc["i"])
+        out = F.when(F.size(here) > 0, F.concat(acc["out"], F.transform(here, lambda h: F.struct(start + h["at"], start + h["at"] + h["size"])).cast(spans))).otherwise(acc["out"])
+        return F.struct((acc["i"] + 1).alias("i"), (start + F.coalesce(x["word"], F.lit(0))).alias("at"), out.alias("out")).cast(f"struct<i:int,at:bigint,out:{spans}>")
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("out"))
+    found = rows.select("h", F.explode(F.aggregate(sizes, zero, add, lambda acc: acc["out"])).alias("x"))
+    return found.groupBy("h").agg(F.array_sort(F.collect_set(F.struct(F.lit(len(BASE)).alias("kind"), "x.start", "x.end"))).alias("extra"))
 
 
 def bootstrapped(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
@@ -108,23 +168,22 @@ def bootstrapped(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT)
     return patterns, scores
 
 
-def discovered(found: DataFrame, confidence: float = CONFIDENCE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, h and extra: the spans that confident patterns mark beside the base ones."""
-    patterns, scores = bootstrapped(found)
+def discovered(docs: DataFrame, spans: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """h and extra: the spans that confident patterns mark beside the base ones, by the hash of the text."""
+    given = seeds(spans)
+    found = staged(instances(docs, known_patterns(given)))
+    graph = given.withColumn("seed", F.lit(True)).unionByName(found.select("pattern", "value").withColumn("seed", F.lit(False)))
+    patterns, scores = bootstrapped(graph)
     sure = size_checked(patterns.where(F.col("confidence") >= confidence).select("pattern"), 200_000)
-    new = found.where(~F.col("seed")).join(sure, "pattern", "left_semi").join(size_checked(scores.where(F.col("score") >= confidence).select("value"), 200_000), "value", "left_semi")
-    return new.groupBy(*keep, "h").agg(F.array_sort(F.collect_set(F.struct(F.lit(len(BASE)).alias("kind"), "start", "end"))).alias("extra"))
+    new = found.join(sure, "pattern", "left_semi").join(size_checked(scores.where(F.col("score") >= confidence).select("value"), 200_000), "value", "left_semi")
+    return placed(docs, new)
 
 
 def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, h, the spans of each base kind and extra, of every row of docs."""
     spans = staged(base_spans(docs, keep))
-    extra = discovered(instances(spans, keep), keep=keep)
-    extra = extra.select(*(F.col(k).alias(f"_{k}") for k in keep), F.col("h").alias("_h"), "extra")
-    same = F.col("h") == F.col("_h")
-    for k in keep:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return spans.join(extra, same, "left").select(*keep, "h", *BASE, F.coalesce("extra", F.array().cast(SPAN)).alias("extra"))
+    extra = discovered(docs, spans)
+    return spans.join(extra, "h", "left").select(*keep, "h", *BASE, F.coalesce("extra", F.array().cast(SPAN)).alias("extra"))
 
 
 def _listed(spans: Column) -> Column:

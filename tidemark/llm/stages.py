@@ -45,8 +45,8 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the new text."""
     docs = packed(docs)
     narrow = staged(pii.base_spans(docs))
-    extra = size_checked(staged(pii.discovered(pii.instances(narrow)).toDF("_doc_id", "_h", "extra")), pii.EXTRA_ROWS)
-    rows = pii.base_spans(docs, ("_row", "doc_id", "text", "n_chars")).join(extra, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")), "left")
+    extra = size_checked(staged(pii.discovered(docs, narrow).toDF("_h", "extra")), pii.EXTRA_ROWS)
+    rows = pii.base_spans(docs, ("_row", "doc_id", "text", "n_chars")).join(extra, F.col("h") == F.col("_h"), "left")
     rows = rows.withColumn("extra", F.coalesce("extra", F.array().cast(pii.SPAN))).withColumn("_spans", pii.all_spans())
     rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("_spans"))))
     size = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
