@@ -80,9 +80,12 @@ def _windows(found: Column, names: int) -> Column:
         def window(i: Column) -> Column:
             return let(F.slice(template, i + 1, WIDTH), lambda w: F.when(F.size(F.filter(w, lambda x: ~_slot(x))) < 2, own(i)).when(F.exists(w, _slot), F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), values(template, i).alias("slots"))).otherwise(F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), none.alias("slots"))))
 
-        made = F.transform(steps, window)
+        if names == NONE:
+            return F.transform(steps, window)
         mark = OPENS if names == ALL else MARK
-        return made if names == NONE else F.transform(F.filter(steps, lambda i: F.exists(F.slice(found, i + 1, WIDTH), lambda x: x.startswith(mark))), window)
+        marked = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.get(found, i).startswith(mark))
+        around = lambda i: F.sequence(F.greatest(i - WIDTH + 1, F.lit(0)), F.least(i, F.greatest(F.size(found) - WIDTH, F.lit(0))))
+        return F.transform(F.array_distinct(F.flatten(F.transform(marked, around))), window)
 
     def own(i: Column) -> Column:
         return F.struct(i.alias("pos"), F.xxhash64(F.transform(F.slice(found, i + 1, WIDTH), _plain)).alias("h"), none.alias("slots"))
