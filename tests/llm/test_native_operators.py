@@ -142,10 +142,33 @@ def test_stages_keep_columns_and_odd_rows(spark, odd, empty):
             out.collect()
     assert {r["doc_id"] for r in stages.in_a_language(odd).collect()} == {4, 5, 7, 8, 9, 10, 11, None}
     ids = [r["doc_id"] for r in stages.one_of_each_group(odd).collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 8, 8, 10, 11]
+    assert None not in ids and sorted(ids) == [1, 4, 5, 6, 7, 8, 10, 11]
     assert {r["doc_id"] for r in stages.without_benchmark(odd, items).collect()}.isdisjoint({8, 9, None})
 
 
+def test_stages_judge_rows_not_ids(spark):
+    item = "how many green apples does the old farmer sell to the young baker on monday morning"
+    held, clean, body = f"well {item} then", prose(21, 40), prose(22, 60)
+    rows = [(None, held), (None, clean), (3, held), (3, clean), (4, body), (4, body), (None, body), (5, body), (5, prose(23, 40)), (None, prose(24, 40)), (None, prose(24, 40)), (6, None), (None, ""), (7, item)]
+    docs = documents(spark, [(k, t, "en", "s", 1) for k, t in rows])
+    items = benchmark(spark, [(1, item), (2, "just four short words")])
+    plain = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert plain(stages.without_benchmark(docs, items)) == sorted(((k, t) for k, t in rows if item not in (t or "")), key=str)
+    kept = plain(stages.one_of_each_group(docs))
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(t or "", []).append((k, t))
+    best = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert kept == sorted(best, key=str)
+
+
+def test_short_items_are_found_inside_long_texts(spark):
+    for n in range(1, 7):
+        item = " ".join(["zeta", "kappa", "omicron", "lambda", "sigma", "theta"][:n])
+        docs = documents(spark, [(1, f"{prose(1, 20)} {item} {prose(2, 20)}", None, None, 1), (2, prose(3, 40), None, None, 1), (3, item, None, None, 1)])
+        assert found(docs, benchmark(spark, [(5, item), (6, "Ann has 12 kg of red plums and gives Bob 3 kg")])) == {(1, 5), (3, 5)}
+
+
 def test_pipeline_on_planted_cases(spark, tmp_path):
     docs = read(spark, SF, "documents")
     item = read(spark, SF, "benchmark").first()["text"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -125,9 +126,7 @@ def groups_by_hand(rows):
     return {(d, f"{k:016x}"): smallest.get(find(k)) for k, docs in prints.items() for d in docs}
 
 
-@pytest.mark.parametrize("direct", [2048, 3])
-def test_simhash_by_hand(spark, odd, empty, sf, monkeypatch, direct):
-    monkeypatch.setattr(simhash, "DIRECT", direct)
+def test_simhash_by_hand(spark, odd, empty, sf):
     near = [(1000 + k, prose(5, 90) + " " + prose(k % 7, 1 + k % 4), None, None, 1) for k in range(60)] + [(2000 + k, prose(9, 30), None, None, 1) for k in range(20)]
     for table in (spark.read.parquet(f"{sf}/documents.parquet"), documents(spark, near), odd):
         rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
@@ -137,29 +136,27 @@ def test_simhash_by_hand(spark, odd, empty, sf, monkeypatch, direct):
     assert simhash.simhash_components(empty).count() == 0
 
 
-def test_buckets_of_any_size_give_the_same_components():
-    draw = np.random.default_rng(0)
-    for direct in (2048, 4):
-        simhash.DIRECT, kept = direct, simhash.DIRECT
-        fps = set()
-        for base in draw.integers(0, 2**63, 8, dtype=np.uint64).tolist():
-            for _ in range(80):
-                x = base
-                for j in draw.integers(0, 64, draw.integers(0, 7)):
-                    x ^= 1 << int(j)
-                fps.add(x)
-        fps = np.array(sorted(fps), np.uint64)
-        flips = [0] + [1 << k for k in range(32)]
-        pairs = [(half ^ f, x) for x in fps.tolist() for half in (x & 0xFFFFFFFF, (x >> 32) | (1 << 32)) for f in flips]
-        found, want = simhash._Forest(), simhash._Forest()
-        for a, b in simhash.bucket_links(*(np.array(c, np.uint64) for c in zip(*pairs))):
-            assert (a ^ b).bit_count() <= 3
-            found.link(a, b)
-        for x in fps:
-            for y in fps[np.bitwise_count(fps ^ x) <= 3]:
-                want.link(int(x), int(y))
-        assert [found.find(int(x)) for x in fps] == [want.find(int(x)) for x in fps]
-        simhash.DIRECT = kept
+@pytest.mark.parametrize("bases, most", [(8, 7), (200, 4), (1, 6)])
+def test_buckets_of_any_size_give_the_right_components(bases, most):
+    draw = np.random.default_rng(bases)
+    fps = set()
+    for base in draw.integers(0, 2**63, bases, dtype=np.uint64).tolist():
+        for _ in range(640 // bases):
+            x = base
+            for j in draw.integers(0, 64, draw.integers(0, most)):
+                x ^= 1 << int(j)
+            fps.add(x)
+    fps = np.array(sorted(fps), np.uint64)
+    flips = [0] + [1 << k for k in range(32)]
+    pairs = [(half ^ f, x) for x in fps.tolist() for half in (x & 0xFFFFFFFF, (x >> 32) | (1 << 32)) for f in flips]
+    found, want = simhash._Forest(), simhash._Forest()
+    for a, b in simhash.bucket_links(*(np.array(c, np.uint64) for c in zip(*pairs))):
+        assert (a ^ b).bit_count() <= 3
+        found.link(a, b)
+    for x in fps:
+        for y in fps[np.bitwise_count(fps ^ x) <= 3]:
+            want.link(int(x), int(y))
+    assert [found.find(int(x)) for x in fps] == [want.find(int(x)) for x in fps]
 
 
 def test_components_of_long_chains_and_hubs(spark):
@@ -230,6 +227,32 @@ def test_base_spans_of_any_shape_are_seeds(spark):
     assert got[51]["n_id"] == 0 and all(r["n_id"] == 0 for k, r in got.items() if k is not None and k < 50)
 
 
+def test_bootstrapping_admits_new_patterns_and_leaves_common_words(spark):
+    first = [(k, f"{prose(k, 6)} member ref {k}.x@mail.org {prose(k + 1, 4)}", None, None, 1) for k in range(20)]
+    first += [(20 + k, f"{prose(k, 6)} member ref uid_{k}z {prose(k + 1, 4)}", None, None, 1) for k in range(16)]
+    second = [(40 + k, f"{prose(k, 3)} badge uid_{k}z {prose(k + 2, 5)}", None, None, 1) for k in range(16)]
+    later = [(60, "lorem ipsum badge q-77 dolor", None, None, 1), (61, "the q-77 was lost", None, None, 1)]
+    common = [(100 + k, f"lorem of 10.1.2.{k} and of {prose(k, 1)}{k} of {prose(k, 1)}x{k} sed of {prose(k + 9, 1)}{k}", None, None, 1) for k in range(8)]
+    found = {r["doc_id"]: r for r in pii.report(documents(spark, first + second + common)).collect()}
+    assert all(found[20 + k]["n_id"] == 1 and found[40 + k]["n_id"] == 1 for k in range(16))
+    assert all(found[100 + k]["n_id"] == 0 for k in range(8))  # `of` stands before anything
+    more = {r["doc_id"]: r for r in pii.report(documents(spark, first + second + later)).collect()}
+    at = later[0][1].index("q-77")
+    assert more[60]["spans"] == f"id:{at}:{at + 4}" and more[61]["n_id"] == 0  # `badge` is a pattern of the second round
+
+
+def test_personal_data_of_long_texts_takes_linear_time(spark):
+    took = []
+    for n in (4000, 16000):
+        text = ":" * n + " 1 " + "+1 555 123 4567, " * n + "a@b.cd " * n
+        table = documents(spark, [(1, text, None, None, 1)], False)
+        start = time.time()
+        r = pii.report(table).first()
+        took.append(time.time() - start)
+        assert (r["n_phone"], r["n_email"]) == (n, n)
+    assert took[1] < 12 * took[0] + 5
+
+
 def test_redaction(spark):
     text = "é a@b.cd and 10.0.0.1, end"
     df = pii.personal_data(documents(spark, [(1, text, None, None, 1)], False), ("doc_id", "text")).select(pii.redacted(F.col("text"), pii.all_spans()).alias("t"))

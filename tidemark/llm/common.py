@@ -22,10 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only where it names none (tests, a laptop) a temporary one."""
+    """The checkpoint folder that the session names; a temporary one only where it names none and runs in one process."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder, and a cluster needs one")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -48,6 +50,11 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
+def text_hash(text: Column) -> Column:
+    """A hash of a whole text; null counts as empty. With the id it names a row of documents."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
@@ -97,6 +104,14 @@ def size_checked(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def tree_summed(rows: DataFrame, add: Callable, kind: str, splits: int) -> DataFrame:
+    """rows (with a part number i) after `add` over groups of splits and then over all: no task gets every split's rows."""
+    if splits > 64:
+        width = int(splits**0.5)
+        rows = rows.withColumn("_g", F.spark_partition_id() % width).repartition(width, "_g").drop("_g").mapInArrow(add, kind)
+    return rows.repartition("i").mapInArrow(add, kind)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the connected components of links (a, b), each named by its smallest node.
 

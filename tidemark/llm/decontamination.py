@@ -8,10 +8,12 @@ copies and questions with exchanged parameters are found, also where templates r
 contradict each other don't count.
 
 A window with fewer than two literal words is hashed by its own values, so bare tables of numbers aren't
+found as templates.
 
-Defined cases: null texts and texts without a word have no windows; a text or an item of fewer than five words
-has one window, all of it; an item without a word matches nothing; items given twice under one id count once;
-repeated rows of a document count as one; a null item text is skipped; other columns are ignored."""
+Defined cases: null texts and texts without a word have no windows; an item of fewer than five words has one window,
+all of it, and is met by windows of its own length; an item without a word matches nothing; items given twice under
+one id count once; a row is known by its id and its text, so different texts under one id, or without an id, are looked
+at one by one, and repeated rows count as one; a null item text is skipped; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import size_checked, staged
+from .common import size_checked, staged, text_hash
 
 WIDTH = 5
 COVERAGE = 0.8
@@ -71,31 +73,31 @@ def _slot(x: Column) -> Column:
     return x.isin(NUMBER, UNIT, NAME)
 
 
-def _windows(found: Column, names: int) -> Column:
+def _windows(found: Column, names: int, width: int = WIDTH) -> Column:
     """array<struct<pos, h, slots>> of the windows of one template; with names, only those that have one of its kind."""
-    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.greatest(F.size(found) - WIDTH, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.greatest(F.size(found) - width, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     none = F.lit(None).cast("array<string>")
 
     def slotted(template: Column) -> Column:
         def window(i: Column) -> Column:
-            return let(F.slice(template, i + 1, WIDTH), lambda w: F.when(F.size(F.filter(w, lambda x: ~_slot(x))) < 2, own(i)).when(F.exists(w, _slot), F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), values(template, i).alias("slots"))).otherwise(F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), none.alias("slots"))))
+            return let(F.slice(template, i + 1, width), lambda w: F.when(F.size(F.filter(w, lambda x: ~_slot(x))) < 2, own(i)).when(F.exists(w, _slot), F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), values(template, i).alias("slots"))).otherwise(F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), none.alias("slots"))))
 
         if names == NONE:
             return F.transform(steps, window)
         mark = OPENS if names == ALL else MARK
         marked = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.get(found, i).startswith(mark))
-        around = lambda i: F.sequence(F.greatest(i - WIDTH + 1, F.lit(0)), F.least(i, F.greatest(F.size(found) - WIDTH, F.lit(0))))
+        around = lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, F.greatest(F.size(found) - width, F.lit(0))))
         return F.transform(F.array_distinct(F.flatten(F.transform(marked, around))), window)
 
     def own(i: Column) -> Column:
-        return F.struct(i.alias("pos"), F.xxhash64(F.transform(F.slice(found, i + 1, WIDTH), _plain)).alias("h"), none.alias("slots"))
+        return F.struct(i.alias("pos"), F.xxhash64(F.transform(F.slice(found, i + 1, width), _plain)).alias("h"), none.alias("slots"))
 
     def values(template: Column, i: Column) -> Column:
-        at = F.filter(F.sequence(i, F.least(i + WIDTH, F.size(template)) - 1), lambda j: _slot(F.get(template, j)))
+        at = F.filter(F.sequence(i, F.least(i + width, F.size(template)) - 1), lambda j: _slot(F.get(template, j)))
         return F.transform(at, lambda j: F.concat_ws(":", j - i, _plain(F.get(found, j))))
 
     def light(template: Column) -> Column:
-        return F.transform(steps, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(template, i + 1, WIDTH)).alias("h"), none.alias("slots")))
+        return F.transform(steps, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(template, i + 1, width)).alias("h"), none.alias("slots")))
 
     if names:
         return let(_template(found, names), slotted)
@@ -103,35 +105,43 @@ def _windows(found: Column, names: int) -> Column:
     return F.when(has_slot, let(_template(found, NONE), slotted)).otherwise(let(F.transform(found, _plain), lambda t: F.when(F.size(t) < 2, F.transform(steps, own)).otherwise(light(t))))
 
 
-def windows(table: DataFrame, key: str) -> DataFrame:
-    """(key, pos, h, slots): the template windows of every row of table."""
+def windows(table: DataFrame, *keys: str, widths: tuple[int, ...] = (WIDTH,)) -> DataFrame:
+    """(keys, pos, h, slots): the template windows of every row of table, of each of `widths` words."""
     none = F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")
 
-    def with_names(found: Column, names: int, mark: str) -> Column:
-        return F.when(F.exists(found, lambda x: x.startswith(mark)), _windows(found, names)).otherwise(none)
+    def with_names(found: Column, names: int, mark: str, width: int) -> Column:
+        return F.when(F.exists(found, lambda x: x.startswith(mark)), _windows(found, names, width)).otherwise(none)
 
-    every = let(words(F.col("text")), lambda found: F.concat(_windows(found, NONE), with_names(found, INNER, MARK), with_names(found, ALL, OPENS)))
-    return table.select(F.col(key), F.explode(every).alias("w")).select(key, "w.pos", "w.h", "w.slots")
+    every = let(words(F.col("text")), lambda found: F.concat(*(x for n in widths for x in (_windows(found, NONE, n), with_names(found, INNER, MARK, n), with_names(found, ALL, OPENS, n)))))
+    return table.select(*keys, F.explode(every).alias("w")).select(*keys, "w.pos", "w.h", "w.slots")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, n_windows, n_found, coverage and slot_agreement of the documents that hold an item.
+def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, text_h (see `text_hash`), item_id, n_windows, n_found, coverage and slot_agreement of the rows that hold an item.
 
-    A document holds an item if at least `coverage` of the item's windows are in it, counting windows with slots
-    only where the slots agree: each value of the item has one value in the document, in `coverage` of the slots."""
-    item = windows(benchmark.select("item_id", "text").dropDuplicates(["item_id"]), "item_id").where(F.col("item_id").isNotNull())
+    A row holds an item if at least `coverage` of the item's windows are in it, counting windows with slots only where
+    the slots agree: each value of the item has one value in the document, in `coverage` of the slots."""
+    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
+    short = [r["n"] for r in items.select(F.size(words(F.col("text"))).alias("n")).where(f"n between 1 and {WIDTH - 1}").distinct().collect()]  # four numbers at most
+    item = windows(items, "item_id")
     item = item.select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
     size = item.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    met = windows(docs, "doc_id").join(size_checked(item, BROADCAST_ROWS), "h")
+    rows = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_h"))
+    met = windows(rows, "doc_id", "text_h", widths=(WIDTH, *short)).join(size_checked(item, BROADCAST_ROWS), "h")
     pair = F.when(F.col("item_slots").isNotNull(), F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(_value(x["item_slots"]).alias("theirs"), _value(x["slots"]).alias("ours"))))
     # a struct of the id joins null ids with each other; windows without slots count wherever they are
-    met = staged(met.select(F.struct("doc_id").alias("doc"), "item_id", "item_pos", pair.alias("pairs"), F.when(F.col("item_slots").isNotNull(), F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+    met = staged(met.select(F.struct("doc_id", "text_h").alias("doc"), "item_id", "item_pos", pair.alias("pairs"), F.when(F.col("item_slots").isNotNull(), F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     places = met.groupBy("doc", "item_id").agg(F.collect_set("item_pos").alias("any"), F.collect_set(F.when(F.col("pairs").isNull(), F.col("item_pos"))).alias("plain"))
     places = places.join(size_checked(size, BROADCAST_ROWS), "item_id").where(F.size("any") >= coverage * F.col("n_windows")).select("doc", "item_id", "n_windows", "plain")
     slotted = met.where(F.col("pairs").isNotNull()).join(places.select("doc", "item_id", "n_windows"), ["doc", "item_id"])
     best = instances(slotted, places, coverage)
-    found = places.join(best, ["doc", "item_id"], "left").select("doc.doc_id", "item_id", "n_windows", F.greatest(F.size("plain"), F.coalesce("with_slots", F.lit(0))).cast("long").alias("n_found"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
-    return found.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "slot_agreement")
+    found = places.join(best, ["doc", "item_id"], "left").select("doc.doc_id", "doc.text_h", "item_id", "n_windows", F.greatest(F.size("plain"), F.coalesce("with_slots", F.lit(0))).cast("long").alias("n_found"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
+    return found.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage).select("doc_id", "text_h", "item_id", "n_windows", "n_found", "coverage", "slot_agreement")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, n_windows, n_found, coverage and slot_agreement of the rows (id and text) that hold an item."""
+    return held_items(docs, benchmark, coverage).drop("text_h")
 
 
 def _value(slot: Column) -> Column:

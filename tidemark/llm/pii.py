@@ -1,14 +1,22 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of unseen identifiers.
 
-DataFrame functions only. Base entities (email, ip, card, phone) are seeds, whatever their shape. The word before a seed
-is a lexical pattern, and every token that such a pattern precedes is a candidate; patterns and the values that they
-surround form a graph. In rounds, a
-pattern's confidence is the shrunk mean score of its values and a value's score is the noisy-or of its patterns;
-seeds stay at one. Confident patterns with enough different seed values then mark the tokens after them as
-identifiers, kind `id`.
+DataFrame functions only. Base entities (email, ip, card, phone) are seeds, whatever their shape. The lexical patterns
+around an instance are the word before it, the two words before it, and the words on both sides of it; for an instance
+inside a word, what stands before it in the word. Patterns and the values that they surround form a graph:
 
-Spans count code points, end exclusive. The base expressions are written so that a scan is linear: a match starts
-only at the start of a run or where the last match ended, which is where a leftmost match starts anyway.
+1. Patterns around at least `SUPPORT` different good values (seeds, and values found so far) are candidates.
+2. A scan counts every value that a candidate surrounds. It is admitted if at least `ADMITTED` of them are good, so a
+   word that stands before anything is never admitted, however many seeds follow it.
+3. Over the graph of the admitted patterns, a pattern's confidence is the shrunk mean score of its values, and a value's
+   score is the noisy-or of its patterns; seeds stay at one. Values of high score are good from then on.
+4. Their contexts bring new candidates, until a round admits no pattern or finds no value.
+
+Confident patterns mark the values of high score that they surround as identifiers, kind `id`. A pattern must have a
+letter, and an identifier a character that is no letter: words of letters alone aren't marked.
+
+Spans count code points, end exclusive. A scan takes time in proportion to the text: a match of a base expression starts
+only at the start of a run or where the last match ended, which is where a leftmost match starts anyway, and offsets are
+summed in blocks.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are found one by one and score as one
 value; a table without seeds gives base columns alone; other columns of the input are ignored."""
@@ -39,30 +47,51 @@ INNER = rf"(?<=[{_OPEN}])[^\s{_OPEN}{_CLOSE}]++"
 WORD = r"\S+"
 ENDS = "[.!?]+$"
 BLANK = "\ue000"
-#: Characters before a span in which its context is looked for; longer words aren't patterns.
-BEFORE = 256
+#: A pattern has a letter; an identifier has a character that is none.
+LETTER, MARKED = r"\p{L}", r"[^\p{L}]"
+#: Characters around a span in which its context is looked for; words over half of it aren't in patterns.
+AROUND = 256
 SUPPORT = 5
+ADMITTED = 0.5
 CONFIDENCE = 0.9
-ROUNDS = 3
+#: Sweeps over the graph in each round, and the most rounds of bootstrapping.
+SWEEPS = 3
+ROUNDS = 10
+#: Matches whose offsets are summed together.
+BLOCK = 256
 #: Documents with discovered spans are broadcast up to this many; beyond it Spark shuffles.
 EXTRA_ROWS = 100_000
+#: Patterns, values or seeds are broadcast up to this many (some 10 MB); beyond it Spark shuffles.
+PATTERN_ROWS = 200_000
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
 def located(text: Column, pattern: str, kind: int, accepted) -> Column:
-    """array<struct<kind, start, end, value, before>> of the matches that `accepted` holds for; before: up to 64 characters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:string,before:string>>")
+    """array<struct<kind, start, end, value>> of the matches that `accepted` holds for.
+
+    Offsets are summed inside blocks of matches and then over blocks, since an array that grows by one costs its length."""
+    spans = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
+    zipped = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between")), lambda x: x["found"].isNotNull())
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["between"])
         end = start + F.length(x["found"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["found"].alias("value"), F.right(x["between"], F.lit(64)).alias("before"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["found"].alias("value"))
         return F.struct(end.alias("at"), F.when(accepted(x["found"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    zipped = F.filter(F.arrays_zip(found.alias("found"), between.alias("between")), lambda x: x["found"].isNotNull())
-    return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+    def block(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("spans")), add)
+
+    def joined(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        starts = F.aggregate(blocks, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        moved = lambda b, at: F.transform(b["spans"], lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, starts, moved))
+
+    def cut(every: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int")), lambda k: block(F.slice(every, k * BLOCK + 1, BLOCK)))
+
+    return let(zipped, lambda every: F.when(F.size(every) == 0, F.array().cast(spans)).when(F.size(every) <= BLOCK, block(every)["spans"]).otherwise(let(cut(every), joined)))
 
 
 def _digits(value: Column) -> Column:
@@ -80,103 +109,169 @@ WORTH = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0
 
 
 def base_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, h (a hash of the text) and one array of spans for each base kind, of every row of docs."""
+    """`keep`, h (a hash of the text) and one array of spans for each base kind, of every row of docs.
+
+    A span has its value and what stands around it: a side that isn't cut has a blank at its outer end."""
     text = F.coalesce("text", F.lit(""))
-    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:string,before:string>>")
-    before = lambda x: x.withField("before", F.substring(text, F.greatest(x["start"] - BEFORE + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(BEFORE)).cast("int")))
-    columns = [F.when(WORTH[kind](text), F.transform(located(text, pattern, k, ACCEPTED[kind]), before)).otherwise(none).alias(kind) for k, (kind, pattern) in enumerate(BASE.items())]
+    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:string,before:string,after:string>>")
+
+    def sides(x: Column) -> Column:
+        before = F.substring(text, F.greatest(x["start"] - AROUND + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(AROUND)).cast("int"))
+        after = F.substring(text, (x["end"] + 1).cast("int"), F.lit(AROUND))
+        whole = lambda side: F.when(F.length(side) < AROUND, F.lit(" ")).otherwise(F.lit(""))
+        return x.withField("before", F.concat(whole(before), before)).withField("after", F.concat(after, whole(after)))
+
+    columns = [F.when(text.rlike("[@0-9]") & WORTH[kind](text), F.transform(located(text, pattern, k, ACCEPTED[kind]), sides)).otherwise(none).alias(kind) for k, (kind, pattern) in enumerate(BASE.items())]
     return docs.select(*keep, F.xxhash64(text).alias("h"), *columns)
 
 
-def _folded(word: Column) -> Column:
-    """A word as a pattern: lower case, digits as 9; null if there is none or it is too long."""
-    return F.when(F.length(word).between(1, BEFORE // 2), F.regexp_replace(F.lower(word), "[0-9]", "9"))
+def _folded(text: Column) -> Column:
+    return F.translate(F.lower(text), "0123456789", "9" * 10)
+
 
+def _short(word: Column) -> Column:
+    """The word, or null if there is none or it is too long for a pattern."""
+    return F.when(F.length(word).between(1, AROUND // 2), word)
 
-def _context(before: Column) -> Column:
-    """The pattern of what stands before a span."""
-    return _folded(F.regexp_extract(before, r"(?:^|\s)(\S+)\s*$", 1))
+
+def _patterns(earlier: Column, before: Column, after: Column) -> Column:
+    """The patterns around a token, of the folded words around it (null or empty: none); some may be null."""
+    earlier, before, after = _short(earlier), _short(before), _short(after)
+    return F.array(before, F.concat(earlier, F.lit(" "), before), F.concat(before, F.lit(f" {BLANK} "), after))
 
 
 def seeds(spans: DataFrame) -> DataFrame:
-    """pattern and value of every base span that has a word before it."""
-    every = spans.select(F.explode(F.concat(*BASE)).alias("c")).select(_context(F.col("c.before")).alias("pattern"), F.col("c.value").alias("value"))
-    return every.where(F.col("pattern").isNotNull())
+    """pattern and value of every base span, in each of its contexts."""
+    c = spans.select(F.explode(F.concat(*BASE)).alias("c")).select("c.value", _folded(F.col("c.before")).alias("before"), _folded(F.col("c.after")).alias("after"))
+    word = lambda side, pattern: F.regexp_extract(side, pattern, 1)
+    inside = F.array(_short(word(F.col("before"), r"\s(\S+)$")))
+    apart = _patterns(word(F.col("before"), r"\s(\S+)\s+\S+\s+$"), word(F.col("before"), r"\s(\S+)\s+$"), word(F.col("after"), r"^\S*\s+(\S+)\s"))
+    return c.select("value", F.explode(F.when(F.col("before").rlike(r"\S$"), inside).otherwise(apart)).alias("pattern")).where(F.col("pattern").rlike(LETTER)).select("pattern", "value").distinct()
 
 
-def known_patterns(seeds: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """The patterns before at least `support` different base values; that is their definition, not a cap."""
-    return seeds.groupBy("pattern").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= support).select("pattern")
+def blanked(text: Column) -> Column:
+    """text with BLANK for every character of its base spans."""
+    blank = lambda t, x: F.overlay(t, F.repeat(F.lit(BLANK), (x["end"] - x["start"]).cast("int")), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
+    plain = text
+    for k, (kind, pattern) in enumerate(BASE.items()):  # spans of different kinds may overlap
+        text = F.when(WORTH[kind](F.col("text")), F.aggregate(located(F.col("text"), pattern, k, ACCEPTED[kind]), text, blank)).otherwise(text)
+    return F.when(plain.rlike("[@0-9]"), text).otherwise(plain)
 
 
-def _in_word(word: Column, earlier: Column) -> Column:
-    """array<struct<at, value, pattern>> of the tokens of a word, where `earlier` is the word before it."""
-    whole = F.regexp_extract(word, TOKEN, 1)
-    value = F.regexp_replace(whole, ENDS, "")
-    skipped = F.length(F.regexp_extract(word, TOKEN, 0)) - F.length(whole)
-    token = lambda at, value: F.struct(at.cast("long").alias("at"), value.alias("value"), F.when(at == 0, _folded(earlier)).otherwise(_folded(F.left(word, at.cast("int")))).alias("pattern"))
-    inside = F.transform(located(word, INNER, len(BASE), lambda v: F.lit(True)), lambda x: token(x["start"], F.regexp_replace(x["value"], ENDS, "")))
-    first = F.when((value != "") & (skipped == 0), F.array(token(F.lit(0), value))).otherwise(F.array().cast("array<struct<at:bigint,value:string,pattern:string>>"))
-    return F.when(word.rlike(rf"[{_OPEN}]"), F.concat(first, inside)).otherwise(first)
+def words(docs: DataFrame) -> DataFrame:
+    """h, i, word, earlier, before and after of every word of the texts: its neighbours, empty if there are none."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    texts = docs.select(text).select(F.xxhash64("text").alias("h"), F.regexp_extract_all(blanked(F.col("text")), F.lit(WORD), F.lit(0)).alias("w"))
+    none, all_but = F.array(F.lit("")), lambda n: F.slice("w", F.lit(1), F.greatest(F.size("w") - n, F.lit(0)))
+    each = F.arrays_zip(F.col("w").alias("word"), F.concat(none, none, all_but(2)).alias("earlier"), F.concat(none, all_but(1)).alias("before"), F.slice("w", F.lit(2), F.size("w")).alias("after"))
+    return texts.select("h", F.posexplode(each).alias("i", "x")).select("h", "i", "x.*")
 
 
-def instances(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """h, i, at, value and pattern of every token of the texts that a known pattern precedes: it is at `at` of word i.
+def _first(word: Column) -> Column:
+    """The token that a word opens with, without end marks; empty if there is none."""
+    return F.regexp_replace(F.regexp_extract(word, TOKEN, 1), ENDS, "")
+
+
+def _inner(word: Column) -> Column:
+    """array<struct<at, value>> of the tokens inside a word, after an opening mark."""
+    token = lambda x: F.struct(x["start"].alias("at"), F.regexp_replace(x["value"], ENDS, "").alias("value"))
+    return F.when(word.rlike(INNER), F.transform(located(word, INNER, 0, lambda v: F.lit(True)), token)).otherwise(F.array().cast("array<struct<at:bigint,value:string>>"))
 
-    Base spans are blanked before, since the span itself is an instance there."""
-    text = F.coalesce("text", F.lit(""))
-    base = F.concat(*(F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), (x["end"] - x["start"]).alias("size"))) for k in BASE))
-    blank = lambda t, x: F.overlay(t, F.repeat(F.lit(BLANK), x["size"].cast("int")), (x["start"] + 1).cast("int"), x["size"].cast("int"))
-    texts = base_spans(docs.select(text.alias("text")), ("text",)).select("h", F.aggregate(base, F.col("text"), blank).alias("text"))
-    each = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("word"), F.get(w, i - 1).alias("earlier"))))
-    tokens = texts.select("h", F.explode(each).alias("w")).select("h", "w.i", F.explode(_in_word(F.col("w.word"), F.col("w.earlier"))).alias("t")).select("h", "i", "t.*")
-    return tokens.where(F.col("pattern").isNotNull() & (F.col("value") != "") & ~F.col("value").contains(BLANK)).join(size_checked(known, 200_000), "pattern", "left_semi")
+
+def _named(value: Column) -> Column:
+    return (value != "") & ~value.contains(BLANK)
+
+
+def _inside(word: Column, at: Column) -> Column:
+    return _short(_folded(F.left(word, at.cast("int"))))
+
+
+def instances(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """h, i, at, value and pattern of every token of the texts that a known pattern (column pattern) surrounds.
+
+    It starts `at` characters into word i. Base spans are left out: they are instances already."""
+    known, rows = size_checked(staged(known.select("pattern").distinct()), PATTERN_ROWS), words(docs)
+    head = F.substring_index(F.substring_index("pattern", f" {BLANK} ", 1), " ", -1).alias("head")
+    heads = size_checked(staged(known.select(head).distinct()), PATTERN_ROWS)
+    around = rows.join(heads, _folded(F.col("before")) == F.col("head"), "left_semi").where(~F.col("word").rlike(f"^[{_OPEN}]"))
+    around = around.select("h", "i", "word", F.explode(_patterns(*(_folded(F.col(k)) for k in ("earlier", "before", "after")))).alias("pattern"))
+    around = around.join(known, "pattern", "left_semi").select("h", "i", F.lit(0).cast("long").alias("at"), _first(F.col("word")).alias("value"), "pattern")
+    marked = known.where(F.col("pattern").rlike(f"[{_OPEN}]$"))
+    if not marked.isEmpty():
+        inner = rows.select("h", "i", "word", F.explode(_inner(F.col("word"))).alias("t")).select("h", "i", "t.at", "t.value", _inside(F.col("word"), F.col("t.at")).alias("pattern"))
+        around = around.unionByName(inner.join(size_checked(marked, PATTERN_ROWS), "pattern", "left_semi"))
+    return around.where(_named(F.col("value")))
+
+
+def contexts(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """The different (pattern, value) of all places where one of the values (column value) stands."""
+    first = F.array(F.struct(F.lit(0).cast("long").alias("at"), _first(F.col("word")).alias("value")))
+    tokens = F.when(F.col("word").rlike(f"[{_OPEN}]"), F.concat(F.when(F.col("word").rlike(f"^[^{_OPEN}]"), first).otherwise(F.array().cast("array<struct<at:bigint,value:string>>")), _inner(F.col("word")))).otherwise(first)
+    found = words(docs).select("word", "earlier", "before", "after", F.explode(tokens).alias("t")).select("*", "t.at", "t.value").join(size_checked(values, PATTERN_ROWS), "value", "left_semi")
+    around = _patterns(*(_folded(F.col(k)) for k in ("earlier", "before", "after")))
+    found = found.select("value", F.explode(F.when(F.col("at") == 0, around).otherwise(F.array(_inside(F.col("word"), F.col("at"))))).alias("pattern"))
+    return found.where(F.col("pattern").rlike(LETTER)).select("pattern", "value").distinct()
 
 
 def placed(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """h and extra: where the hits (h, i, at, value) are in their texts."""
     text = F.coalesce("text", F.lit(""))
     hits = hits.groupBy("h").agg(F.collect_set(F.struct("i", "at", F.length("value").alias("size"))).alias("hits"))
-    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(size_checked(staged(hits), EXTRA_ROWS), "h")
-    sizes = F.arrays_zip(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.length), F.transform(F.split("text", WORD, -1), F.length)).cast("array<struct<word:int,gap:int>>")
-    spans = "array<struct<start:bigint,end:bigint>>"
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        here = F.filter("hits", lambda h: h["i"] == acc["i"])
-        out = F.when(F.size(here) > 0, F.concat(acc["out"], F.transform(here, lambda h: F.struct(start + h["at"], start + h["at"] + h["size"])).cast(spans))).otherwise(acc["out"])
-        return F.struct((acc["i"] + 1).alias("i"), (start + F.coalesce(x["word"], F.lit(0))).alias("at"), out.alias("out")).cast(f"struct<i:int,at:bigint,out:{spans}>")
-
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("out"))
-    found = rows.select("h", F.explode(F.aggregate(sizes, zero, add, lambda acc: acc["out"])).alias("x"))
-    return found.groupBy("h").agg(F.array_sort(F.collect_set(F.struct(F.lit(len(BASE)).alias("kind"), "x.start", "x.end"))).alias("extra"))
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(size_checked(staged(hits), EXTRA_ROWS), "h").dropDuplicates(["h"])
+    start = lambda found, x: F.get(found, x["i"])["start"] + x["at"]
+    spans = let(located(F.col("text"), WORD, 0, lambda v: F.lit(True)), lambda found: F.transform("hits", lambda x: F.struct(F.lit(len(BASE)).alias("kind"), start(found, x).alias("start"), (start(found, x) + x["size"]).alias("end"))))
+    return rows.select("h", F.array_sort(spans).cast(SPAN).alias("extra"))
 
 
-def bootstrapped(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(pattern, confidence) and (value, score) of instances, after `rounds` rounds over the pattern-value graph.
-
-    Only patterns with at least `support` different seed values take part; that is their definition, not a cap."""
-    edges = found.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    known = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support).select("pattern")
-    edges = staged(edges.join(known, "pattern", "left_semi"))
-    scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+def scored(edges: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, DataFrame]:
+    """(pattern, confidence) and (value, seed, score) after `sweeps` sweeps over edges (pattern, value, seed)."""
+    scores = edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double"))
     patterns = None
-    for _ in range(rounds):
-        patterns = edges.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 0.25)).alias("confidence"))
+    for _ in range(sweeps):
+        patterns = edges.select("pattern", "value").join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 0.25)).alias("confidence"))
         told = edges.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))).alias("doubt"))
-        scores = staged(told.select("value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score")))
+        scores = staged(told.select("value", "seed", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score")))
     return patterns, scores
 
 
+def bootstrapped(docs: DataFrame, given: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame | None:
+    """The instances (h, i, at, value, pattern) of identifiers that bootstrapping from the seeds finds; None if none."""
+    given = staged(given)
+    good = given.select("value").distinct()
+    seen, admitted, edges, firm, sure = given, None, None, None, None
+    for _ in range(rounds):
+        many = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+        if admitted is not None:
+            many = many.join(admitted, "pattern", "left_anti")
+        many = staged(many.select("pattern"))
+        if many.isEmpty():
+            break
+        pairs = staged(seen.join(many, "pattern", "left_semi").select("pattern", "value").unionByName(instances(docs, many).select("pattern", "value")).distinct())
+        share = pairs.join(size_checked(staged(good.withColumn("good", F.lit(1.0))), PATTERN_ROWS), "value", "left").groupBy("pattern").agg((F.sum(F.coalesce("good", F.lit(0.0))) / F.count(F.lit(1))).alias("share"))
+        new = staged(share.where(F.col("share") >= ADMITTED).select("pattern"))
+        if new.isEmpty():
+            break
+        more = pairs.join(size_checked(new, PATTERN_ROWS), "pattern", "left_semi").join(given.withColumn("seed", F.lit(True)), ["pattern", "value"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+        admitted, edges = (new, staged(more)) if edges is None else (staged(admitted.union(new)), staged(edges.unionByName(more)))
+        patterns, scores = scored(edges)
+        firm = staged(patterns.where(F.col("confidence") >= confidence).select("pattern"))
+        sure = staged(scores.where(~F.col("seed") & (F.col("score") >= confidence) & F.col("value").rlike(MARKED)).select("value"))
+        fresh = staged(sure.join(good, "value", "left_anti"))
+        if fresh.isEmpty():
+            break
+        good = staged(good.union(fresh))
+        seen = staged(seen.unionByName(contexts(docs, fresh)).distinct())
+    if sure is None or sure.isEmpty():
+        return None
+    return instances(docs, firm).join(size_checked(sure, PATTERN_ROWS), "value", "left_semi")
+
+
 def discovered(docs: DataFrame, spans: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """h and extra: the spans that confident patterns mark beside the base ones, by the hash of the text."""
-    given = seeds(spans)
-    found = staged(instances(docs, known_patterns(given)))
-    graph = given.withColumn("seed", F.lit(True)).unionByName(found.select("pattern", "value").withColumn("seed", F.lit(False)))
-    patterns, scores = bootstrapped(graph)
-    sure = size_checked(patterns.where(F.col("confidence") >= confidence).select("pattern"), 200_000)
-    new = found.join(sure, "pattern", "left_semi").join(size_checked(scores.where(F.col("score") >= confidence).select("value"), 200_000), "value", "left_semi")
-    return placed(docs, new)
+    hits = bootstrapped(docs, seeds(spans), confidence=confidence)
+    if hits is None:
+        return docs.sparkSession.createDataFrame([], f"h long, extra {SPAN}")
+    return placed(docs, hits)
 
 
 def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

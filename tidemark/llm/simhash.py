@@ -3,8 +3,8 @@
 Two fingerprints that differ in at most three bits differ in at most one bit of one of their two halves. So every
 distinct fingerprint emits, for each half, all variants of it within half the radius (one bit); the variants are
 the shuffle key, the whole fingerprint is carried. Where an exact half meets a variant, the other half decides.
-A bucket yields a spanning forest of its links, never its pairs: small ones are compared directly, large ones by
-a second meeting in the middle over the other half, which takes time in proportion to their size.
+A bucket yields a spanning forest of its links, never its pairs, by a second meeting in the middle over the other
+half, which takes time in proportion to its size.
 
 Exact copies collapse into one fingerprint before anything is emitted, so a group of copies costs one row.
 
@@ -26,8 +26,6 @@ from .common import components, per_text, staged
 
 SEED = 42
 WIDTH = 3
-#: Up to this size a bucket's exact halves are compared with all its variants; larger ones take the linear way.
-DIRECT = 2048
 #: Distinct fingerprints for each partition of the shuffle on variants.
 PER_PARTITION = 20_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -92,63 +90,43 @@ class _Forest:
             self.edges.append((a, b))
 
 
-def _other(fp: np.ndarray, high: bool) -> np.ndarray:
-    return (fp & _LOW) if high else (fp >> np.uint64(32))
+def bucket_links(variant: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between fingerprints (unsigned) that meet on a variant.
 
-
-def _direct(fp: np.ndarray, exact: np.ndarray, forest: _Forest, radius: int) -> None:
-    """Compares the exact halves with every entry of the bucket."""
-    for k in np.flatnonzero(exact):
-        near = fp[np.bitwise_count(fp ^ fp[k]) <= radius]
-        for x in near.tolist():
-            forest.link(int(fp[k]), x)
-
-
-def _meet(fp: np.ndarray, exact: np.ndarray, high: bool, forest: _Forest, radius: int) -> None:
-    """The links of a large bucket in time proportional to its size.
-
-    An exact entry stands at all points within one bit of its other half, a variant (one bit is spent) at its own.
-    Entries at one point are linked, and so are points one bit apart: with both steps and the bits that were
-    spent, that is every pair within the radius that has an exact entry, and no pair beyond it."""
-    other = _other(fp, high)
+    In a bucket an exact entry stands at all points within one bit of its other half, a variant (one bit is spent) at
+    its own. Entries at one point are linked, and so are points one bit apart: with both steps and the bits that were
+    spent, that is every pair within three bits that has an exact entry, and no pair beyond it. The time is in
+    proportion to the entries, for buckets of any size, and all buckets are worked on at once."""
+    order = np.argsort(variant, kind="stable")
+    variant, fp = variant[order], fp[order]
+    high = (variant >> np.uint64(32)) > 0
+    exact = np.where(high, fp >> np.uint64(32), fp & _LOW) == (variant & _LOW)
+    start = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]])) if len(variant) else np.zeros(0, int)
+    size = np.diff(np.concatenate([start, [len(variant)]]))
+    some = (np.add.reduceat(exact, start) > 0) & (size > 1) if len(start) else np.zeros(0, bool)
+    kept = np.repeat(some, size)
+    bucket = np.repeat(np.cumsum(some).astype(np.uint64) << np.uint64(32), size)[kept]
+    fp, exact = fp[kept], exact[kept]
+    other = np.where(high[kept], fp & _LOW, fp >> np.uint64(32)) | bucket
+    forest = _Forest()
+    if not len(fp):
+        return forest.edges
     bits = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint64)
     point = np.concatenate([(other[exact][:, None] ^ bits).ravel(), other[~exact]])
     owner = np.concatenate([np.repeat(fp[exact], 33), fp[~exact]])
     order = np.lexsort((owner, point))
     point, owner = point[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]]))
-    size = np.diff(np.concatenate([first, [len(point)]]))
-    leader = np.repeat(owner[first], size)
+    leader = np.repeat(owner[first], np.diff(np.concatenate([first, [len(point)]])))
     pairs = [np.stack([owner, leader], 1)[owner != leader]]
     points, leaders = point[first], owner[first]
     for k in range(32):
         want = points ^ np.uint64(1 << k)
         at = np.minimum(np.searchsorted(points, want), len(points) - 1)
-        hit = (points[at] == want) & (points < want)
+        hit = (points[at] == want) & (points < want) & (leaders != leaders[at])
         pairs.append(np.stack([leaders[hit], leaders[at[hit]]], 1))
     for a, b in np.unique(np.concatenate(pairs), axis=0).tolist():
         forest.link(a, b)
-
-
-def bucket_links(variant: np.ndarray, fp: np.ndarray, radius: int = 3) -> list[tuple[int, int]]:
-    """A spanning forest of the links between fingerprints (unsigned) that meet on a variant."""
-    order = np.argsort(variant, kind="stable")
-    variant, fp = variant[order], fp[order]
-    high = (variant >> np.uint64(32)) > 0
-    exact = np.where(high, fp >> np.uint64(32), fp & _LOW) == (variant & _LOW)
-    start = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]])) if len(variant) else np.zeros(0, int)
-    size = np.diff(np.concatenate([start, [len(variant)]]))
-    some = np.add.reduceat(exact, start) > 0 if len(start) else np.zeros(0, bool)
-    forest = _Forest()
-    two = start[some & (size == 2)]
-    near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-    for a, b in zip(fp[near].tolist(), fp[near + 1].tolist()):
-        forest.link(a, b)
-    for s, n in zip(start[some & (size > 2)].tolist(), size[some & (size > 2)].tolist()):
-        if n <= DIRECT:
-            _direct(fp[s : s + n], exact[s : s + n], forest, radius)
-        else:
-            _meet(fp[s : s + n], exact[s : s + n], bool(high[s]), forest, radius)
     return forest.edges
 
 
@@ -160,18 +138,22 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
 
-def fingerprint_groups(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints of prints (doc_id, fp): the smallest doc_id reachable."""
-    spark = prints.sparkSession
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() // PER_PARTITION + 1)
-    links = emitted(distinct.select("fp")).repartition(parts, "variant").mapInArrow(_links, "a long, b long")
-    rooted = distinct.join(components(links), distinct["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = staged(rooted)
-    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+def fingerprint_roots(prints: DataFrame) -> DataFrame:
+    """(fp, root): the component of each distinct fingerprint of prints (fp), named by a fingerprint."""
+    distinct = staged(prints.select("fp").distinct())
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() // PER_PARTITION + 1)
+    links = emitted(distinct).repartition(parts, "variant").mapInArrow(_links, "a long, b long")
+    return staged(distinct.join(components(links), distinct["fp"] == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def component_firsts(prints: DataFrame, first: Column) -> DataFrame:
+    """(fp, first): the least `first` (of the rows of prints) in the component of each distinct fingerprint."""
+    least = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    rooted = fingerprint_roots(prints).join(least, "fp")
+    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of docs."""
     prints = staged(fingerprints(docs))
-    return prints.join(fingerprint_groups(prints), "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return prints.join(component_firsts(prints, F.col("doc_id")), "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("first").alias("component_id"))

@@ -1,4 +1,8 @@
-"""Filtering and rewriting forms of the operators: each takes documents and returns documents."""
+"""Filtering and rewriting forms of the operators: each takes documents and returns documents.
+
+A row is known by its doc_id and a hash of its text. So a decision about a row without an id, or with an id that other
+rows share, is about that row's text alone; rows that repeat both are judged alike. Every other column, extra ones and
+ones with clashing names among them, passes through unchanged, and an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -6,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, pii, simhash
-from .common import size_checked, staged
+from .common import size_checked, staged, text_hash
 
-#: Ids to drop are broadcast up to this many (about 20 MB); beyond it Spark shuffles both sides.
+#: Rows to drop are broadcast up to this many (about 30 MB); beyond it Spark shuffles both sides.
 DROPPED_ROWS = 1_000_000
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped (one column of ids)."""
-    dropped = size_checked(staged(dropped.toDF("_dropped").distinct()), DROPPED_ROWS)
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    """docs without the rows whose doc_id and text are in dropped (an id and a hash of the text)."""
+    dropped = size_checked(staged(dropped.toDF("_dropped", "_text_h").distinct()), DROPPED_ROWS)
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")) & (text_hash(F.col("text")) == F.col("_text_h")), "left_anti")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -31,14 +35,29 @@ def in_a_language(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    found = simhash.simhash_components(docs.select("doc_id", "text"))
-    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """Keeps one row of each group of near duplicates: that of the smallest id (rows without one last), then text hash.
+
+    Of rows that repeat both, the one whose other columns come first by a hash stays."""
+    rows = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_h"))
+    prints = staged(simhash.fingerprints(rows, ("doc_id", "text_h")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_h")
+    groups = simhash.component_firsts(prints, row)
+    judged = prints.join(groups, "fp").select("doc_id", "text_h", row.eqNullSafe(F.col("first")).alias("first"))
+    kept = without(docs, judged.where(~F.col("first")).select("doc_id", "text_h"))
+    again = prints.groupBy("doc_id", "text_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_h")
+    again = size_checked(staged(again.toDF("_repeated", "_text_h")), DROPPED_ROWS)
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_repeated")) & (F.col("h") == F.col("_text_h"))
+    keyed = packed(kept).withColumn("h", text_hash(F.col("text")))
+    order = F.xxhash64("_row.lang", "_row.source", "_row.n_chars")
+    one = keyed.join(again, same, "left_semi").groupBy("doc_id", "h").agg(F.min_by("_row", order).alias("_row"))
+    return keyed.join(again, same, "left_anti").select("_row").union(one.select("_row")).select("_row.*")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    return without(docs, decontamination.contaminated(docs, benchmark).select("doc_id"))
+    """Drops the rows that hold a benchmark item."""
+    return without(docs, decontamination.held_items(docs, benchmark).select("doc_id", "text_h"))
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
