@@ -75,19 +75,20 @@ def test_nearest_examples_are_exact():
     make = lambda: Counter({words[j]: int(draw.integers(1, 5)) for j in draw.integers(0, 60, 8)})
     examples = [make() for _ in range(500)] + [Counter()]
     examples += [examples[0]] * 30  # ties
-    index = toxicity.BlockMaxIndex(examples, draw.integers(0, 2, len(examples)), words, block=16)
-    vectors = np.zeros((len(index.labels), 60), np.float32)
-    for t in range(60):
-        vectors[index.ids[t], t] = index.weights[t]
-    for _ in range(60):
-        query = make()
-        terms, weights = index.vector(query)
-        dots = vectors[:, terms] @ weights
-        near = index.nearest(query, 10)
-        want = sorted(((-d, j) for j, d in enumerate(dots.tolist()) if d > 0))[:10]
-        assert np.allclose([s for s, _ in near], [-d for d, _ in want], atol=1e-5)
-        assert len({j for _, j in near}) == len(near)
-    assert index.nearest(Counter({b"unknown": 3})) == []
+    df = Counter(w for e in examples for w in e)
+    unit = lambda c: (lambda v: v / max(np.linalg.norm(v), 1e-12))(np.array([(1 + np.log(c[w])) * np.log1p(len(examples) / (df[w] + 1)) if c[w] else 0 for w in words]))
+    vectors = np.array([unit(e) for e in examples])
+    queries = [make() for _ in range(60)]
+    for dense in (0, 7, 60):
+        index = toxicity.BlockMaxIndex(examples, draw.integers(0, 2, len(examples)), words, block=16, dense=dense)
+        together = index.nearest_of([index.vector(q) for q in queries], 10)
+        for query, near in zip(queries, together):
+            dots = vectors @ unit(query)
+            assert np.allclose([s for s, _ in near], np.sort(dots[dots > 0])[::-1][:10])
+            assert len({j for _, j in near}) == len(near) and near == index.nearest(query, 10)
+            assert all(a[0] > b[0] or a[1] < b[1] for a, b in zip(near, near[1:]))
+        assert index.nearest(Counter({b"unknown": 3})) == []
+        assert np.array_equal(index.text_vector(b"w1 W2 w1 zz")[0], index.vector(toxicity.term_counts(b"w1 w2 w1"))[0])
 
 
 def test_rare_words_reach_the_labelled_examples(spark):
