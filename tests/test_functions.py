@@ -138,10 +138,13 @@ def test_deduplication_is_greedy(spark):
 
 def test_sections_and_thanks(spark):
     text = "Intro\nsome words here that are not a heading at all really\nAcknowledgements:\nI thank Dr. Jane Doe for her help.\nmore thanks\nReferences\nA. (1999)."
-    found = O.named_section(text, ("acknowledgements",))
-    assert found["text"] == "I thank Dr. Jane Doe for her help.\nmore thanks" and found["start"] == 2
-    assert O.named_section("x acknowledgement: to all\nAbstract\n", ("acknowledgements",))["text"] == "to all"
-    assert O.named_section("", ("references",)) is None
+    texts = [text, "x acknowledgement: to all\nAbstract\n", "", None, "Acknowledgements: to Ann\nand Bob\n\nChapter 2\nx", "Acknowledgements\nReferences\nA.\nAcknowledgments\nto Eve"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string").select("id", O.named_section(F.col("content"), ("acknowledgements", "acknowledgments", "acknowledgement")).alias("s")).orderBy("id").collect()
+    found = [r["s"] for r in rows]
+    assert found[0]["text"] == "I thank Dr. Jane Doe for her help.\nmore thanks" and (found[0]["start"], found[0]["end"], found[0]["offset_kind"]) == (2, 5, "line")
+    assert found[1]["text"] == "to all" and found[1]["offset_kind"] == "char" and found[1]["start"] == 2
+    assert found[2] is None and found[3] is None
+    assert found[4]["text"] == "to Ann\nand Bob" and found[5]["text"] == "to Eve"
     row = spark.createDataFrame([(text,)], "content string").select(O.thanked_people("content").alias("v")).first()["v"]
     assert [(x["name"], x["evidence"][-32:]) for x in row] == [("Jane Doe", "thank Dr. Jane Doe for her help.")] or row[0]["name"].startswith("Jane")
 

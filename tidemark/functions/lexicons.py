@@ -32,7 +32,6 @@ RECIPE_FOOD_PAGE_HINTS = (
     "allrecipes.com", "foodandwine.com", "foodnetwork.com", "seriouseats.com", "delish.com", "epicurious.com", "tasteofhome.com", "recipe", "recipes",
     "cooking", "cook", "ingredients", "simmer", "broth", "thanksgiving dinner",
 )
-MODERATE_TRUST_SOCIAL_SOURCE_HINTS = ("facebook.com", "reddit.com", "youtube.com")
 BROAD_OVERVIEW_TITLE_HINTS = ("history of ", "category:", "list of ", "timeline of ", "outline of ", "index of ", "glossary of ", "portal:")
 AGGREGATE_LISTING_HINTS = (
     "/stacks/", "interest stack", "interest stacks", "best of ", "top ", "top-", "ranking", "rankings", "recommendation", "recommendations",
@@ -47,7 +46,6 @@ BROWSECOMP_LOW_SIGNAL_TERMS = frozenset([
     "provincial", "published", "region", "released", "same", "school", "some", "story", "subject", "theme", "their", "them", "they", "town",
     "township", "uses", "used", "using", "what's", "winner", "written", "whose", "2000s",
 ])
-ENCYCLOPEDIC_SOURCE_HINTS = ("wikipedia.org", "fandom.com", "wiki", "wikitia", "comicvine.gamespot.com", "anime-planet.com", "myanimelist.net", "tvtropes.org")
 MEDIA_WORK_SOURCE_HINTS = ("wikipedia.org", "fandom.com", "/wiki/", "wiki.", "myanimelist.net", "anime-planet.com", "tvtropes.org", "comicvine.gamespot.com", "mangadex.org")
 MEDIA_WORK_STRONG_HINTS = (
     "manga", "anime", "chapter", "chapters", "episode", "episodes", "volume", "volumes", "series", "serialized", "serialization", "one-shot",
@@ -85,11 +83,6 @@ GENERIC_EVENT_TOPIC_TERMS = frozenset([
     "queens", "title", "titles", "winner", "winners",
 ])
 BOSNIA_TOP_FOUR_CITY_TERMS = ("sarajevo", "banja luka", "tuzla", "zenica")
-HISTORICAL_YEAR_TRUSTED_MEMORIAL_SOURCE_HINTS = ("spomenikdatabase.org",)
-HISTORICAL_YEAR_CONSTRUCTION_HINTS = ("built", "constructed", "erected", "completed", "unveiled", "opened", "installed")
-HISTORICAL_YEAR_ARTIST_HINTS = ("artist", "sculptor", "architect", "designer", "author")
-HISTORICAL_YEAR_CONTEXT_HINTS = ("former yugoslavia", "yugoslavia", "yugoslav", "socialist yugoslavia")
-PERSON_BIOGRAPHY_HINTS = ("artist", "artists", "author", "authors", "awards", "biography", "born", "career", "died", "legacy", "profile", "sculptor", "sculptors")
 GENERIC_MEDIA_TOPIC_TERMS = frozenset([
     "anime", "manga", "fandom", "culture", "cultures", "demographics", "fan", "fans", "generation", "generations", "genre", "genres", "history",
     "industry", "industries", "media", "projects", "statistics", "topic", "topics", "wikimedia", "wikipedia", "wiki",
@@ -97,18 +90,12 @@ GENERIC_MEDIA_TOPIC_TERMS = frozenset([
 GENERIC_ENTITY_BLOCKLIST = frozenset(["anime", "manga", "fandom", "their", "them", "they", "wikimedia", "wikipedia", "wikistats"])
 MEDIA_DISAMBIGUATION_HINTS = ("manga", "anime", "film", "movie", "novel", "comic", "comics", "character", "tv series", "television series", "video game", "game")
 CHARACTER_QUERY_HINTS = ("character", "characters", "antagonist", "protagonist", "villain", "hero", "companion", "rival", "ally")
-ABILITY_QUERY_HINTS = (
-    "ability", "abilities", "power", "powers", "move", "moves", "movement", "movements", "effect", "effects", "technique", "techniques", "attack",
-    "attacks",
-)
 REFERENCE_HINTS = ("reference", "references", "bibliography", "cited", "citation", "works cited")
-NON_RESEARCH_PAGE_HINTS = ("course", "program", "precollege", "summer college", "major", "minor", "degree requirements", "admissions", "apply now")
 LOW_VALUE_TERMS = frozenset([
     "discussing", "discussion", "someone", "trying", "confirm", "details", "paper", "research", "discussed", "particular", "focused", "study",
     "section", "person", "student", "expressed", "later", "became", "last", "name", "confirming", "sometime",
 ])
 PERSON_QUERY_HINTS = ("who", "whom", "last name", "surname", "full name", "first and last name", "first and last names", "person")
-PERSON_CONTEXT_HINTS = ("author", "student", "professor", "faculty", "advisor", "supervisor", "mentor")
 ORGANIZATION_NAME_HINTS = frozenset([
     "academy", "agency", "association", "authority", "best", "bureau", "center", "centre", "city", "college", "commission", "committee", "corporation",
     "council", "department", "development", "division", "event", "festival", "final", "government", "group", "history", "information", "institute",
@@ -148,7 +135,6 @@ CONSTRAINT_PATTERNS = (
     r"\b(?:fewer than|less than|more than|greater than|under|over|at least|at most|minimum of|maximum of)\s+\d+(?:\s+[a-zA-Z-]+){0,4}\b",
     '[\'\\"][^\'\\"]{2,80}[\'\\"]',
 )
-CLAUSE_SPLIT_PATTERN = r"(?i)\s*(?:,|;|\b(?:and|or|but|who|which|that|where|when|whose)\b)\s*"
 AUTHOR_LINE_PATTERNS = (
     r"\b(?:by|author|written by|submitted by|prepared by)\s*[:,-]?\s*([A-Z][A-Za-z'`.-]+(?:\s+[A-Z][A-Za-z'`.-]+){1,3})\b",
     r"(?i)\b([A-Z][A-Za-z'`.-]+(?:\s+[A-Z][A-Za-z'`.-]+){1,3}),?\s+(?:master(?:'s)?|phd|doctoral|doctor of philosophy|dissertation|thesis)\b",
@@ -168,7 +154,6 @@ TITLECASE_ENTITY_BLOCKLIST = frozenset([
 ])
 ACKNOWLEDGEMENT_SECTION_TITLES = ("acknowledgements", "acknowledgments", "acknowledgement")
 REFERENCE_SECTION_TITLES = ("references", "bibliography", "works cited")
-ABSTRACT_SECTION_TITLES = ("abstract",)
 DOI_PATTERN = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
 REFERENCE_STYLE_YEAR_PATTERN = r"\(\d{4}\)|\b\d{4};\d"
 REFERENCE_STYLE_AUTHOR_PATTERN = r"\b[A-Z][A-Za-z'`.-]+,\s*(?:[A-Z]\.\s*){1,4}"
@@ -176,11 +161,8 @@ FRONT_MATTER_CHAR_LIMIT = 3000
 
 NUMBER_WORDS = {'one': 1, 'two': 2, 'three': 3, 'four': 4, 'five': 5, 'six': 6, 'seven': 7, 'eight': 8, 'nine': 9, 'ten': 10}
 
-MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 SAMPLE_ENTITY_HINTS = ("couple", "couples", "participant", "participants", "subject", "subjects", "adult", "adults", "people", "respondent", "respondents")
-AUTHOR_LINE_NAME_PATTERN = r"\b[A-Z][A-Za-z'`.-]+(?:\s+[A-Z][A-Za-z'`.-]+){1,3}\b"
-YEAR_PATTERN = r"\b(?:19|20)\d{2}\b"
-MONTH_YEAR_PATTERN = r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+(19|20)\d{2}\b"
+MONTH_YEAR_PATTERN = r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+((?:19|20)\d{2})\b"
 AUTHOR_COUNT_PATTERN = r"(?i)\b(?P<count>\d+|one|two|three|four|five|six|seven|eight|nine|ten)\s+authors?\b"
 SAMPLE_RANGE_PATTERN = r"(?i)\b(?:sample(?: size)?|participants?|subjects?|couples?|respondents?|adults?|people)\b[^.]{0,80}?\b(?:between|ranging from)\s+(\d{2,5})\s+(?:and|to|-)\s+(\d{2,5})\b"
 REFERENCE_RANGE_PATTERN = r"(?i)\breferences?(?: cited)?[^.]{0,120}?\bbetween\s+(\d{4})\s+(?:and|to|-)\s+(\d{4})\b"
@@ -192,23 +174,8 @@ SAMPLE_SIZE_PATTERNS = (
     r"(?i)\b(\d{2,5})\s+(?:married\s+|cohabiting\s+|older\s+|young\s+)?(?:couples?|participants?|subjects?|adults?|people|respondents?)\b",
 )
 FOUNDED_YEAR_PATTERN = r"(?i)\b(?:founded|established|chartered)\s+(?:in\s+)?((?:19|20)\d{2})\b"
-DOI_FRONT_MATTER_CHARS = 5000
 
-DOI_BODY_CHARS = 8000
 
-REFERENCE_DOI_TARGET_HINTS = (
-    "doi of the reference", "doi for the reference", "reference doi", "cited reference doi", "doi of the cited reference",
-    "doi for the cited reference", "doi of the cited paper", "doi for the cited paper", "reference's doi",
-)
-ANSWER_YEAR_PATTERN = r"\b(?:19|20)\d{2}\b"
-YEAR_EVENT_HINTS = (
-    "event", "occur", "loss of lives", "lost their lives", "victims", "victim", "massacre", "battle", "attack", "tragedy", "killed", "died", "death",
-    "executed", "honor", "in their honor", "commemorates", "commemorating", "dedicated", "dedication", "memorial", "monument", "spomenik",
-)
-YEAR_BIOGRAPHICAL_HINTS = ("born", "birth", "artist", "sculptor", "author", "architect")
-YEAR_CONSTRUCTION_HINTS = ("built", "constructed", "erected", "unveiled", "opened", "completed", "installed")
-YEAR_CENSUS_HINTS = ("census", "population")
-YEAR_AWARD_HINTS = ("award", "awards", "competition", "prize", "salon", "triennale", "biennale", "medal")
 SECTION_END_TITLES = frozenset(["abstract", "introduction", "table of contents", "contents", "references", "bibliography", "appendix", "chapter 1", "chapter one", "dedication"])
 THANK_PATTERNS = (
     r"\b(?:thank|thanks|grateful to|gratitude to|appreciate|indebted to)\s+(?:Dr\.?\s+|Prof\.?\s+|Professor\s+)?([A-Z][A-Za-z'`.-]+(?:\s+[A-Z][A-Za-z'`.-]+){1,3})",
@@ -220,26 +187,13 @@ DEDUPLICATION_SIMILARITY_THRESHOLD = 0.92
 
 KEYWORD_WINDOW_RADIUS = 180
 
-NAME_WINDOW_RADIUS = 120
 
 MAX_KEYWORD_WINDOW_CANDIDATES = 10
 
-MAX_NAME_WINDOW_CANDIDATES = 8
 
-RERANKER_YEAR_PATTERN = r"\b(?:19|20)\d{2}\b"
-RERANKER_YEAR_EVENT_HINTS = ("victims", "massacre", "battle", "killed", "died", "executed", "loss of lives", "memorial", "commemorates", "honor", "dedication")
-YEAR_BIOGRAPHY_HINTS = ("born", "artist", "sculptor", "author", "architect")
-RERANKER_YEAR_CONSTRUCTION_HINTS = ("built", "constructed", "erected", "unveiled", "completed", "opened")
-RERANKER_YEAR_AWARD_HINTS = ("award", "awards", "competition", "prize", "salon", "triennale", "biennale", "medal")
 MAX_RETRIEVAL_CLUES = 10
 
-MAX_FOLLOW_UP_CLUES = 6
 
 MAX_SIMPLE_RETRIEVAL_CLUES = 2
 
-DEFAULT_MAX_QUERY_LENGTH = 1000
 
-EVENT_DISCOVERY_HINTS = (
-    "festival", "celebration", "anniversary", "official", "tourism", "township", "town", "municipal", "municipality", "province", "provincial",
-    "named after",
-)
