@@ -33,7 +33,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", personal_data), ("bpe", tokens)]
-#: The stages learn, iterate and tokenise, which SQL doesn't express; tests hold run() against brute force.
+#: The stages learn, iterate and tokenise, which SQL doesn't express; tests hold stages and run() against planted cases.
 ORACLE_SQL = None
 
 
