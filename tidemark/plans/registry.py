@@ -255,12 +255,10 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan_query
 def deduplicated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
+    """The documents of each question, merged over their whole contents."""
     from tidemark.operators.documents import deduplicate
 
-    docs = _question_documents(spark, sf_dir).withColumn("content", F.left("content", F.lit(600)))
-    return deduplicate(docs.withColumn("query_id", F.col("query_id") * 1000000 + F.floor(F.col("pos") / 200)))
+    return deduplicate(_question_documents(spark, sf_dir))
 
 
 @plan_query
