@@ -84,6 +84,13 @@ def test_names_that_open_a_sentence(spark):
     assert found(docs, benchmark(spark, [(5, OPENED), (6, ALONE)])) == {(0, 5), (1, 6)}
 
 
+def test_signs_and_windows_of_numbers(spark):
+    bare = "Totals: 10 20 30 40 5 kg 60 70 80"
+    signed = QUESTION.replace(" with", "\ue000 with").replace(" km in", "\ue001 km \ue004in")
+    docs = documents(spark, [(1, bare, None, None, 1), (2, bare.replace("0", "1"), None, None, 1), (3, "See 7. " + bare, None, None, 1), (4, signed, None, None, 1)])
+    assert found(docs, benchmark(spark, [(5, QUESTION), (6, bare)])) == {(1, 6), (3, 6), (4, 5)}
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = benchmark(spark, [(1, "one"), (2, None), (3, ""), (4, "!!!"), (5, "the cat sat on the mat and looked at the moon"), (5, "the cat sat on the mat and looked at the moon"), (6, "123 456"), (None, "a b")])
     got = found(odd, items)

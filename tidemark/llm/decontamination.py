@@ -13,7 +13,8 @@ found as templates.
 Defined cases: null texts and texts without a word have no windows; an item of fewer than five words has one window,
 all of it, and is met by windows of its own length; an item without a word matches nothing; items given twice under
 one id count once; a row is known by its id and its text, so different texts under one id, or without an id, are looked
-at one by one, and repeated rows count as one; a null item text is skipped; other columns are ignored."""
+at one by one, and repeated rows count as one; a null item text is skipped; U+E000 to U+E004, the signs for marks and
+placeholders, count as blanks in a text; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -29,13 +30,21 @@ COVERAGE = 0.8
 #: Up to this many benchmark windows are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 MARK, NUMBER, UNIT, NAME, OPENS = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
-TOKEN = "[0-9]+(?:[.,][0-9]+)*|[\ue000\ue004]?[\\p{L}\\p{N}]+"
-INNER_NAME = r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})"
+SIGNS = MARK + NUMBER + UNIT + NAME + OPENS
+_WORD = r"[\p{L}\p{N}]+"
+#: Words of plain text, and words of text with placeholders.
+TOKEN, PLACED = rf"[0-9]+(?:[.,][0-9]+)*|{_WORD}", rf"[{NUMBER}{UNIT}{NAME}]|{_WORD}"
+#: A capitalised word inside a sentence; the cheap look ahead comes first.
+INNER_NAME = r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;:] )"
 #: A capitalised word at any other place, after INNER_NAME is marked.
-OPENING = r"(?<![\p{L}\p{N}\x{E000}])(?=\p{Lu}\p{Ll})"
+OPENING = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}{MARK}])"
+_NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*"
 NONE, INNER, ALL = range(3)
 # Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l cl gal s sec min h hr hrs hours hour minutes minute seconds days day weeks week months month years year hz khz mhz ghz w kw mw kwh v a mah pa kpa bar psi j kj cal kcal c f k usd eur gbp dollars euros cents percent meters metres miles kilometers kilometres grams kilograms pounds ounces liters litres tons".split()
+#: A unit right after a number, once numbers are placeholders.
+_UNIT = rf"{NUMBER}([^\p{{L}}\p{{N}}{SIGNS}]*+)[{MARK}{OPENS}]?(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+_WINDOWS = "array<struct<pos:int,h:bigint>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,77 +52,131 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def words(text: Column) -> Column:
-    """The words of a text in order; inner names and other capitalised words carry a mark."""
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), INNER_NAME, MARK), OPENING, OPENS)
-    return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+def _marked(text: Column) -> Column:
+    """The lower-cased text with a mark before every capitalised word; signs of its own are blanks."""
+    own = F.coalesce(text, F.lit(""))
+    clean = F.when(own.rlike(f"[{SIGNS}]"), F.translate(own, SIGNS, " " * len(SIGNS))).otherwise(own)
+    return F.lower(F.regexp_replace(F.regexp_replace(clean, INNER_NAME, MARK), OPENING, OPENS))
+
+
+def _numbered(marked: Column) -> Column:
+    """A marked text with placeholders for numbers and for the units after them."""
+    return F.when(marked.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(marked, _NUMBER, NUMBER), _UNIT, f"{NUMBER}$1{UNIT}")).otherwise(marked)
 
 
-def _plain(word: Column) -> Column:
-    return F.lower(F.translate(word, MARK + OPENS, ""))
+def _unmarked(marked: Column) -> Column:
+    return F.regexp_replace(marked, f"[{MARK}{OPENS}]", "")
 
 
-def _template(found: Column, names: int) -> Column:
-    number = lambda x: x.rlike("^[0-9]")
+def _plain(marked: Column) -> Column:
+    """The words of a marked text. Its templates have as many, at the same places."""
+    return F.regexp_extract_all(_unmarked(marked), F.lit(TOKEN), F.lit(0))
+
+
+def words(text: Column) -> Column:
+    """The lower-cased words of a text in order."""
+    return _plain(_marked(text))
 
-    def one(x: Column, i: Column) -> Column:
-        plain = _plain(x)
-        unit = plain.isin(UNITS) & F.coalesce(number(F.get(found, i - 1)), F.lit(False))
-        out = F.when(number(x), F.lit(NUMBER)).when(unit, F.lit(UNIT))
-        if names == INNER:
-            out = out.when(x.startswith(MARK), F.lit(NAME))
-        elif names == ALL:
-            out = out.when(x.startswith(MARK) | x.startswith(OPENS), F.lit(NAME))
-        return out.otherwise(plain)
 
-    return F.transform(found, one)
+def _template(numbered: Column, names: int) -> Column:
+    """The template words of a marked text with placeholders; `names` says which marked words become names."""
+    if names == NONE:
+        numbered = _unmarked(numbered)
+    elif names == INNER:
+        numbered = F.translate(F.regexp_replace(numbered, MARK + _WORD, NAME), OPENS, "")
+    else:
+        numbered = F.regexp_replace(numbered, f"[{MARK}{OPENS}]{_WORD}", NAME)
+    return F.regexp_extract_all(numbered, F.lit(PLACED), F.lit(0))
 
 
 def _slot(x: Column) -> Column:
     return x.isin(NUMBER, UNIT, NAME)
 
 
-def _windows(found: Column, names: int, width: int = WIDTH) -> Column:
-    """array<struct<pos, h, slots>> of the windows of one template; with names, only those that have one of its kind."""
-    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.greatest(F.size(found) - width, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    none = F.lit(None).cast("array<string>")
+def _places(template: Column, wanted: Callable[[Column], Column]) -> Column:
+    """Where the template has the words that `wanted` holds for."""
+    return F.when(F.size(template) > 0, F.filter(F.sequence(F.lit(0), F.size(template) - 1), lambda i: wanted(F.get(template, i)))).otherwise(F.array().cast("array<int>"))
 
-    def slotted(template: Column) -> Column:
-        def window(i: Column) -> Column:
-            return let(F.slice(template, i + 1, width), lambda w: F.when(F.size(F.filter(w, lambda x: ~_slot(x))) < 2, own(i)).when(F.exists(w, _slot), F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), values(template, i).alias("slots"))).otherwise(F.struct(i.alias("pos"), F.xxhash64(w).alias("h"), none.alias("slots"))))
 
-        if names == NONE:
-            return F.transform(steps, window)
-        mark = OPENS if names == ALL else MARK
-        marked = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.get(found, i).startswith(mark))
-        around = lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, F.greatest(F.size(found) - width, F.lit(0))))
-        return F.transform(F.array_distinct(F.flatten(F.transform(marked, around))), window)
+def _steps(template: Column, width: int) -> Column:
+    """The places of all windows: every one of `width` words, or the whole of a shorter template."""
+    return F.when(F.size(template) > 0, F.sequence(F.lit(0), F.greatest(F.size(template) - width, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
-    def own(i: Column) -> Column:
-        return F.struct(i.alias("pos"), F.xxhash64(F.transform(F.slice(found, i + 1, width), _plain)).alias("h"), none.alias("slots"))
 
-    def values(template: Column, i: Column) -> Column:
-        at = F.filter(F.sequence(i, F.least(i + width, F.size(template)) - 1), lambda j: _slot(F.get(template, j)))
-        return F.transform(at, lambda j: F.concat_ws(":", j - i, _plain(F.get(found, j))))
+def _around(template: Column, at: Column, width: int) -> Column:
+    """The places of the windows that hold a word of the places `at`."""
+    last = F.greatest(F.size(template) - width, F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, last)))))
 
-    def light(template: Column) -> Column:
-        return F.transform(steps, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(template, i + 1, width)).alias("h"), none.alias("slots")))
 
-    if names:
-        return let(_template(found, names), slotted)
-    has_slot = F.exists(found, lambda x: x.rlike("^[0-9]"))
-    return F.when(has_slot, let(_template(found, NONE), slotted)).otherwise(let(F.transform(found, _plain), lambda t: F.when(F.size(t) < 2, F.transform(steps, own)).otherwise(light(t))))
+def _bare(window: Column) -> Column:
+    """Whether a window has fewer than two literal words, and so goes by its own values."""
+    return F.size(F.filter(window, lambda x: ~_slot(x))) < 2
+
+
+def _hashed(found: Column, steps: Column, width: int) -> Column:
+    return F.transform(steps, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(found, i + 1, width)).alias("h")))
+
+
+def _own(marked: Column, template: Column, slots: Column, width: int) -> Column:
+    """The bare windows by their own values. They are looked for only where slots stand close enough for one."""
+    close = F.exists(F.sequence(F.lit(0), F.size(slots) - 1), lambda k: F.get(slots, k + max(width - 2, 0)) - F.get(slots, k) < width)
+    bare = F.filter(_around(template, slots, width), lambda i: _bare(F.slice(template, i + 1, width)))
+    found = F.when((F.size(slots) > 0) & ((F.size(template) < width) | F.coalesce(close, F.lit(False))), let(_plain(marked), lambda plain: _hashed(plain, bare, width)))
+    return F.coalesce(found, F.array().cast(_WINDOWS))
 
 
 def windows(table: DataFrame, *keys: str, widths: tuple[int, ...] = (WIDTH,)) -> DataFrame:
-    """(keys, pos, h, slots): the template windows of every row of table, of each of `widths` words."""
-    none = F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")
+    """(keys, pos, h): the template windows of every row of table, of each of `widths` words.
+
+    Templates are made in whole texts, by regular expressions; a window costs a hash. The values of its slots are
+    taken later, where it met an item (see `slot_words`). Bare windows appear by their template as well, which no
+    item has."""
+    none = F.array().cast(_WINDOWS)
+    each = lambda one: F.concat(*(one(n) for n in widths))
+
+    def named(template: Column) -> Column:
+        return let(_places(template, lambda x: x == NAME), lambda at: each(lambda n: _hashed(template, _around(template, at, n), n)))
 
-    def with_names(found: Column, names: int, mark: str, width: int) -> Column:
-        return F.when(F.exists(found, lambda x: x.startswith(mark)), _windows(found, names, width)).otherwise(none)
+    def every(marked: Column) -> Column:
+        def placed(numbered: Column) -> Column:
+            plain = let(_template(numbered, NONE), lambda t: each(lambda n: _hashed(t, _steps(t, n), n)))
+            inner = F.when(numbered.contains(MARK), let(_template(numbered, INNER), named)).otherwise(none)
+            slots = lambda t: let(_places(t, _slot), lambda at: F.concat(let(F.filter(at, lambda i: F.get(t, i) == NAME), lambda of: each(lambda n: _hashed(t, _around(t, of, n), n))), each(lambda n: _own(marked, t, at, n))))
+            return F.concat(plain, inner, F.when(numbered.rlike(f"[{SIGNS}]"), let(_template(numbered, ALL), slots)).otherwise(none))
 
-    every = let(words(F.col("text")), lambda found: F.concat(*(x for n in widths for x in (_windows(found, NONE, n), with_names(found, INNER, MARK, n), with_names(found, ALL, OPENS, n)))))
-    return table.select(*keys, F.explode(every).alias("w")).select(*keys, "w.pos", "w.h", "w.slots")
+        return let(_numbered(marked), placed)
+
+    return table.select(*keys, F.explode(let(_marked(F.col("text")), every)).alias("w")).select(*keys, "w.pos", "w.h")
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """item_id, item_pos, h and item_slots (place in the window and value; null: none) of the benchmark's windows."""
+    none = F.lit(None).cast("array<struct<at:int,value:string>>")
+
+    def window(template: Column, plain: Column, i: Column) -> Column:
+        def made(w: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda j: _slot(F.get(w, j)))
+            values = F.transform(at, lambda j: F.struct(j.alias("at"), F.get(plain, i + j).alias("value")))
+            bare = _bare(w)
+            return F.struct(i.alias("item_pos"), F.when(bare, F.xxhash64(F.slice(plain, i + 1, WIDTH))).otherwise(F.xxhash64(w)).alias("h"), F.when(~bare & F.exists(w, _slot), values).otherwise(none).alias("item_slots"))
+
+        return let(F.slice(template, i + 1, WIDTH), made)
+
+    def form(numbered: Column, plain: Column, names: int) -> Column:
+        steps = (lambda t: _steps(t, WIDTH)) if names == NONE else (lambda t: _around(t, _places(t, lambda x: x == NAME), WIDTH))
+        return let(_template(numbered, names), lambda t: F.transform(steps(t), lambda i: window(t, plain, i)))
+
+    every = let(_marked(F.col("text")), lambda marked: let(_numbered(marked), lambda numbered: let(_plain(marked), lambda plain: F.concat(*(form(numbered, plain, names) for names in (NONE, INNER, ALL))))))
+    return items.select("item_id", F.explode(every).alias("w")).select("item_id", "w.*").distinct()
+
+
+def slot_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, pos and words of the windows `wanted` (doc, pos) of rows (doc, text): each text is cut once."""
+    wanted = wanted.groupBy("doc").agg(F.collect_set("pos").alias("at"))
+    rows = rows.join(size_checked(staged(wanted.select("doc")), BROADCAST_ROWS), "doc", "left_semi").dropDuplicates(["doc"])
+    cut = let(words(F.col("text")), lambda found: F.transform("at", lambda i: F.struct(i.alias("pos"), F.slice(found, i + 1, WIDTH).alias("words"))))
+    return rows.join(wanted, "doc").select("doc", F.explode(cut).alias("w")).select("doc", "w.pos", "w.words")
 
 
 def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -123,17 +186,18 @@ def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     the slots agree: each value of the item has one value in the document, in `coverage` of the slots."""
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
     short = [r["n"] for r in items.select(F.size(words(F.col("text"))).alias("n")).where(f"n between 1 and {WIDTH - 1}").distinct().collect()]  # four numbers at most
-    item = windows(items, "item_id")
-    item = item.select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
+    item = staged(item_windows(items))
     size = item.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    rows = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_h"))
-    met = windows(rows, "doc_id", "text_h", widths=(WIDTH, *short)).join(size_checked(item, BROADCAST_ROWS), "h")
-    pair = F.when(F.col("item_slots").isNotNull(), F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(_value(x["item_slots"]).alias("theirs"), _value(x["slots"]).alias("ours"))))
-    # a struct of the id joins null ids with each other; windows without slots count wherever they are
-    met = staged(met.select(F.struct("doc_id", "text_h").alias("doc"), "item_id", "item_pos", pair.alias("pairs"), F.when(F.col("item_slots").isNotNull(), F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
-    places = met.groupBy("doc", "item_id").agg(F.collect_set("item_pos").alias("any"), F.collect_set(F.when(F.col("pairs").isNull(), F.col("item_pos"))).alias("plain"))
+    # a struct of the id joins null ids with each other
+    rows = docs.select(F.struct("doc_id", text_hash(F.col("text")).alias("text_h")).alias("doc"), "text")
+    met = windows(rows, "doc", widths=(WIDTH, *short)).join(size_checked(item, BROADCAST_ROWS), "h")
+    # windows without slots count wherever they are
+    met = staged(met.select("doc", "item_id", "item_pos", "item_slots", F.when(F.col("item_slots").isNotNull(), F.col("pos")).alias("pos")).distinct())
+    places = met.groupBy("doc", "item_id").agg(F.collect_set("item_pos").alias("any"), F.collect_set(F.when(F.col("item_slots").isNull(), F.col("item_pos"))).alias("plain"))
     places = places.join(size_checked(size, BROADCAST_ROWS), "item_id").where(F.size("any") >= coverage * F.col("n_windows")).select("doc", "item_id", "n_windows", "plain")
-    slotted = met.where(F.col("pairs").isNotNull()).join(places.select("doc", "item_id", "n_windows"), ["doc", "item_id"])
+    slotted = staged(met.where(F.col("item_slots").isNotNull()).join(places.select("doc", "item_id", "n_windows"), ["doc", "item_id"]))
+    pairs = F.transform("item_slots", lambda x: F.struct(x["value"].alias("theirs"), F.get("words", x["at"]).alias("ours")))
+    slotted = slotted.join(slot_words(rows, slotted.select("doc", "pos")), ["doc", "pos"]).select("doc", "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
     best = instances(slotted, places, coverage)
     found = places.join(best, ["doc", "item_id"], "left").select("doc.doc_id", "doc.text_h", "item_id", "n_windows", F.greatest(F.size("plain"), F.coalesce("with_slots", F.lit(0))).cast("long").alias("n_found"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
     return found.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage).select("doc_id", "text_h", "item_id", "n_windows", "n_found", "coverage", "slot_agreement")
@@ -144,10 +208,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return held_items(docs, benchmark, coverage).drop("text_h")
 
 
-def _value(slot: Column) -> Column:
-    return F.substring_index(slot, ":", -1)
-
-
 def instances(slotted: DataFrame, places: DataFrame, coverage: float) -> DataFrame:
     """doc, item_id, with_slots and slot_agreement of the best aligned instance of each item in each document.
 
