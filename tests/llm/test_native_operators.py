@@ -26,7 +26,7 @@ def found(docs, items):
 def test_decontamination_by_hand(spark):
     docs, items = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "benchmark")
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
-    grams = lambda t: {tuple(words(t)[k : k + 5]) for k in range(max(len(words(t)) - 4, 1))}
+    grams = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))})(words(t))
     wanted = {r["item_id"]: grams(r["text"]) for r in items.collect()}
     want = {(r["doc_id"], k) for r in docs.select("doc_id", "text").collect() for own in [grams(r["text"])] for k, g in wanted.items() if len(own & g) >= 0.8 * len(g)}
     assert want and found(docs, items) == want
