@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pages as P
 from tidemark.functions import questions as Q
+from tidemark.functions import ranking as K
 from tidemark.functions import similarity as S
 from tidemark.functions import text as T
 from tidemark.functions.dialect import SPARK as D
@@ -232,3 +233,44 @@ def test_sinks_and_samples(spark, tmp_path):
     assert sorted((r["problem"], r["answer"], r["url"]) for r in got) == [("a, b", "1", ""), ("c", "2", "")]
     cells = [(0, "x")] + [(2, f" {c} ") for c in sinks.HEADER_CELLS] + [(3, c) for c in sinks.HEADER_CELLS]
     assert sinks.header_row(spark.createDataFrame(cells, "row int, value string")) == 2
+
+
+def test_prior_rules(spark):
+    rows = [
+        (1, 1, "Tell me about lamps", "https://a.edu", "Lamps", "Plain words about lamps.", "", "", 0.0, 0.0, 0, True),
+        (2, 1, "Tell me about lamps", "https://a.edu/apply", "Lamps", "Course admissions.", "", "", 0.0, 0.0, 0, True),
+        (3, 2, "What is the DOI of the journal article cited in 1999?", "https://doi.org/10.1234/ab", "Light", "Abstract 1999.", "", "refs", 0.0, 1.0, 1, True),
+        (4, 3, "Who is thanked in the thesis acknowledgements?", "https://lib.org/thesis.pdf", "A thesis", "I thank Ana Perez Lund.", "I thank", "", 0.0, 0.0, 0, True),
+    ]
+    spark.createDataFrame(rows, "id long, query_id long, query string, url string, title string, text string, acknowledgements string, reference_text string, lexical double, constraint_score double, n_contradicted int, grounded boolean").createOrReplaceTempView("prior_rows")
+    got = {r["id"]: r for r in spark.sql(f"SELECT * FROM {K.scores(D, 'prior_rows')} s").collect()}
+    assert got[1]["prior"] == got[2]["prior"] == 0 and got[1]["paper"] == 0
+    # DOI 0.25, paper word 0.2, references 0.1, constraints 0.35 - 0.1, the year 0.05
+    assert got[3]["prior"] == pytest.approx(0.85) and got[3]["reference"] == pytest.approx(0.6 + 0.15 * 0)
+    assert got[3]["doi_bearing"] == pytest.approx(0.6 + 0.4 + 0.2 - 0.08)
+    # a PDF 0.2, a repository's name 0.15, a thesis 0.3, thanks 0.2
+    assert got[4]["prior"] == pytest.approx(0.85) and got[4]["acknowledgement"] == pytest.approx(0.55 + 0.25 + 0.1)
+
+
+def test_context_documents(spark):
+    names = [name.replace("-", "_") for _, name in K.WANTED]
+    rows = []
+
+    def add(query, pos, url, score, rank, mode, **signals):
+        rows.append((query, pos, url, f"t{pos}", score, rank, mode, *(float(signals.get(n, 0)) for n in names)))
+
+    for k, (url, signals) in enumerate([("https://a.org", {}), ("https://www.a.org/", {"paper": 0.9}), ("https://b.org", {"paper": 0.3}), ("https://c.org", {"career": 0.2}), ("https://d.org", {}), ("", {}), ("", {})]):
+        for query, mode in ((1, "multi-hop"), (2, "decomposition"), (3, "simple")):
+            add(query, k, url, 1 - 0.1 * k, k + 1, mode, **signals)
+    df = spark.createDataFrame(rows, "query_id long, pos int, url string, title string, rank_score double, rank int, mode string, " + ", ".join(f"{n} double" for n in names))
+
+    def of(n):
+        out = {}
+        for r in O.context_documents(df, n).orderBy("query_id", "place").collect():
+            out.setdefault(r["query_id"], []).append(r["pos"])
+        return out
+
+    assert of(1) == {1: [1], 2: [0], 3: [0]}
+    assert of(3) == {1: [1, 3, 2], 2: [0, 2, 3], 3: [0, 1, 2]}
+    assert of(20) == {1: [1, 3, 2, 4, 5, 6], 2: [0, 2, 3, 4, 5, 6], 3: [0, 1, 2, 3, 4, 5, 6]}
+    assert of(0) == {} and O.context_documents(df.where("false"), 3).count() == 0

@@ -197,3 +197,10 @@ MAX_RETRIEVAL_CLUES = 10
 MAX_SIMPLE_RETRIEVAL_CLUES = 2
 
 
+
+ENCYCLOPEDIC_SOURCE_HINTS = ("wikipedia.org", "fandom.com", "wiki", "wikitia", "comicvine.gamespot.com", "anime-planet.com", "myanimelist.net", "tvtropes.org")
+ABILITY_QUERY_HINTS = (
+    "ability", "abilities", "power", "powers", "move", "moves", "movement", "movements", "effect", "effects", "technique", "techniques", "attack", "attacks",
+)
+NON_RESEARCH_PAGE_HINTS = ("course", "program", "precollege", "summer college", "major", "minor", "degree requirements", "admissions", "apply now")
+PERSON_CONTEXT_HINTS = ("author", "student", "professor", "faculty", "advisor", "supervisor", "mentor")

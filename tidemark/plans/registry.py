@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.functions import answers as A
 from tidemark.functions import pages as P
 from tidemark.functions import questions as Q
+from tidemark.functions import ranking as K
 from tidemark.functions import text as T
 from tidemark.functions.dialect import DUCK, SPARK, Dialect
 from tidemark.operators import retrieval as R
@@ -206,6 +207,17 @@ def first_answers(d: Dialect) -> str:
     return f"SELECT * FROM {A.first_answers(d, documents)} f"
 
 
+@sql_query
+def document_priors(d: Dialect) -> str:
+    """Prior and signals of every page for the question of its number; the figures that need a matcher are invented."""
+    asked = d.rows("v", ("query_id", "query"), list(enumerate(S.QUESTIONS)))
+    pages = f"""(SELECT p.*, a.query_id, a.query, CASE WHEN p.id % 4 = 0 THEN 'thanks' ELSE '' END AS acknowledgements, CASE WHEN p.id % 5 = 0 THEN 'cited' ELSE '' END AS reference_text,
+      CAST(abs(p.id) % 9 AS DOUBLE) / 8 AS lexical, CAST(abs(p.id) % 5 AS DOUBLE) / 4 AS constraint_score, abs(p.id) % 4 AS n_contradicted, p.id % 2 = 0 AS grounded
+      FROM {S.pages(d)} p JOIN {asked} a ON a.query_id = abs(p.id) % {len(S.QUESTIONS)})"""
+    signals = ", ".join(f"round({c}, 9) AS {c}" for c in (name.replace("-", "_") for _, name in K.WANTED))
+    return f"SELECT query_id, id, round(prior, 9) AS prior, {signals} FROM {K.scores(d, pages)} s"
+
+
 @sql_query
 def result_summary(d: Dialect) -> str:
     """How many results there are, their mean title and text lengths, and how many have text."""
@@ -270,9 +282,23 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan_query
 def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.documents import ranked
+    """Documents ranked with their priors."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.documents import judged, ranked
+
+    return ranked(judged(_question_documents(spark, sf_dir)), F.col("prior")).select("query_id", "pos", "url", "lexical", "prior", "rank_score", "rank")
+
+
+@plan_query
+def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six sources of each question's context."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.documents import context_documents as chosen
+    from tidemark.operators.documents import judged, ranked
 
-    return ranked(_question_documents(spark, sf_dir)).select("query_id", "pos", "url", "lexical", "rank_score", "rank")
+    return chosen(ranked(judged(_question_documents(spark, sf_dir)), F.col("prior")), 6)
 
 
 @plan_query
