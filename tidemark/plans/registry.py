@@ -77,7 +77,7 @@ def identifier_functions(d: Dialect) -> str:
 
 @sql_query
 def name_functions(d: Dialect) -> str:
-    return f"SELECT id, {d.join(T.capitalized_entities(d, 'title'), '|')} AS entities, {d.join(T.person_names(d, 'left(text, 1600)'), '|')} AS people, {T.plausible_person_name(d, 'title')} AS title_is_person, {d.join(T.author_names(d, 'left(text, 1600)'), '|')} AS authors, {d.join(T.institutions(d, 'left(text, 1600)'), '|')} AS institutions FROM {S.pages(d)} p"
+    return f"SELECT id, {d.join(T.capitalized_entities(d, 'title'), '|')} AS entities, {d.join(T.person_names(d, 'text'), '|')} AS people, {T.plausible_person_name(d, 'title')} AS title_is_person, {d.join(T.author_names(d, 'text'), '|')} AS authors, {d.join(T.institutions(d, 'text'), '|')} AS institutions FROM {S.pages(d)} p"
 
 
 @sql_query
@@ -122,7 +122,7 @@ def query_plan(d: Dialect) -> str:
 def query_page_overlap(d: Dialect) -> str:
     """Specificity and shared years of invented questions and every page, joined by a question number."""
     questions = d.rows("v", ("qid", "query"), [(k, q) for k, q in enumerate(S.QUESTIONS)])
-    joined = f"SELECT p.id, q.qid, {T.specific_terms(d, 'q.query')} AS terms, {T.years(d, 'q.query')} AS asked_years, {T.years(d, 'p.text')} AS own_years, lower({T.normalize_whitespace(d, 'left(p.text, 2000)')}) AS clean FROM {S.pages(d)} p JOIN {questions} q ON q.qid = abs(p.id) % {len(S.QUESTIONS)}"
+    joined = f"SELECT p.id, q.qid, {T.specific_terms(d, 'q.query')} AS terms, {T.years(d, 'q.query')} AS asked_years, {T.years(d, 'p.text')} AS own_years, lower({T.normalize_whitespace(d, 'p.text')}) AS clean FROM {S.pages(d)} p JOIN {questions} q ON q.qid = abs(p.id) % {len(S.QUESTIONS)}"
     termed = f"SELECT *, {T.important_terms(d, 'clean')} AS own FROM ({joined}) j"
     return f"SELECT id, qid, round(CAST({T.specificity_overlap(d, 'terms', 'own', 'clean')} AS DOUBLE), 9) AS specificity, {T.share_an_item(d, 'asked_years', 'own_years')} AS same_year FROM ({termed}) k"
 
@@ -161,7 +161,7 @@ def evidence_graph_summary(d: Dialect) -> str:
 
 @sql_query
 def context_block(d: Dialect) -> str:
-    return R.context_block(d, f"(SELECT query_id, pos, title, url, left({T.normalize_whitespace(d, 'content')}, 80) AS snippet, retrieval_score AS score FROM {S.hits(d)} h WHERE pos < 1000000)")
+    return R.context_block(d, f"(SELECT query_id, pos, title, url, {T.normalize_whitespace(d, 'content')} AS snippet, retrieval_score AS score FROM {S.hits(d)} h)")
 
 
 @sql_query
