@@ -275,9 +275,27 @@ def deduplicated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan_query
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of alike documents of a question, each document beside a copy with two more words; the oracle compares all pairs."""
+    from pyspark.sql import functions as F
+
     from tidemark.operators.documents import near_duplicate_pairs as pairs
 
-    return pairs(_question_documents(spark, sf_dir))
+    docs = _question_documents(spark, sf_dir)
+    copies = docs.withColumns({"pos": F.col("pos") + 1000000, "content": F.concat("content", F.lit(" lantern beacon"))})
+    return pairs(docs.unionByName(copies)).withColumn("jaccard", F.round("jaccard", 9))
+
+
+def _all_pairs() -> str:
+    """DuckDB's answer to near_duplicate_pairs by comparing every pair."""
+    d = DUCK
+    rows = f"SELECT abs(id) % {len(S.QUESTIONS)} AS query_id, id + 1000 + n * 1000000 AS pos, concat(text, CASE WHEN n = 1 THEN ' lantern beacon' ELSE '' END) AS content FROM {S.pages(d)} p CROSS JOIN (SELECT unnest([0, 1]) AS n) c"
+    terms = f"SELECT query_id, pos, list_distinct({T.important_terms(d, f'lower({T.normalize_whitespace(d, 'content')})')}) AS terms FROM ({rows}) r"
+    shared = "len(list_intersect(a.terms, b.terms))"
+    jaccard = f"CAST({shared} AS DOUBLE) / (len(a.terms) + len(b.terms) - {shared})"
+    return f"WITH t AS ({terms}) SELECT a.query_id, CAST(a.pos AS INT) AS pos, CAST(b.pos AS INT) AS pos_b, round({jaccard}, 9) AS jaccard FROM t a JOIN t b ON a.query_id = b.query_id AND a.pos < b.pos WHERE len(a.terms) > 0 AND len(b.terms) > 0 AND {jaccard} >= 0.92"
+
+
+ORACLES["near_duplicate_pairs"] = _all_pairs()
 
 
 @plan_query

@@ -71,5 +71,5 @@ def evaluation(d: Dialect) -> str:
 def hits(d: Dialect) -> str:
     """Search hits made from pages: every page answers the clue of its number, with repeats by another spelling of the URL."""
     base = f"SELECT page_id, url, html FROM {d.table('pages')}"
-    return f"""(SELECT page_id % 20 AS query_id, page_id AS pos, url, {d.extract('html', r'(?is)<title[^>]*>([^<]*)', 1)} AS title, CAST(page_id % 7 AS DOUBLE) / 7 AS retrieval_score, concat('clue ', CAST(page_id % 3 AS {d.string})) AS clue, left(html, CAST(200 + page_id % 900 AS INT)) AS content FROM ({base}) b
-      UNION ALL SELECT page_id % 20, page_id + 1000000, concat(replace(url, 'https://', 'http://www.'), '/?again=1'), '', CAST(page_id % 5 AS DOUBLE) / 5, 'clue 9', left(html, CAST(100 + page_id % 1500 AS INT)) FROM ({base}) c WHERE page_id % 4 = 0)"""
+    return f"""(SELECT page_id % 20 AS query_id, page_id AS pos, url, {d.extract('html', r'(?is)<title[^>]*>([^<]*)', 1)} AS title, CAST(page_id % 7 AS DOUBLE) / 7 AS retrieval_score, concat('clue ', CAST(page_id % 3 AS {d.string})) AS clue, html AS content FROM ({base}) b
+      UNION ALL SELECT page_id % 20, page_id + 1000000, concat(replace(url, 'https://', 'http://www.'), '/?again=1'), '', CAST(page_id % 5 AS DOUBLE) / 5, 'clue 9', CASE WHEN page_id % 8 = 0 THEN concat(html, ' again') ELSE 'short' END FROM ({base}) c WHERE page_id % 4 = 0)"""
