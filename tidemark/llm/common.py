@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +106,39 @@ def size_checked(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def splits_of(df: DataFrame) -> int:
+    """In how many parts a shuffle of what df has should go: as many as df has, or as the session's shuffles have."""
+    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal keys, of batches that are sorted by them; nulls are equal."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(b.schema.get_field_index(k)) for k in keys]
+        change = np.zeros(b.num_rows, bool)
+        for c in columns:
+            null = c.is_null().to_numpy(zero_copy_only=False)
+            differs = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), False).to_numpy(zero_copy_only=False)
+            change[1:] |= differs | (null[1:] != null[:-1])
+        key = [c[0].as_py() for c in columns]
+        if held and key != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        edges = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for k, (a, z) in enumerate(zip(edges, edges[1:])):
+            if k and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+        last = [c[b.num_rows - 1].as_py() for c in columns]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def tree_summed(rows: DataFrame, add: Callable, kind: str, splits: int) -> DataFrame:
     """rows (with a part number i) after `add` over groups of splits and then over all: no task gets every split's rows."""
     if splits > 64:
