@@ -53,7 +53,7 @@ def test_blocks_and_shards_make_no_difference(spark, monkeypatch):
 def test_terms_of_long_texts_are_whole():
     text = ("Abc déf-ghi " * 5000).encode()
     want = [w for piece in S.terms(text) for w in piece]
-    assert want == ["abc", "déf".encode(), b"ghi"] * 5000 or want[:3] == [b"abc", "déf".encode(), b"ghi"]
+    assert want == [b"abc", "déf".encode(), b"ghi"] * 5000
     assert [w for piece in S.terms(text, 7) for w in piece] == want
     assert [w for piece in S.terms(b"x" * 100, 7) for w in piece] == [b"x" * 100]
     assert list(S.terms(None)) == [[]]

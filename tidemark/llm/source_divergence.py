@@ -150,7 +150,7 @@ def compared(rows: DataFrame, listed: int) -> DataFrame:
         for shard in runs(batches, "shard"):
             db.register("shard", shard)
             db.execute(SHARES, {"added": ADDED, "scale": SCALE})
-            most = db.execute("select coalesce(max(k), 0) from shares").fetchone()[0]
+            most = db.execute("select coalesce(max(k), 0) from shares").fetchall()[0][0]
             for first in range(0, most, BLOCK):
                 block = {"first": first, "last": first + BLOCK}
                 yield from db.sql(PAIRS, params=block).to_arrow_table().to_batches()
