@@ -77,7 +77,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op4_toxicity, op5_lm_scoring, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash, op12_source_divergence)}
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .structure_repair import structure_repair
+
+    return structure_repair(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op4_toxicity, op5_lm_scoring, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash, op12_source_divergence, op13_structure_repair)}
 ORACLES: dict[str, str] = {
     "op12_source_divergence": r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
@@ -95,6 +101,44 @@ pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f,
 term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair UNION ALL FROM term))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    # backward costs alone, and the least letter that keeps to them
+    "op13_structure_repair": r"""
+WITH RECURSIVE c AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) ELSE xor(h >> 1, 3988292384 * (h & 1)) END, CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS fault FROM conversations),
+d AS (SELECT c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, (VALUES (1), (2)) AS copy(k) WHERE fault <> 0 AND (k = 1 OR fault = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, left(role, 1) AS a, lead(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS b FROM n),
+r AS (SELECT c, i, role, text, a, blank OR again AS gone, CASE WHEN cut THEN 1 ELSE 0 END AS extra FROM f),
+told AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (b IS NOT NULL AND a || b NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY c),
+back AS (SELECT c, n + 1 AS i, 0 AS b0, 4 AS b1, 2 AS b2, 0 AS b3 FROM told
+  UNION ALL SELECT c, i, least(w0, 2 + least(w2, 2 + w3)), least(w1, 2 + least(w2, 2 + w3)), least(w2, 2 + w3), least(w3, 2 + w2) FROM (
+    SELECT r.c, r.i,
+      CASE WHEN gone THEN b0 + 3 ELSE least(b0 + 3, b2 + 2 + extra, CASE a WHEN 's' THEN b1 + extra WHEN 'u' THEN b2 + extra ELSE 1000000000 END) END AS w0,
+      CASE WHEN gone THEN b1 + 3 ELSE least(b1 + 3, b2 + 2 + extra, CASE a WHEN 'u' THEN b2 + extra ELSE 1000000000 END) END AS w1,
+      CASE WHEN gone THEN b2 + 3 ELSE least(b2 + 3, b3 + 2 + extra, CASE a WHEN 'a' THEN b3 + extra ELSE 1000000000 END) END AS w2,
+      CASE WHEN gone THEN b3 + 3 ELSE least(b3 + 3, b2 + 2 + extra, CASE a WHEN 'u' THEN b2 + extra ELSE 1000000000 END) END AS w3
+    FROM back JOIN r ON r.c = back.c AND r.i = back.i - 1)),
+cost AS (SELECT c, i, unnest([0, 1, 2, 3]) AS s, unnest([b0, b1, b2, b3]) AS b FROM back),
+walk AS (SELECT c, CAST(1 AS BIGINT) AS i, 0 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS said, false AS done FROM told
+  UNION ALL SELECT c, CASE WHEN letter IN ('I', 'E') THEN i ELSE i + 1 END, CASE WHEN letter IN ('I', 'R') THEN t WHEN letter = 'K' THEN k ELSE s END, audit || CASE letter WHEN 'E' THEN '' ELSE letter END,
+    CASE letter WHEN 'K' THEN list_append(said, role || ':' || text) WHEN 'R' THEN list_append(said, who || ':' || text) WHEN 'I' THEN list_append(said, who || ':') ELSE said END, letter = 'E' FROM (
+    SELECT w.*, role, text, CASE WHEN w.s = 2 THEN 3 ELSE 2 END AS t, CASE WHEN w.s = 2 THEN 'assistant' ELSE 'user' END AS who, CASE a WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END AS k,
+      CASE WHEN r.i IS NULL THEN CASE WHEN here.b = 0 THEN 'E' ELSE 'I' END
+        WHEN here.b = 3 + d.b THEN 'D' WHEN here.b = 2 + ins.b THEN 'I'
+        WHEN NOT gone AND here.b = extra + keep.b THEN 'K' ELSE 'R' END AS letter
+    FROM walk w LEFT JOIN r ON r.c = w.c AND r.i = w.i
+    JOIN cost here ON here.c = w.c AND here.i = w.i AND here.s = w.s
+    LEFT JOIN cost d ON d.c = w.c AND d.i = w.i + 1 AND d.s = w.s
+    LEFT JOIN cost ins ON ins.c = w.c AND ins.i = w.i AND ins.s = CASE WHEN w.s = 2 THEN 3 ELSE 2 END
+    LEFT JOIN cost keep ON keep.c = w.c AND keep.i = w.i + 1 AND keep.s = CASE WHEN a = 's' AND w.s = 0 THEN 1 WHEN a = 'u' AND w.s <> 2 THEN 2 WHEN a = 'a' AND w.s = 2 THEN 3 END
+    WHERE NOT done))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM c) LEFT JOIN told USING (c) LEFT JOIN (SELECT c, b0 FROM back WHERE i = 1) USING (c) LEFT JOIN (SELECT c, audit, said FROM walk WHERE done) USING (c)""",
     "op7_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 tok AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d)),
