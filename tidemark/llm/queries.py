@@ -71,6 +71,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_dedup import embedding_duplicates
+
+    return embedding_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_divergence import source_divergence
 
@@ -83,8 +89,17 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op4_toxicity, op5_lm_scoring, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash, op12_source_divergence, op13_structure_repair)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_decontamination, op4_toxicity, op5_lm_scoring, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_pii, op10_simhash, op11_embedding_dedup, op12_source_divergence, op13_structure_repair)}
 ORACLES: dict[str, str] = {
+    # every two vectors of a label; the shortest path of ids takes as many steps as a component is wide
+    "op11_embedding_dedup": r"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT *, list_sum(list_transform(v, lambda x: x * x)) AS q FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (sqrt(a.q) * sqrt(b.q)) >= 0.98),
+reach AS (SELECT r, r AS o FROM e UNION SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.o),
+root AS (SELECT reach.r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.o GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM e JOIN root USING (r) LEFT JOIN n USING (r)""",
     "op12_source_divergence": r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
