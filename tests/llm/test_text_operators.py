@@ -250,10 +250,54 @@ def test_personal_data_of_long_texts_takes_linear_time(spark):
         r = pii.report(table).first()
         took.append(time.time() - start)
         assert (r["n_phone"], r["n_email"]) == (n, n)
-    assert took[1] < 12 * took[0] + 5
+    assert took[1] < 6 * took[0]
 
 
 def test_redaction(spark):
     text = "é a@b.cd and 10.0.0.1, end"
     df = pii.personal_data(documents(spark, [(1, text, None, None, 1)], False), ("doc_id", "text")).select(pii.redacted(F.col("text"), pii.all_spans()).alias("t"))
     assert df.first()["t"] == "é [EMAIL] and [IP], end"
+
+
+def redacted_by_hand(text, spans):
+    out, at = [], 0
+    for start, _, end, name in sorted((a, -b, b, name) for name, a, b in spans):
+        if start >= at:
+            out += [text[at:start], f"[{name.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    texts = [*PII_TEXTS, "é𝔸" * 700 + " 4539 1488 0343 6467@x.org 1.2.3.4@b.c " + "+1 555 123 4567, a@b.cd\n" * 700 + "𝔸" * 1500, "1.2.3.4 " * 600, "", "x" * 3000]
+    df = pii.personal_data(documents(spark, [(k, t, None, None, 1) for k, t in enumerate(texts)], False), ("doc_id", "text"))
+    for r in df.select("doc_id", pii.redacted(F.col("text"), pii.all_spans()).alias("t"), pii._listed(pii.all_spans()).alias("spans"), pii.blanked(F.col("text")).alias("b")).collect():
+        spans = [(name, int(a), int(b)) for name, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        assert r["t"] == redacted_by_hand(texts[r["doc_id"]], spans)
+        base = {k for name, a, b in spans if name != "id" for k in range(a, b)}
+        assert r["b"] == "".join(pii.BLANK if k in base else c for k, c in enumerate(texts[r["doc_id"]]))
+
+
+def test_identifiers_after_spans_with_blanks_are_placed(spark):
+    seeds = [(k, f"{prose(k, 6)} badge {k}.x@mail.org {prose(k + 1, 4)}", None, None, 1) for k in range(12)]
+    late = "call +1 555 123 4567 or +49 30 123 4567 then badge zx_9 and more"
+    got = {r["doc_id"]: r for r in pii.report(documents(spark, [*seeds, (50, late, None, None, 1)])).collect()}
+    at = late.index("zx_9")
+    assert f"id:{at}:{at + 4}" in got[50]["spans"].split(",")
+
+
+def test_scores_settle_over_a_chain_of_patterns(spark):
+    """Each pattern's values are half known by the one before it, so scores must travel over many steps."""
+    edges = [("p0", f"s{k}", True) for k in range(40)]
+    for step in range(8):
+        edges += [(f"p{step}", f"v{step}.{k}", False) for k in range(4)] + [(f"p{step + 1}", f"v{step}.{k}", False) for k in range(4)]
+    patterns, scores = pii.scored(spark.createDataFrame(edges, "pattern string, value string, seed boolean"))
+    confidence = {r["pattern"]: r["confidence"] for r in patterns.collect()}
+    score = {r["value"]: r["score"] for r in scores.collect()}
+    values = {v: float(seed) for _, v, seed in edges}
+    for _ in range(500):
+        mean = {p: sum(values[v] for q, v, _ in edges if q == p) / (sum(q == p for q, _, _ in edges) + 0.25) for p in confidence}
+        values = {v: 1.0 if v[0] == "s" else 1 - np.prod([1 - min(mean[p], 0.999) for p, w, _ in edges if w == v]) for v in values}
+    assert max(abs(score[v] - values[v]) for v in values) < 0.02 and score["v7.0"] > 0.3
+    with pytest.raises(RuntimeError):
+        pii.scored(spark.createDataFrame(edges, "pattern string, value string, seed boolean"), sweeps=2)

@@ -7,16 +7,18 @@ inside a word, what stands before it in the word. Patterns and the values that t
 1. Patterns around at least `SUPPORT` different good values (seeds, and values found so far) are candidates.
 2. A scan counts every value that a candidate surrounds. It is admitted if at least `ADMITTED` of them are good, so a
    word that stands before anything is never admitted, however many seeds follow it.
+   Sketches of the numbers of values come first, so that no value is shuffled of a candidate that is far from this.
 3. Over the graph of the admitted patterns, a pattern's confidence is the shrunk mean score of its values, and a value's
-   score is the noisy-or of its patterns; seeds stay at one. Values of high score are good from then on.
-4. Their contexts bring new candidates, until a round admits no pattern or finds no value.
+   score is the noisy-or of its patterns; seeds stay at one. Scores are swept until they settle, from the last round's.
+   Values of high score are good from then on.
+4. Their contexts bring new candidates, until a round admits no pattern or finds no value. What doesn't settle is an error.
 
 Confident patterns mark the values of high score that they surround as identifiers, kind `id`. A pattern must have a
 letter, and an identifier a character that is no letter: words of letters alone aren't marked.
 
 Spans count code points, end exclusive. A scan takes time in proportion to the text: a match of a base expression starts
 only at the start of a run or where the last match ended, which is where a leftmost match starts anyway, and offsets are
-summed in blocks. Blanking the base spans before words are cut isn't: it costs a text's length for each of its spans.
+summed in blocks. Contexts, blanks and replacements are cut from pieces of the text, never from the whole of it.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are found one by one and score as one
 value; a table without seeds gives base columns alone; other columns of the input are ignored."""
@@ -54,9 +56,14 @@ AROUND = 256
 SUPPORT = 5
 ADMITTED = 0.5
 CONFIDENCE = 0.9
-#: Sweeps over the graph in each round, and the most rounds of bootstrapping.
-SWEEPS = 3
-ROUNDS = 10
+#: Scores have settled if none moves by more; sweeps and rounds after which it is an error that they haven't.
+TOLERANCE = 1e-3
+SWEEPS = 200
+ROUNDS = 100
+#: A candidate is counted value by value if a sketch of its values is under this many times what it may have.
+SKETCHED = 1.5
+#: Code points of the pieces that a text is cut into.
+PIECE = 1024
 #: Matches whose offsets are summed together.
 BLOCK = 256
 #: Documents with discovered spans are broadcast up to this many; beyond it Spark shuffles.
@@ -94,6 +101,31 @@ def located(text: Column, pattern: str, kind: int, accepted) -> Column:
     return let(zipped, lambda every: F.when(F.size(every) == 0, F.array().cast(spans)).when(F.size(every) <= BLOCK, block(every)["spans"]).otherwise(let(cut(every), joined)))
 
 
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text in pieces; what it costs doesn't depend on the text's length."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    found = F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), (start % PIECE + 1).cast("int"), (end - start).cast("int"))
+    return F.when(end > start, found).otherwise(F.lit(""))
+
+
+def greatest_before(values: Column) -> Column:
+    """For each of the values (not empty, not negative) the greatest one before it, zero for the first; by blocks."""
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    added = lambda acc, at: F.struct(F.greatest(acc["at"], at).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, zero(F.lit(0).cast("long")), lambda acc, b: added(acc, F.array_max(b)), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.aggregate(b, zero(at), added, lambda acc: acc["out"])))
+
+    return let(blocks, joined)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -115,13 +147,16 @@ def base_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:string,before:string,after:string>>")
 
-    def sides(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - AROUND + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(AROUND)).cast("int"))
-        after = F.substring(text, (x["end"] + 1).cast("int"), F.lit(AROUND))
+    def sides(parts: Column, x: Column) -> Column:
+        before = between(parts, F.greatest(x["start"] - AROUND, F.lit(0)), x["start"])
+        after = between(parts, x["end"], x["end"] + AROUND)
         whole = lambda side: F.when(F.length(side) < AROUND, F.lit(" ")).otherwise(F.lit(""))
         return x.withField("before", F.concat(whole(before), before)).withField("after", F.concat(after, whole(after)))
 
-    columns = [F.when(text.rlike("[@0-9]") & WORTH[kind](text), F.transform(located(text, pattern, k, ACCEPTED[kind]), sides)).otherwise(none).alias(kind) for k, (kind, pattern) in enumerate(BASE.items())]
+    def told(spans: Column) -> Column:
+        return F.when(F.size(spans) == 0, none).otherwise(let(pieces(text), lambda parts: F.transform(spans, lambda x: sides(parts, x))))
+
+    columns = [F.when(text.rlike("[@0-9]") & WORTH[kind](text), let(located(text, pattern, k, ACCEPTED[kind]), told)).otherwise(none).alias(kind) for k, (kind, pattern) in enumerate(BASE.items())]
     return docs.select(*keep, F.xxhash64(text).alias("h"), *columns)
 
 
@@ -150,12 +185,22 @@ def seeds(spans: DataFrame) -> DataFrame:
 
 
 def blanked(text: Column) -> Column:
-    """text with BLANK for every character of its base spans."""
-    blank = lambda t, x: F.overlay(t, F.repeat(F.lit(BLANK), (x["end"] - x["start"]).cast("int")), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
-    plain = text
-    for k, (kind, pattern) in enumerate(BASE.items()):  # spans of different kinds may overlap
-        text = F.when(WORTH[kind](F.col("text")), F.aggregate(located(F.col("text"), pattern, k, ACCEPTED[kind]), text, blank)).otherwise(text)
-    return F.when(plain.rlike("[@0-9]"), text).otherwise(plain)
+    """text with BLANK for every character of its base spans. Spans of different kinds may overlap."""
+
+    def without(t: Column, spans: Column) -> Column:
+        blank = lambda x: F.repeat(F.lit(BLANK), (x["end"] - x["start"]).cast("int"))
+        since = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+        joined = lambda parts: F.concat(F.array_join(F.transform(spans, lambda x, i: F.concat(between(parts, since(i), x["start"]), blank(x))), ""), between(parts, F.get(spans, F.size(spans) - 1)["end"], F.length(t)))
+        return F.when(F.size(spans) == 0, t).otherwise(let(pieces(t), joined))
+
+    def step(out: Column, k: int, kind: str) -> Column:
+        found = located(text, BASE[kind], k, ACCEPTED[kind])
+        return let(out, lambda t: F.when(WORTH[kind](text), let(found, lambda spans: without(t, spans))).otherwise(t))
+
+    out = text
+    for k, kind in enumerate(BASE):
+        out = step(out, k, kind)
+    return F.when(text.rlike("[@0-9]"), out).otherwise(text)
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -219,31 +264,58 @@ def placed(docs: DataFrame, hits: DataFrame) -> DataFrame:
     hits = hits.groupBy("h").agg(F.collect_set(F.struct("i", "at", F.length("value").alias("size"))).alias("hits"))
     rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(size_checked(staged(hits), EXTRA_ROWS), "h").dropDuplicates(["h"])
     start = lambda found, x: F.get(found, x["i"])["start"] + x["at"]
-    spans = let(located(F.col("text"), WORD, 0, lambda v: F.lit(True)), lambda found: F.transform("hits", lambda x: F.struct(F.lit(len(BASE)).alias("kind"), start(found, x).alias("start"), (start(found, x) + x["size"]).alias("end"))))
+    spans = let(located(blanked(F.col("text")), WORD, 0, lambda v: F.lit(True)), lambda found: F.transform("hits", lambda x: F.struct(F.lit(len(BASE)).alias("kind"), start(found, x).alias("start"), (start(found, x) + x["size"]).alias("end"))))
     return rows.select("h", F.array_sort(spans).cast(SPAN).alias("extra"))
 
 
-def scored(edges: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, DataFrame]:
-    """(pattern, confidence) and (value, seed, score) after `sweeps` sweeps over edges (pattern, value, seed)."""
-    scores = edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double"))
-    patterns = None
-    for _ in range(sweeps):
-        patterns = edges.select("pattern", "value").join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 0.25)).alias("confidence"))
-        told = edges.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))).alias("doubt"))
-        scores = staged(told.select("value", "seed", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score")))
-    return patterns, scores
+def scored(edges: DataFrame, known: DataFrame | None = None, sweeps: int = SWEEPS) -> tuple[DataFrame, DataFrame]:
+    """(pattern, confidence) and (value, seed, score) over edges (pattern, value, seed), once no score moves any more.
+
+    Sweeps start from known (value, score); other values start at one if they are seeds, at zero if not."""
+    scores = edges.groupBy("value").agg(F.max("seed").alias("seed"))
+    if known is None:
+        scores = scores.withColumn("score", F.col("seed").cast("double"))
+    else:
+        scores = scores.join(known.select("value", "score"), "value", "left").withColumn("score", F.coalesce("score", F.col("seed").cast("double")))
+    def sweep(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+        now = edges.select("pattern", "value").join(scores.select("value", "seed", "score"), "value")
+        patterns = now.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 0.25)).alias("confidence"))
+        told = now.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.max("score").alias("last"), F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))).alias("doubt"))
+        return patterns, told.select("value", "seed", "last", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score"))
+
+    for _ in range(0, sweeps, 3):
+        for _ in range(2):
+            scores = sweep(scores)[1]
+        before = staged(scores)
+        patterns, scores = sweep(before)
+        scores = staged(scores)
+        if (scores.agg(F.max(F.abs(F.col("score") - F.col("last")))).first()[0] or 0) <= TOLERANCE:
+            return staged(patterns), scores.drop("last")
+    raise RuntimeError(f"scores of patterns did not settle in {sweeps} sweeps")
+
+
+def promising(docs: DataFrame, many: DataFrame) -> DataFrame:
+    """The patterns of many (pattern, n good values) that may be admitted, by sketches of how many values they surround.
+
+    A pattern is admitted if its good values are at least ADMITTED of all; a sketch is wrong by a twentieth, and counts
+    here only if it is wrong by a half."""
+    about = instances(docs, many).groupBy("pattern").agg(F.approx_count_distinct("value", 0.05).alias("about"))
+    return many.join(about, "pattern", "left").where(F.coalesce("about", F.lit(0)) <= SKETCHED * F.col("n") / ADMITTED).select("pattern")
 
 
 def bootstrapped(docs: DataFrame, given: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame | None:
     """The instances (h, i, at, value, pattern) of identifiers that bootstrapping from the seeds finds; None if none."""
     given = staged(given)
     good = given.select("value").distinct()
-    seen, admitted, edges, firm, sure = given, None, None, None, None
+    seen, admitted, edges, scores, firm, sure = given, None, None, None, None, None
     for _ in range(rounds):
         many = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
         if admitted is not None:
             many = many.join(admitted, "pattern", "left_anti")
-        many = staged(many.select("pattern"))
+        many = staged(many)
+        if many.isEmpty():
+            break
+        many = staged(promising(docs, many))
         if many.isEmpty():
             break
         pairs = staged(seen.join(many, "pattern", "left_semi").select("pattern", "value").unionByName(instances(docs, many).select("pattern", "value")).distinct())
@@ -253,7 +325,7 @@ def bootstrapped(docs: DataFrame, given: DataFrame, support: int = SUPPORT, conf
             break
         more = pairs.join(size_checked(new, PATTERN_ROWS), "pattern", "left_semi").join(given.withColumn("seed", F.lit(True)), ["pattern", "value"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
         admitted, edges = (new, staged(more)) if edges is None else (staged(admitted.union(new)), staged(edges.unionByName(more)))
-        patterns, scores = scored(edges)
+        patterns, scores = scored(edges, scores)
         firm = staged(patterns.where(F.col("confidence") >= confidence).select("pattern"))
         sure = staged(scores.where(~F.col("seed") & (F.col("score") >= confidence) & F.col("value").rlike(MARKED)).select("value"))
         fresh = staged(sure.join(good, "value", "left_anti"))
@@ -261,6 +333,8 @@ def bootstrapped(docs: DataFrame, given: DataFrame, support: int = SUPPORT, conf
             break
         good = staged(good.union(fresh))
         seen = staged(seen.unionByName(contexts(docs, fresh)).distinct())
+    else:
+        raise RuntimeError(f"bootstrapping did not settle in {rounds} rounds")
     if sure is None or sure.isEmpty():
         return None
     return instances(docs, firm).join(size_checked(sure, PATTERN_ROWS), "value", "left_semi")
@@ -292,7 +366,7 @@ def all_spans(with_extra: bool = True) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_found of every row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_id of every row of docs."""
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
     return personal_data(docs).select("doc_id", *counts, F.sha2(_listed(all_spans(False)), 256).alias("base_sha256"), _listed(all_spans()).alias("spans"), F.size("extra").cast("long").alias("n_id"))
 
@@ -302,11 +376,9 @@ def redacted(text: Column, spans: Column) -> Column:
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = -x["end"]
-        new = F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.get(names, x["kind"])))
-        return F.when(x["start"] >= acc["at"], F.struct(end.alias("at"), new.alias("out"))).otherwise(F.struct(F.greatest(end, acc["at"]).alias("at"), acc["out"].alias("out")))
+    def replaced(parts: Column, found: Column) -> Column:
+        ends = F.transform(found, lambda x: -x["end"])
+        named = lambda till: F.transform(found, lambda x, i: F.when(x["start"] >= F.get(till, i), F.concat(between(parts, F.get(till, i), x["start"]), F.get(names, x["kind"]))).otherwise(F.lit("")))
+        return F.concat(let(greatest_before(ends), lambda till: F.array_join(named(till), "")), between(parts, F.array_max(ends), F.length(text)))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    joined = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    return F.when(F.size(spans) > 0, let(pieces(text), lambda parts: let(ordered, lambda found: replaced(parts, found)))).otherwise(text)
