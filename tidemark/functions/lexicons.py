@@ -204,3 +204,13 @@ ABILITY_QUERY_HINTS = (
 )
 NON_RESEARCH_PAGE_HINTS = ("course", "program", "precollege", "summer college", "major", "minor", "degree requirements", "admissions", "apply now")
 PERSON_CONTEXT_HINTS = ("author", "student", "professor", "faculty", "advisor", "supervisor", "mentor")
+
+# Memorial years: sources, contexts and words of pages that answer when something happened.
+MEMORIAL_SOURCE_HINTS = ("spomenikdatabase.org",)
+YUGOSLAV_HINTS = ("former yugoslavia", "yugoslavia", "yugoslav", "socialist yugoslavia")
+PERSON_BIOGRAPHY_HINTS = ("artist", "artists", "author", "authors", "awards", "biography", "born", "career", "died", "legacy", "profile", "sculptor", "sculptors")
+MEMORIAL_PAGE_HINTS = ("monument", "memorial", "spomenik", "spomenpark")
+CASUALTY_HINTS = ("victims", "massacre", "battle", "killed", "died", "executed", "detachment", "loss of lives", "commemorates", "fallen fighters")
+MEMORIAL_TITLE_HINTS = ("memorial on", "monument to", "spomenik", "spomenpark", "victims of", "massacre")
+MEMORIAL_EVIDENCE_HINTS = ("victims", "massacre", "battle", "killed", "died", "executed", "commemorates", "in honor", "dedication", "memorial", "monument", "spomenik")
+MEMORIAL_ARTIST_HINTS = ("artist", "sculptor", "designed by", "author", "miodrag", "živković", "zivkovic")

@@ -355,6 +355,42 @@ def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id AS query_id", "text AS clue"), docs).drop("text")
 
 
+@plan_query
+def anchor_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question and page that share a specific term: how specific the page is, and how many anchor groups it covers."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.grounding import asked, coverage, seen
+    from tidemark.operators.staging import kept
+
+    questions = asked(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q"))
+    return coverage(kept(questions), kept(seen(_pages(spark, sf_dir)).select("id", "low"))).withColumn("specificity", F.round("specificity", 9))
+
+
+def _coverage_of_all_pairs() -> str:
+    """DuckDB's answer to anchor_coverage by looking for every term of every question in every page."""
+    d = DUCK
+    asked = f"SELECT id AS question_id, {T.specific_terms(d, 'query')} AS terms FROM {S.questions(d)} q"
+    groups = f"SELECT id AS question_id, list(string_split(terms, ' ')) AS groups FROM {A.anchor_groups(d, S.questions(d))} a GROUP BY id"
+    low = f"lower({T.normalize_whitespace(d, f'concat_ws({d.lit(" ")}, title, url, left(text, 3200))')})"
+    pages = f"SELECT id, {low} AS low, list_transform(regexp_extract_all({low}, '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda x: x) AS words FROM {S.pages(d)} p"
+    pairs = "SELECT question_id, id, terms, coalesce(groups, []) AS groups, low, words FROM a LEFT JOIN g USING (question_id) CROSS JOIN p"
+    counts = "list_filter(list_transform(groups, lambda g: [len(list_filter(g, lambda t: contains(low, t))), least(2, len(g))]), lambda c: c[1] >= c[2])"
+    figures = f"SELECT question_id, id, len(list_filter(terms, lambda t: list_contains(words, t))) AS hits, len(list_filter(list_slice(terms, 1, 4), lambda t: length(t) >= 6 AND contains(low, t))) AS long, len(terms) AS n, {counts} AS counts, len(groups) AS total FROM x WHERE len(list_filter(list_concat(terms, flatten(groups)), lambda t: contains(low, t))) > 0"
+    return f"WITH a AS ({asked}), g AS ({groups}), p AS ({pages}), x AS ({pairs}), f AS ({figures}) SELECT question_id, id, round(CASE WHEN n > 0 THEN least(1.0, CAST(hits AS DOUBLE) / n + least(0.12, 0.03 * long)) ELSE 0.0 END, 9) AS specificity, CAST(len(counts) AS INT) AS matched_groups, CAST(coalesce(list_sum(list_transform(counts, lambda c: c[1])), 0) AS INT) AS matched_terms, CAST(total AS INT) AS total_groups FROM f"
+
+
+ORACLES["anchor_coverage"] = _coverage_of_all_pairs()
+
+
+@plan_query
+def grounded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with the pages that are grounded in it."""
+    from tidemark.operators.grounding import grounded_pages as pages
+
+    return pages(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q"), _pages(spark, sf_dir))
+
+
 @plan_query
 def question_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans.clues import question_clues as clues
