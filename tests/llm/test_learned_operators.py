@@ -194,3 +194,11 @@ def test_every_position_is_masked_in_one_round(net):
     _, place, owner = net.padded(batch)
     rounds = [lm_scoring.chosen(batch, place, owner, k, 2) for k in range(2)]
     assert sorted(np.concatenate(rounds).tolist()) == place.tolist() and min(map(len, rounds)) > 100
+
+
+def test_quality_learns_from_labels_of_0_and_1(spark):
+    docs, labels = read(spark, "/root/testdata/sf0.001", "documents"), read(spark, "/root/testdata/sf0.001", "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    plain = {r["doc_id"]: r["score"] for r in quality_classifier.quality_scores(docs, labels).collect()}
+    odd = labels.union(docs.select("doc_id", F.element_at(F.array(*map(F.lit, (float("nan"), 7.0, -1.0, None))), (F.col("doc_id") % 4 + 1).cast("int")).alias("quality")))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.quality_scores(docs, odd).collect()}
+    assert plain.keys() == got.keys() and all(abs(plain[k] - got[k]) < 1e-9 for k in plain) and all(0 <= v <= 1 for v in plain.values())

@@ -153,6 +153,24 @@ def test_stages_keep_columns_and_odd_rows(spark, odd, empty):
     assert {r["doc_id"] for r in stages.without_benchmark(odd, items).collect()}.isdisjoint({8, 9, None})
 
 
+def test_stages_bear_any_column_name(spark):
+    item = "how many green apples does the old farmer sell to the young baker on monday morning"
+    body = prose(31, 40)
+    rows = [(1, body, "en", None, 1), (2, body, "en", None, 1), (3, f"well {item} then", "en", None, 1), (4, f"{prose(32, 40)} a.b@mail.org", None, None, 1), (5, "12 34", "en", None, 1)]
+    docs = documents(spark, rows).drop("source")
+    for name in ("_dropped", "dropped", "_text_h", "text_h", "_repeated", "_row", "row", "_h", "_spans", "first", "root", "node", "doc", "item_id"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    items = benchmark(spark, [(5, item)])
+    kept = {}
+    for name, stage in (("lang", stages.in_a_language), ("near", stages.one_of_each_group), ("bench", lambda x: stages.without_benchmark(x, items)), ("pii", stages.without_personal_data)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        kept[name] = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert all(r["_row"] == r["_dropped"] == "clash" for r in out.collect())
+    assert kept["lang"].keys() == {1, 2, 3, 4} and kept["near"].keys() == {1, 3, 4, 5} and kept["bench"].keys() == {1, 2, 4, 5}
+    assert kept["pii"][4] == rows[3][1].replace("a.b@mail.org", "[EMAIL]")
+
+
 def test_stages_judge_rows_not_ids(spark):
     item = "how many green apples does the old farmer sell to the young baker on monday morning"
     held, clean, body = f"well {item} then", prose(21, 40), prose(22, 60)

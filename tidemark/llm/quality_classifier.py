@@ -4,8 +4,8 @@ Statistics of every whole text are made once and staged. Standardisation, normal
 calibrate are sums over partitions, so only fixed-size results reach the driver: the square of the number of
 features, and at most `bins` rows.
 
-Defined cases: a null text counts as an empty one and gets a score from zero statistics; labelled rows with a
-null label or without a document don't train; with no labelled rows every score is 0.5; a label given twice
+Defined cases: a null text counts as an empty one and gets a score from zero statistics; labelled rows with
+another label than 0 or 1, or without a document, don't train; with no labelled rows every score is 0.5; a label given twice
 counts twice; other columns of the input are ignored."""
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ class Projection:
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs; learns from labels whose fold mod 4 isn't 2."""
     stats = staged(per_text(docs, _statistics_of, "x array<double>"))
-    wanted = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
+    wanted = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & (remainder(F.col("doc_id"), 4) != 2))
     train = staged(stats.join(wanted, "doc_id").select("x", "y"))
     p = len(NAMES)
     sums = _summed(train, lambda x, y: np.vstack([np.ones(p) * len(x), x.sum(0), (x * x).sum(0)]), (3, p))

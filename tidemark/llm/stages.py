@@ -18,13 +18,14 @@ DROPPED_ROWS = 1_000_000
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text are in dropped (an id and a hash of the text)."""
-    dropped = size_checked(staged(dropped.toDF("_dropped", "_text_h").distinct()), DROPPED_ROWS)
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")) & (text_hash(F.col("text")) == F.col("_text_h")), "left_anti")
+    dropped = size_checked(staged(dropped.toDF("dropped", "text_h").distinct()), DROPPED_ROWS)
+    same = F.col("_row.doc_id").eqNullSafe(F.col("dropped")) & (text_hash(F.col("_row.text")) == F.col("text_h"))
+    return docs.select(F.struct("*").alias("_row")).join(dropped, same, "left_anti").select("_row.*")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, lang and n_chars of docs beside whole rows in `_row`, so that no other column can clash."""
-    return docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "n_chars")
+    """doc_id and text of docs beside whole rows in `_row`, so that no other column can clash."""
+    return docs.select(F.struct("*").alias("_row"), "doc_id", "text")
 
 
 def in_a_language(docs: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
         return kept
     same = F.col("doc_id").eqNullSafe(F.col("_repeated")) & (F.col("h") == F.col("_text_h"))
     keyed = packed(kept).withColumn("h", text_hash(F.col("text")))
-    order = F.xxhash64("_row.lang", "_row.source", "_row.n_chars")
+    order = F.xxhash64(F.to_json("_row"))
     one = keyed.join(again, same, "left_semi").groupBy("doc_id", "h").agg(F.min_by("_row", order).alias("_row"))
     return keyed.join(again, same, "left_anti").select("_row").union(one.select("_row")).select("_row.*")
 
@@ -62,11 +63,12 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the new text."""
+    kind = docs.schema["n_chars"].dataType
     docs = packed(docs)
     narrow = staged(pii.base_spans(docs))
     extra = size_checked(staged(pii.discovered(docs, narrow).toDF("_h", "extra")), pii.EXTRA_ROWS)
-    rows = pii.base_spans(docs, ("_row", "doc_id", "text", "n_chars")).join(extra, F.col("h") == F.col("_h"), "left")
+    rows = pii.base_spans(docs, ("_row", "doc_id", "text")).join(extra, F.col("h") == F.col("_h"), "left")
     rows = rows.withColumn("extra", F.coalesce("extra", F.array().cast(pii.SPAN))).withColumn("_spans", pii.all_spans())
     rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("_spans"))))
-    size = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    size = F.when(F.size("_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("_row.n_chars"))
     return rows.select(F.col("_row").withField("text", F.col("text")).withField("n_chars", size).alias("_row")).select("_row.*")
