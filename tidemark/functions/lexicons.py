@@ -214,3 +214,14 @@ CASUALTY_HINTS = ("victims", "massacre", "battle", "killed", "died", "executed",
 MEMORIAL_TITLE_HINTS = ("memorial on", "monument to", "spomenik", "spomenpark", "victims of", "massacre")
 MEMORIAL_EVIDENCE_HINTS = ("victims", "massacre", "battle", "killed", "died", "executed", "commemorates", "in honor", "dedication", "memorial", "monument", "spomenik")
 MEMORIAL_ARTIST_HINTS = ("artist", "sculptor", "designed by", "author", "miodrag", "živković", "zivkovic")
+
+# Answers: words near a year that tell what happened in it, and words that no person's name has.
+YEAR_EVENT_HINTS = (
+    "event", "occur", "loss of lives", "lost their lives", "victims", "victim", "massacre", "battle", "attack", "tragedy", "killed", "died",
+    "death", "executed", "honor", "in their honor", "commemorates", "commemorating", "dedicated", "dedication", "memorial", "monument", "spomenik",
+)
+YEAR_BIOGRAPHICAL_HINTS = ("born", "birth", "artist", "sculptor", "author", "architect")
+YEAR_CONSTRUCTION_HINTS = ("built", "constructed", "erected", "unveiled", "opened", "completed", "installed")
+YEAR_CENSUS_HINTS = ("census", "population")
+YEAR_AWARD_HINTS = ("award", "awards", "competition", "prize", "salon", "triennale", "biennale", "medal")
+NO_NAME_TERMS = ("festival", "celebration", "township", "province", "instagram", "facebook", "wikipedia", "stew", "dish", "contest", "winner")

@@ -391,6 +391,71 @@ def grounded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q"), _pages(spark, sf_dir))
 
 
+@plan_query
+def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed answer of each invented question and benchmark item, from the six pages that cover it best."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.answers import extracted
+    from tidemark.operators.grounding import asked, coverage, seen
+    from tidemark.operators.staging import kept
+
+    questions, pages = kept(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q WHERE id < 1000000")), kept(_pages(spark, sf_dir))
+    best = Window.partitionBy("question_id").orderBy(F.desc("matched_groups"), F.desc("specificity"), "id")
+    found = coverage(kept(asked(questions)), kept(seen(pages).select("id", "low"))).withColumn("place", F.row_number().over(best)).where("place <= 6")
+    rows = found.join(questions.withColumnRenamed("id", "question_id"), "question_id").join(pages, "id")
+    rows = rows.select(F.concat_ws(":", "question_id", "id").alias("id"), F.col("question_id").alias("query_id"), "query", "place", "url", "title", "text", F.col("specificity").alias("rank_score"), F.col("specificity").alias("retrieval_score"))
+    return extracted(kept(rows)).withColumnRenamed("id", "source")
+
+
+#: Candidates of answers made of search hits: a hit's clue answers its query, hit by hit.
+CANDIDATES = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS hop, CASE WHEN pos % 11 = 0 THEN '' ELSE clue END AS answer, round(0.2e0 + 0.7e0 * retrieval_score, 6) AS confidence, round(0.2e0 + 0.7e0 * retrieval_score + CASE WHEN pos % 3 = 0 THEN 0.04e0 ELSE 0e0 END, 6) AS score FROM"
+
+
+@plan_query
+def standing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer that stands after all candidates of a query, in order."""
+    from tidemark.plans.research import standing
+
+    rows = run_sql(spark, sf_dir, f"{CANDIDATES} {S.hits(SPARK)} h").selectExpr("query_id", "CAST(hop AS INT) AS hop", "answer", "'' AS evidence", "'' AS source", "confidence", "score")
+    return standing(rows).select("query_id", "hop", "answer", "confidence", "score")
+
+
+ORACLES["standing_answers"] = f"""WITH RECURSIVE c AS ({CANDIDATES} {S.hits(DUCK)} h),
+best AS (SELECT query_id, 0::BIGINT AS at, 0::BIGINT AS hop, '' AS answer, 0e0 AS confidence, 0e0 AS score FROM c GROUP BY query_id
+  UNION ALL SELECT query_id, n, CASE WHEN adopt THEN n ELSE hop END, CASE WHEN adopt THEN a ELSE answer END, CASE WHEN adopt THEN f ELSE confidence END, CASE WHEN adopt THEN s ELSE score END FROM (
+    SELECT best.*, c.hop AS n, c.answer AS a, c.confidence AS f, c.score AS s,
+      c.answer <> '' AND (best.answer = '' OR (best.confidence < 0.85 AND CASE WHEN lower(c.answer) = lower(best.answer) THEN c.score >= best.score - 0.02 AND c.confidence >= best.confidence ELSE c.score > best.score + 0.05 END)) AS adopt
+    FROM best JOIN c ON c.query_id = best.query_id AND c.hop = best.at + 1))
+SELECT query_id, CAST(hop AS INT) AS hop, answer, confidence, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at DESC) AS last FROM best) WHERE last = 1 AND answer <> ''"""
+
+
+@plan_query
+def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the invented questions meet by following links, best first, from the four pages that cover each best."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.frontier import expanded
+    from tidemark.operators.grounding import asked, coverage, named, seen
+    from tidemark.operators.staging import kept
+
+    questions, pages = kept(asked(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q WHERE id < 1000000"))), kept(_pages(spark, sf_dir))
+    best = Window.partitionBy("question_id").orderBy(F.desc("matched_groups"), F.desc("specificity"), "id")
+    found = coverage(questions, kept(seen(pages).select("id", "low"))).withColumn("place", F.row_number().over(best)).where("place <= 4")
+    seeds = found.join(pages.selectExpr("id", f"{T.canonicalize_url(SPARK, 'url')} AS node"), "id").where("node <> ''").select(F.col("question_id").alias("query_id"), "node", F.col("specificity").alias("score"))
+    links = kept(page_links(spark, sf_dir).selectExpr(f"{T.canonicalize_url(SPARK, 'url')} AS source", "target", "link_url", "link_text").where("target <> ''").distinct())
+
+    def score(rows: DataFrame) -> DataFrame:
+        rows = kept(rows.join(questions.select(F.col("id").alias("query_id"), "terms"), "query_id").withColumn("id", F.monotonically_increasing_id()))
+        with named(rows) as r:
+            scores = spark.sql(f"SELECT id, link_score FROM {A.link_scores(SPARK, f'(SELECT id, link_url AS url, link_text AS title, {SPARK.lit(chr(32))} AS text, terms FROM {r})')} l")
+        return rows.join(scores, "id").drop("id", "terms")
+
+    return expanded(kept(seeds), links, score, rounds=2, least=0.2).withColumn("score", F.round("score", 9))
+
+
 @plan_query
 def question_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans.clues import question_clues as clues
