@@ -15,7 +15,7 @@ ROWS = [
     (3, "How many techniques does the fighter in the novel use?", 1, "https://lib.org/f", "The Fighter", "The fighter in the novel used 14 different techniques. The book has 30 pages."),
     (4, "Which character is the rival named in the novel about clocks?", 1, "https://lib.org/c", "The Clock", "The novel about clocks has a rival named Grintley. Nothing else happens."),
     (5, "what year did the massacre of the victims happen that the memorial in Sarajevo Bosnia commemorates?", 1, "https://c.org/m", "Monument to the victims in Sarajevo", "The memorial in Sarajevo commemorates victims killed in 1942 in Bosnia. It was built in 1961. The census of 1971 counted its population."),
-    (6, "What is the title of the pdf about old lamps?", 1, "https://x.org", "Home", "old"),
+    (6, "What is the title of the pdf about old lamps?", 1, "https://x.org", "", "old"),
     (6, "What is the title of the pdf about old lamps?", 2, "https://x.org/2", "Bright Lamps of Orchid Harbour", "lamps"),
     (7, "Find which institution studied lamps", 1, "https://x.org/3", "Study", "Researchers at Orchid Harbour University studied lamps."),
     (8, "what year was the monument to the victims in Bosnia constructed prior to 1970 by a sculptor who was born in 1930?", 1, "https://c.org/n", "Monument to the victims in Sarajevo", "The memorial commemorates victims killed in 1942 in Bosnia. It was built in 1984 by a sculptor, born in 1950."),

@@ -150,19 +150,43 @@ def test_sections_and_thanks(spark):
     assert [(x["name"], x["evidence"][-32:]) for x in row] == [("Jane Doe", "thank Dr. Jane Doe for her help.")] or row[0]["name"].startswith("Jane")
 
 
-def test_snippets():
-    long = "word " * 30 + "end. " + "tail " * 60
-    assert O.truncated(long).endswith("...") and len(O.truncated(long)) <= 324
-    assert O.truncated("short") == "short"
-    assert O.snippet_candidates("a\nb") == ["a b"]
-    assert O.keyword_windows(["lamp"], "x lamp y lamp", 3, 1) == ["x lam"]
-
-
-def test_html_page():
-    page = html.parse_page('<html><title> T &amp; U </title><meta name="citation_author" content="Ana"><meta name="doi" content="10.1/x"><h1>H</h1><p>one <b>two</b></p><script>no</script><a href="/a">go</a><a href="/a">go</a><a href="#x">no</a><img src=x>', "https://e.org/p/")
-    assert (page["title"], page["doi"], page["authors"], page["text"], page["n_images"]) == ("T & U", "10.1/x", ["Ana"], "one two", 1)
-    assert page["links"] == [{"text": "go", "url": "https://e.org/a"}]
-    assert html.parse_page(None, None)["text"] == ""
+def test_snippets(spark):
+    long, plain = "word " * 30 + "end. " + "tail " * 60, "word " * 80
+    contents = ["a\nb", "x lamp y lamp z", "", long + "\n" + plain, "é lampé LAMP " * 20]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(contents)], "k int, c string")
+    got = df.select("k", O.truncated(F.col("c")).alias("t"), O.passages(F.col("c")).alias("p"), O.windows(S.clean(F.col("c")), F.array(F.lit("lamp"), F.lit("z")), 3).alias("w")).orderBy("k").collect()
+    for text, r in zip(contents, got):
+        clean = " ".join(text.split())
+        places = [(w, k) for w in ("lamp", "z") for k in range(len(clean)) if clean.lower().startswith(w, k)]
+        assert r["w"] == [clean[max(0, k - 3) : k + 3].strip() for _, k in places]
+        lines = [" ".join(x.split()) for x in text.split("\n") if x.strip()]
+        pairs = [f"{a} {b}" for a, b in zip(lines, lines[1:])]
+        assert set(r["p"]) == ({x for x in lines if len(x) >= 40} | {x for x in pairs if 60 <= len(x) <= 640} or set(filter(None, [clean])))
+        assert r["t"] == clean if len(clean) <= 320 else r["t"].endswith("...") and len(r["t"]) <= 324
+    assert got[3]["t"] == ("word " * 30 + "end")[:320] + "..."
+
+
+def test_evidence_around_identifiers_thanks_and_words(spark):
+    rows = [
+        (1, 1, "What is the DOI of the paper on lamps?", "Lamps", "https://e.org/1", "Abstract of the journal. Filler text " * 8 + "see doi 10.1234/ab.cd here. More text follows " * 3),
+        (2, 1, "Who is thanked in the thesis acknowledgements?", "Thesis", "https://e.org/2", "Chapter One\nText.\nAcknowledgements\nI thank Dr. Jane Doe for her help.\nReferences\nNone."),
+        (3, 1, "amber lanterns harbour", "Page", "https://e.org/3", "Nothing of note is on this line of the page at all, really.\nAmber lanterns burned in the harbour all night long, they say."),
+        (3, 1, "amber lanterns harbour", "", "", ""),
+    ]
+    got = {(r["query_id"], r["title"]): r["snippet"] for r in O.evidence(spark.createDataFrame([(*r, 0.5) for r in rows], "query_id long, pos int, query string, title string, url string, content string, rank_score double")).collect()}
+    assert "10.1234/ab.cd" in got[1, "Lamps"] and len(got[1, "Lamps"]) < 320
+    assert got[2, "Thesis"] == "I thank Dr. Jane Doe for her help." and "Amber lanterns burned in the harbour" in got[3, "Page"]
+    assert len(got) == 3
+
+
+def test_html_page(spark):
+    page = '<html><title> T &amp; U </title><meta name="citation_author" content="Ana"><meta name="Author" content="Ana"><meta name="doi" content="10.1/x"><h1>H</h1><h2>I <b>J</b></h2><p>one <b>two</b></p><script>no</script><a href="/a">go</a><a href="/a">GO</a><a href="#x">no</a><a>none</a><img src=x>'
+    rows = spark.createDataFrame([(1, "https://e.org/p/", page), (2, None, None), (3, "https://e.org", '<a href="http://[bad">x</a>')], "page_id long, url string, html string")
+    got = {r["id"]: r for r in html.parse_pages(rows).collect()}
+    r = got[1]
+    assert (r["title"], r["doi"], r["authors"], r["text"], r["n_images"], r["n_links"]) == ("T & U", "10.1/x", ["Ana"], "one two", 1, 4)
+    assert [tuple(x) for x in r["links"]] == [("go", "https://e.org/a")] and r["headings"] == ["H", "I J"] and [tuple(x) for x in r["outline"]] == [(1, "H"), (2, "I J")]
+    assert got[2]["text"] == "" and got[2]["links"] == [] and got[3]["n_links"] == 1
 
 
 def test_search_cascade():

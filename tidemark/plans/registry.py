@@ -388,7 +388,60 @@ def grounded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question with the pages that are grounded in it."""
     from tidemark.operators.grounding import grounded_pages as pages
 
-    return pages(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q"), _pages(spark, sf_dir))
+    found = pages(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q"), _pages(spark, sf_dir))
+    return found.selectExpr("question_id", "id", "round(specificity, 9) AS specificity", *(f"CAST({c} AS INT) AS {c}" for c in ("matched_groups", "matched_terms", "total_groups")), "memorial")
+
+
+def _grounded_of_all_pairs() -> str:
+    """DuckDB's answer to grounded_pages by judging every question with every page."""
+    from tidemark.functions import lexicons as L
+    from tidemark.operators import grounding as G
+
+    d = DUCK
+    questions = S.questions(d)
+    memorial, grounded = G.rules()
+    found = lambda texts, most, extra: f"lower({T.normalize_whitespace(d, f"concat_ws(' ', {texts}, left(text, {most}){extra})")})"
+    years = lambda *rules: f"list_filter(list_transform({d.concat(*(d.extract_all('low', p, g) for p, g in rules))}, lambda y: try_cast(y AS INT)), lambda y: y IS NOT NULL)"
+    places = lambda column: "list_filter([" + ", ".join(d.lit(x) for x in G.PLACES) + f"], lambda x: contains({column}, x))"
+    cities = "[" + ", ".join(d.lit(x) for x in L.BOSNIA_TOP_FOUR_CITY_TERMS) + "]"
+    asked = f"SELECT i.id AS question_id, {T.specific_terms(d, 'i.query')} AS terms, i.q AS low_query, is_media_query, is_event_query FROM {Q.intent(d, questions)} i"
+    groups = f"SELECT id AS question_id, list(string_split(terms, ' ')) AS groups FROM {A.anchor_groups(d, questions)} a GROUP BY id"
+    told = f"SELECT a.*, coalesce(g.groups, []) AS groups, y.* EXCLUDE (id, places), string_split(y.places, '|') AS places, {d.any_in('low_query', A.YEAR_QUESTIONS)} AS year_question, {d.any_in('low_query', G.ASKED_YEARS)} AS asked_year, {d.contains('low_query', 'former yugoslavia')} AS former FROM a LEFT JOIN g USING (question_id) JOIN {A.year_questions(d, questions)} y ON y.id = a.question_id"
+    texts = f"SELECT id, lower(url) AS low_url, lower(concat_ws(' ', {T.normalize_whitespace(d, 'title')}, url)) AS head, {found('title, url', G.FRONT, '')} AS low, {found('title', G.MEMORIAL_FRONT, '')} AS near, {found('url, title', G.BIOGRAPHY_FRONT, '')} AS life FROM {S.pages(d)} p"
+    phrases = f"SELECT id, coalesce(nullif(title_phrase, ''), {T.normalize_whitespace(d, 'title')}) AS phrase FROM {P.title_phrases(d, S.pages(d))} t"
+    marks = {
+        "build_years": years((G.BUILT, 1), (G.BUILT, 2)), "birth_years": years((G.BORN[0], 1), (G.BORN[1], 1)), "yugoslav": d.any_in("low", L.YUGOSLAV_HINTS), "trusted": d.any_in("low_url", L.MEMORIAL_SOURCE_HINTS),
+        "places_in": places("low"), "places_in_head": places("head"), "year_in": d.matches("low", T.YEAR), "old_year_in": d.matches("low", r"\b19(?:[0-5]\d|6\d)\b"), "memorial_evidence": d.any_in("low", L.MEMORIAL_EVIDENCE_HINTS),
+        "memorial_page": d.any_in("low", L.MEMORIAL_PAGE_HINTS), "casualties": d.any_in("low", L.CASUALTY_HINTS), "memorial_head": d.any_in("head", L.MEMORIAL_TITLE_HINTS), "artist_in": d.any_in("low", L.MEMORIAL_ARTIST_HINTS),
+        "biography": f"NOT {d.any_in('lower(phrase)', L.MEMORIAL_PAGE_HINTS)} AND phrase <> '' AND {T.plausible_person_name(d, 'phrase')} AND ({d.any_in('life', L.PERSON_BIOGRAPHY_HINTS)} OR contains(low_url, 'wikipedia.org/wiki/'))",
+    }
+    words = lambda column: f"regexp_extract_all({column}, '[A-Za-z0-9][A-Za-z0-9''-]*')"
+    pages = f"SELECT t.*, h.phrase, f.* EXCLUDE (id), {', '.join(f'{sql} AS {name}' for name, sql in marks.items())}, {words('low')} AS low_words, {words('near')} AS near_words FROM t JOIN h USING (id) JOIN (SELECT * EXCLUDE (url, title, text, low_url) FROM {P.features(d, S.pages(d))} e) f USING (id)"
+
+    def figures(column: str, prefix: str) -> str:
+        hits, long = f"len(list_filter(terms, lambda t: list_contains({column}_words, t)))", f"len(list_filter(list_slice(terms, 1, 4), lambda t: length(t) >= 6 AND contains({column}, t)))"
+        counts = f"list_filter(list_transform(groups, lambda g: [len(list_filter(g, lambda t: contains({column}, t))), least(2, len(g))]), lambda c: c[1] >= c[2])"
+        return f"CASE WHEN len(terms) > 0 THEN least(1.0, CAST({hits} AS DOUBLE) / len(terms) + least(0.12, 0.03 * {long})) ELSE 0.0 END AS {prefix}specificity, {counts} AS {prefix}counts"
+
+    summed = ", ".join(f"len({p}counts) AS {p}matched_groups, coalesce(list_sum(list_transform({p}counts, lambda c: c[1])), 0) AS {p}matched_terms" for p in ("", "near_"))
+    structure = {
+        "score": "0.26 * CAST(c1 AS INT) - 0.42 * CAST(c2 AS INT) + 0.22 * CAST(c3 AS INT) - 0.32 * CAST(c4 AS INT) + 0.14 * CAST(c5 AS INT) + 0.08 * CAST(trusted AS INT)",
+        "matches": "CAST(c1 AS INT) + CAST(c3 AS INT) + CAST(c5 AS INT)", "contradictions": "CAST(c2 AS INT) + CAST(c4 AS INT)",
+    }
+    conditions = {
+        "c1": "len(list_filter(build_years, lambda y: y < build_cutoff)) > 0", "c2": "len(build_years) > 0 AND list_min(build_years) >= build_cutoff", "c3": "list_contains(birth_years, birth_year)",
+        "c4": "birth_year IS NOT NULL AND len(birth_years) > 0 AND NOT list_contains(birth_years, birth_year)", "c5": "former AND yugoslav",
+    }
+    hits = f"list_has_any(places, places_in) AS place_hit, list_has_any(places, places_in_head) AS place_in_head, top_city AND list_has_any({cities}, places_in) AS city_hit, list_has_any({cities}, places_in_head) AS city_in_head"
+    parts = [
+        f"a AS ({asked})", f"g AS ({groups})", f"q AS ({told})", f"t AS ({texts})", f"h AS ({phrases})", f"p AS ({pages})",
+        f"x AS (SELECT *, {figures('low', '')}, {figures('near', 'near_')}, len(groups) AS total_groups, {hits}, {', '.join(f'coalesce({sql}, false) AS {name}' for name, sql in conditions.items())} FROM q CROSS JOIN p)",
+        f"s AS (SELECT *, {summed}, {', '.join(f'{sql} AS structural_{name}' for name, sql in structure.items())} FROM x)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT question_id, id, round(CAST(specificity AS DOUBLE), 9) AS specificity, CAST(matched_groups AS INT) AS matched_groups, CAST(matched_terms AS INT) AS matched_terms, CAST(total_groups AS INT) AS total_groups, {memorial} AS memorial FROM s WHERE {grounded}"
+
+
+ORACLES["grounded_pages"] = _grounded_of_all_pairs()
 
 
 @plan_query
@@ -423,12 +476,12 @@ def standing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["standing_answers"] = f"""WITH RECURSIVE c AS ({CANDIDATES} {S.hits(DUCK)} h),
-best AS (SELECT query_id, 0::BIGINT AS at, 0::BIGINT AS hop, '' AS answer, 0e0 AS confidence, 0e0 AS score FROM c GROUP BY query_id
+best AS (SELECT query_id, 0::BIGINT AS nth, 0::BIGINT AS hop, '' AS answer, 0e0 AS confidence, 0e0 AS score FROM c GROUP BY query_id
   UNION ALL SELECT query_id, n, CASE WHEN adopt THEN n ELSE hop END, CASE WHEN adopt THEN a ELSE answer END, CASE WHEN adopt THEN f ELSE confidence END, CASE WHEN adopt THEN s ELSE score END FROM (
     SELECT best.*, c.hop AS n, c.answer AS a, c.confidence AS f, c.score AS s,
       c.answer <> '' AND (best.answer = '' OR (best.confidence < 0.85 AND CASE WHEN lower(c.answer) = lower(best.answer) THEN c.score >= best.score - 0.02 AND c.confidence >= best.confidence ELSE c.score > best.score + 0.05 END)) AS adopt
-    FROM best JOIN c ON c.query_id = best.query_id AND c.hop = best.at + 1))
-SELECT query_id, CAST(hop AS INT) AS hop, answer, confidence, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at DESC) AS last FROM best) WHERE last = 1 AND answer <> ''"""
+    FROM best JOIN c ON c.query_id = best.query_id AND c.hop = best.nth + 1))
+SELECT query_id, CAST(hop AS INT) AS hop, answer, confidence, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth DESC) AS last FROM best) WHERE last = 1 AND answer <> ''"""
 
 
 @plan_query

@@ -1,26 +1,23 @@
-"""HTML pages: main text, metadata and links, parsed in Arrow batches with the standard parser."""
+"""HTML pages: elements by the standard parser in Arrow batches, and what the engine keeps of them by array functions."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-SCHEMA = (
-    "id long, url string, text string, title string, doi string, authors array<string>, headings array<string>, links array<struct<text:string,url:string>>,"
-    " description string, keywords string, og_title string, og_description string, lead string, outline array<struct<level:int,text:string>>, n_links int, n_images int"
-)
-_ARROW = pa.schema(
-    [
-        ("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("title", pa.string()), ("doi", pa.string()), ("authors", pa.list_(pa.string())), ("headings", pa.list_(pa.string())),
-        ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())]))), ("description", pa.string()), ("keywords", pa.string()), ("og_title", pa.string()),
-        ("og_description", pa.string()), ("lead", pa.string()), ("outline", pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())]))), ("n_links", pa.int32()), ("n_images", pa.int32()),
-    ]
-)
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.functions.dialect import SPARK
+
+#: A page as its elements: the text of each (pieces joined by blanks; as it stands), and where a link leads.
+ELEMENTS = "id long, url string, elements array<struct<tag:string,text:string,raw:string,href:string,target:string>>, metas array<struct<name:string,property:string,itemprop:string,content:string>>, images int"
+_ELEMENT = pa.list_(pa.struct([(k, pa.string()) for k in ("tag", "text", "raw", "href", "target")]))
+_META = pa.list_(pa.struct([(k, pa.string()) for k in ("name", "property", "itemprop", "content")]))
+_ARROW = pa.schema([("id", pa.int64()), ("url", pa.string()), ("elements", _ELEMENT), ("metas", _META), ("images", pa.int32())])
 # Meta names, and limits of what is kept of a page.
 AUTHOR_NAMES = frozenset(["citation_author", "dc.creator", "author"])
 DOI_NAMES = frozenset(["citation_doi", "dc.identifier", "dc.identifier.doi", "prism.doi", "doi"])
@@ -69,69 +66,75 @@ class _Page(HTMLParser):
                     pieces.append(data)
 
 
-def _tight(pieces: list[str]) -> str:
-    return " ".join(x for p in pieces if (x := p.strip()))
-
-
-def normalized_lines(text: str) -> str:
-    lines = (" ".join(line.split()) for line in text.replace("\r", "\n").split("\n"))
-    return "\n".join(line for line in lines if line)
-
-
-def parse_page(html: str | None, url: str | None) -> dict:
-    """What the engine keeps of one page. Null HTML is an empty page."""
+def page_elements(html: str | None, url: str | None) -> dict:
+    """The elements of one page. Null HTML is an empty page; a link that can't be resolved leads nowhere."""
     page = _Page()
     page.feed(html or "")
     page.close()
-    url = url or ""
-    of = lambda *tags: [(t, a, p) for t, a, p in page.elements if t in tags]
-    meta = {}
-    authors: list[str] = []
-    for m in page.metas:
-        key = (m.get("name") or m.get("property") or m.get("itemprop") or "").strip().lower()
-        value = m.get("content", "").strip()
-        if key and value:
-            if key in AUTHOR_NAMES:
-                authors += [value] if value not in authors else []
-            elif key in DOI_NAMES:
-                meta["doi"] = value
-    named = lambda kind, name: next((m["content"].strip() for m in page.metas if m.get(kind) == name and m.get("content")), "")
-    links, seen = [], set()
-    for _, a, pieces in [x for x in of("a") if "href" in x[1]][:MAX_ANCHORS]:
-        href, text = a["href"].strip(), _tight(pieces)
-        if href and text and not href.startswith(("#", "javascript:", "mailto:")):
-            target = urljoin(url, href)
-            if (key := (target.lower(), text.lower())) not in seen:
-                seen.add(key)
-                links.append({"text": text, "url": target})
-    title = next((_tight(p) for _, _, p in of("title")), "")
-    outline = [{"level": k, "text": "".join(p).strip()} for k in range(1, 7) for _, _, p in of(f"h{k}")]
-    return {
-        "url": url,
-        "text": normalized_lines("\n".join(x for _, _, p in of("p", "li")[:MAX_BLOCKS] if (x := _tight(p)))),
-        "title": title,
-        "doi": meta.get("doi", ""),
-        "authors": authors,
-        "headings": [_tight(p) for k in range(1, 5) for _, _, p in of(f"h{k}")[:MAX_HEADINGS]],
-        "links": links[:MAX_LINKS],
-        "description": named("name", "description"),
-        "keywords": named("name", "keywords"),
-        "og_title": named("property", "og:title"),
-        "og_description": named("property", "og:description"),
-        "lead": " ".join("".join(p).strip() for _, _, p in of("p")[:LEAD_PARAGRAPHS])[:LEAD_CHARS],
-        "outline": outline[:MAX_OUTLINE],
-        "n_links": len(of("a")),
-        "n_images": page.images,
-    }
 
+    def target(href: str) -> str:
+        try:
+            return urljoin(url or "", href.strip())
+        except ValueError:
+            return ""
 
-def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """The parsed form of pages (key, url, html)."""
+    rows = [{"tag": tag, "text": " ".join(x for p in pieces if (x := p.strip())), "raw": "".join(pieces).strip(), "href": attrs.get("href"), "target": target(attrs["href"]) if "href" in attrs else None} for tag, attrs, pieces in page.elements]
+    return {"url": url or "", "elements": rows, "metas": page.metas, "images": page.images}
+
+
+def elements(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The elements of pages (key, url, html)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                rows = [{"id": r["id"], **parse_page(r["html"], r["url"])} for r in batch.slice(at, 500).to_pylist()]
+                rows = [{"id": r["id"], **page_elements(r["html"], r["url"])} for r in batch.slice(at, 500).to_pylist()]
                 yield from pa.Table.from_pylist(rows, _ARROW).to_batches()
 
-    return pages.selectExpr(f"{key} AS id", "url", "html").mapInArrow(work, SCHEMA)
+    return pages.selectExpr(f"{key} AS id", "url", "html").mapInArrow(work, ELEMENTS)
+
+
+def _of(*tags: str) -> Column:
+    return F.filter("elements", lambda e: e["tag"].isin(*tags))
+
+
+def _texts(rows: Column, part: str = "text") -> Column:
+    return F.transform(rows, lambda e: e[part])
+
+
+def _meta(kind: str, name: str) -> Column:
+    """The first content that a meta element of a name has."""
+    found = F.filter("metas", lambda m: (m[kind] == name) & (F.trim(m["content"]) != ""))
+    return F.coalesce(F.trim(F.get(found, F.lit(0))["content"]), F.lit(""))
+
+
+def _said(names: frozenset) -> Column:
+    """The contents of the meta elements that go by one of the names."""
+    key = lambda m: F.lower(F.trim(F.coalesce(*(F.nullif(m[k], F.lit("")) for k in ("name", "property", "itemprop")), F.lit(""))))
+    return F.filter(F.transform(F.filter("metas", lambda m: key(m).isin(*sorted(names))), lambda m: F.trim(m["content"])), lambda x: x != "")
+
+
+def _links() -> Column:
+    """The first different links that lead somewhere and say something."""
+    follows = lambda e: (F.trim(e["href"]) != "") & (e["text"] != "") & ~F.trim(e["href"]).rlike("^(?:#|javascript:|mailto:)")
+    told = F.transform(F.filter(F.slice(F.filter(_of("a"), lambda e: e["href"].isNotNull()), 1, MAX_ANCHORS), follows), lambda e: F.struct(e["text"].alias("text"), e["target"].alias("url")))
+    same = lambda x: F.struct(F.lower(x["url"]), F.lower(x["text"]))
+    first = lambda every: F.filter(every, lambda x, k: F.array_position(F.transform(every, same), same(x)) == k + 1)
+    return F.slice(F.get(F.transform(F.array(told), first), F.lit(0)), 1, MAX_LINKS)
+
+
+def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """What the engine keeps of pages (key, url, html)."""
+    rows = elements(pages, key).withColumn("blocks", F.array_join(F.filter(_texts(F.slice(_of("p", "li"), 1, MAX_BLOCKS)), lambda x: x != ""), "\n"))
+    heads = F.concat(*(_texts(F.slice(_of(f"h{k}"), 1, MAX_HEADINGS)) for k in range(1, 5)))
+    outline = F.slice(F.concat(*(_outlined(k) for k in range(1, 7))), 1, MAX_OUTLINE)
+    return rows.select(
+        "id", "url", F.expr(T.normalize_document_text(SPARK, "blocks")).alias("text"), F.coalesce(F.get(_texts(_of("title")), F.lit(0)), F.lit("")).alias("title"),
+        F.coalesce(F.try_element_at(_said(DOI_NAMES), F.lit(-1)), F.lit("")).alias("doi"), F.array_distinct(_said(AUTHOR_NAMES)).alias("authors"), heads.alias("headings"), _links().alias("links"),
+        _meta("name", "description").alias("description"), _meta("name", "keywords").alias("keywords"), _meta("property", "og:title").alias("og_title"), _meta("property", "og:description").alias("og_description"),
+        F.left(F.array_join(_texts(F.slice(_of("p"), 1, LEAD_PARAGRAPHS), "raw"), " "), F.lit(LEAD_CHARS)).alias("lead"), outline.alias("outline"), F.size(_of("a")).alias("n_links"), F.col("images").alias("n_images"),
+    )
+
+
+def _outlined(level: int) -> Column:
+    return F.transform(_of(f"h{level}"), lambda e: F.struct(F.lit(level).alias("level"), e["raw"].alias("text")))
