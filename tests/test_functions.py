@@ -107,14 +107,29 @@ def test_lexical_relevance_agrees_with_the_kernel(spark):
     assert got[0] > 0.6 and got[1:] == [0.0, 0.0, pytest.approx(0.3 * O.ratio("blue", "red"))]
 
 
-def test_pagerank_edges():
-    relevance, now, final, used = pagerank.rank_request("", ["a", "b", "c"], ["x y z", "x y z", ""], np.array([1.0, 0.0, 0.0]))
-    assert np.isclose(now.sum(), 1) and (final == now).all() and now.argmax() == 0
+def test_pagerank_edges(spark):
+    rows = [(1, k, None, "", t, c, p) for k, (t, c, p) in enumerate([("a", "x y z", 1.0), ("b", "x y z", 0.0), ("c", "", None)])] + [(2, 0, None, None, None, None, None)]
+    got = {(r["request_id"], r["pos"]): r for r in pagerank.pagerank_rerank(spark.createDataFrame(rows, "request_id long, pos int, id string, query string, title string, content string, prior double")).collect()}
+    assert [got[1, k]["relevance"] for k in range(3)] == [1, 0, 0] and abs(sum(got[1, k]["pagerank"] for k in range(3)) - 1) < 1e-9
+    assert got[1, 0]["rank"] == 1 and got[1, 2]["id"] == "doc-2" and got[2, 0]["pagerank"] == 1
     assert pagerank.ranks(np.zeros((1, 1)), np.ones(1))[0].tolist() == [1.0]
     assert pagerank.scaled(np.array([2.0, 2.0])).tolist() == [1, 1] and pagerank.scaled(np.zeros(2)).tolist() == [0, 0]
     assert pagerank.distribution(np.zeros(2), np.zeros(2)).tolist() == [0.5, 0.5]
 
 
+def test_pagerank_equals_all_pairs(spark):
+    texts = ["amber lanterns burn in the harbour", "harbour lanterns burn 12 nights", "the fish market opens at dawn", "lantern makers of the harbour town", ""]
+    rows = [(q, k, None, "amber harbour lanterns", f"Title {k}", t, 0.5) for q in (1, 2) for k, t in enumerate(texts[: 3 + q])]
+    got = {(r["request_id"], r["pos"]): r["pagerank"] for r in pagerank.pagerank_rerank(spark.createDataFrame(rows, "request_id long, pos int, id string, query string, title string, content string, prior double")).collect()}
+    for q in (1, 2):
+        views = [TextView(f"{r[4]} {r[5]}") for r in rows if r[0] == q]
+        weights = np.array([[0.0 if a == b else views[b].similarity(views[a]) for a in range(len(views))] for b in range(len(views))])
+        asked = TextView("amber harbour lanterns")
+        told = np.array([min(1.0, 0.55 * asked.lexical(v) + 0.3 * asked.specificity(v) + 0.15 * asked.lexical(TextView(f"Title {k}"))) for k, v in enumerate(views)])
+        want = pagerank.ranks(weights, pagerank.distribution(told, np.full(len(views), 0.5)))[0]
+        assert np.allclose([got[q, k] for k in range(len(views))], want)
+
+
 def test_pagerank_ranks_the_topic_first(spark):
     rows = [(1, 0, None, "red lamps", "Fish", "fish swim in the sea", 0.9), (1, 1, "b", "red lamps", "Red lamps", "how red lamps glow", 0.1)]
     got = {r["id"]: r for r in pagerank.pagerank_rerank(spark.createDataFrame(rows, "request_id long, pos int, id string, query string, title string, content string, prior double")).collect()}

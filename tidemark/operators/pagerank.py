@@ -1,15 +1,20 @@
 """Query-aware PageRank over the documents of a request.
 
-The graph is dense and belongs to one request, so requests are the unit of distribution: one grouped kernel each.
-A request is as large as what one client sends; requests never share a group."""
+What costs is to compare texts, so every ordered pair of a request's documents is a row, dealt out whichever request it
+is of; the matcher runs over batches of rows. The walk over a request's edges takes numbers alone, one kernel a request.
+A request is as large as what one client sends."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from tidemark.functions import similarity as S
 from tidemark.functions.similarity import TextView
+from tidemark.operators.staging import kept
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 50, 1e-6
 GRAPH_CHARS, TEXT_CHARS = 2500, 6000
@@ -47,44 +52,51 @@ def ranks(weights: np.ndarray, teleport: np.ndarray) -> tuple[np.ndarray, int]:
     return now, used
 
 
-def _text(title: str, content: str, most: int) -> str:
-    return f"{title} {TextView(content).text[:most]}".strip()
-
-
-def rank_request(query: str, titles: list[str], contents: list[str], priors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Relevance, PageRank, final scores and rounds of the documents of one request."""
-    n = len(titles)
-    graph = [TextView(_text(t, c, GRAPH_CHARS)) for t, c in zip(titles, contents)]
-    weights = np.zeros((n, n))
-    for a in range(n):
-        for b in range(n):
-            if a != b:
-                # each direction is computed: the matcher's ratio depends on which text comes first
-                weights[b, a] = graph[b].similarity(graph[a])
-    asked = TextView(query)
-    if asked.text:
-        relevance = np.zeros(n)
-        for k, (t, c) in enumerate(zip(titles, contents)):
-            body, title = TextView(_text(t, c, TEXT_CHARS)), TextView(t)
-            if body.text:
-                relevance[k] = min(1.0, 0.55 * asked.lexical(body) + 0.3 * asked.specificity(body) + 0.15 * (asked.lexical(title) if title.text else 0))
-    else:
-        relevance = priors.copy()
-    now, used = ranks(weights, distribution(relevance, priors))
-    final = np.clip(relevance * (0.75 + 0.25 * scaled(now)), 0, 1) if asked.text else now
-    return relevance, now, final, used
+@F.pandas_udf(DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The symmetric similarity of two texts, by pair; a text of a batch is cut into terms once."""
+    views = {t: TextView(t) for t in {*a, *b}}
+    return pd.Series([views[x].similarity(views[y]) for x, y in zip(a, b)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def relevance(query: pd.Series, title: pd.Series, body: pd.Series) -> pd.Series:
+    """How relevant documents are to their request's query; null where there is none."""
+
+    def of(asked: TextView, title: TextView, body: TextView) -> float | None:
+        if not asked.text:
+            return None
+        return min(1.0, 0.55 * asked.lexical(body) + 0.3 * asked.specificity(body) + 0.15 * (asked.lexical(title) if title.text else 0)) if body.text else 0.0
+
+    return pd.Series([of(TextView(q), TextView(t), TextView(c)) for q, t, c in zip(query, title, body)], dtype=float)
 
 
 def pagerank_rerank(documents: DataFrame) -> DataFrame:
-    """Scores of documents (request_id, pos, id, query, title, content, prior); a null id is doc- and the place in the request."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        query = next((q for q in pdf["query"] if q), "")
-        relevance, now, final, used = rank_request(query, [TextView(t).text for t in pdf["title"]], list(pdf["content"]), np.maximum(pdf["prior"].fillna(0).to_numpy(float), 0))
-        place = np.empty(len(pdf), int)
-        place[np.argsort(final, kind="stable")[::-1]] = np.arange(1, len(pdf) + 1)
-        ids = [i if isinstance(i, str) else f"doc-{k}" for k, i in enumerate(pdf["id"])]
-        return pd.DataFrame({"request_id": pdf["request_id"], "pos": pdf["pos"], "id": ids, "relevance": relevance, "pagerank": now, "final_score": final, "iterations": used, "rank": place})
-
-    return documents.groupBy("request_id").applyInPandas(kernel, OUT)
+    """Scores of documents (request_id, pos, id, query, title, content, prior); a null id is doc- and the place in the request.
+
+    A request's query is the first that one of its documents has. Without one, priors are the relevance."""
+    order = Window.partitionBy("request_id").orderBy("pos", "title", "content")
+    text = lambda most: F.trim(F.concat_ws(" ", S.clean(F.col("title")), F.left(S.clean(F.col("content")), F.lit(most))))
+    asked = F.first(F.nullif(S.clean(F.col("query")), F.lit("")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = documents.withColumns({"n": F.row_number().over(order) - 1, "asked": F.coalesce(asked, F.lit("")), "graph": text(GRAPH_CHARS), "prior": F.greatest(F.coalesce("prior", F.lit(0.0)), F.lit(0.0))})
+    rows = kept(rows.withColumn("told", relevance("asked", F.coalesce("title", F.lit("")), text(TEXT_CHARS))).select("request_id", "pos", "id", "n", "graph", "prior", "told", (F.col("asked") != "").alias("is_asked")))
+    one = rows.select("request_id", F.col("n").alias("b"), F.col("graph").alias("text_b"))
+    other = rows.select("request_id", F.col("n").alias("a"), F.col("graph").alias("text_a"))
+    # each direction is computed: the matcher's ratio depends on which text comes first
+    pairs = one.join(other, "request_id").where("a <> b").repartition("request_id", "a", "b")
+    edges = pairs.select(F.col("request_id").alias("of"), "b", "a", likeness("text_b", "text_a").alias("weight"))
+
+    def kernel(docs: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        docs = docs.sort_values("n").reset_index(drop=True)
+        n, priors = len(docs), docs["prior"].to_numpy(float)
+        weights = np.zeros((n, n))
+        weights[links["b"], links["a"]] = links["weight"]
+        told = docs["told"].to_numpy(float) if docs["is_asked"].iloc[0] else priors.copy()
+        now, used = ranks(weights, distribution(told, priors))
+        final = np.clip(told * (0.75 + 0.25 * scaled(now)), 0, 1) if docs["is_asked"].iloc[0] else now
+        place = np.empty(n, int)
+        place[np.argsort(final, kind="stable")[::-1]] = np.arange(1, n + 1)
+        ids = [i if isinstance(i, str) else f"doc-{k}" for k, i in enumerate(docs["id"])]
+        return pd.DataFrame({"request_id": docs["request_id"], "pos": docs["pos"], "id": ids, "relevance": told, "pagerank": now, "final_score": final, "iterations": used, "rank": place})
+
+    return rows.drop("graph").groupBy("request_id").cogroup(edges.groupBy("of")).applyInPandas(kernel, OUT)

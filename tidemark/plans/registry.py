@@ -239,6 +239,20 @@ def _question_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, f"SELECT d.*, a.query FROM ({sql}) d JOIN {asked} a ON a.query_id = d.query_id")
 
 
+def _covering(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """question_id, query and place of the pages (id, url, title, text) that cover each invented question and benchmark item best."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.grounding import asked, coverage, seen
+    from tidemark.operators.staging import kept
+
+    questions, pages = kept(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q WHERE id < 1000000")), kept(_pages(spark, sf_dir))
+    best = Window.partitionBy("question_id").orderBy(F.desc("matched_groups"), F.desc("specificity"), "id")
+    found = coverage(kept(asked(questions)), kept(seen(pages).select("id", "low"))).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    return kept(found.join(questions.withColumnRenamed("id", "question_id"), "question_id").join(pages, "id"))
+
+
 @plan_query
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.sources.html import parse_pages
@@ -255,14 +269,13 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan_query
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query-aware PageRank of the documents of each question, eight at most to a request."""
+    """Query-aware PageRank of the ten pages that cover each invented question and benchmark item best."""
     from pyspark.sql import functions as F
 
     from tidemark.operators.pagerank import pagerank_rerank
 
-    docs = _question_documents(spark, sf_dir)
-    request = (F.col("query_id") * 1000000 + F.floor(F.col("pos") / 120)).cast("long")
-    return pagerank_rerank(docs.select(request.alias("request_id"), "pos", F.lit(None).cast("string").alias("id"), "query", "title", F.left("content", F.lit(600)).alias("content"), F.col("retrieval_score").alias("prior")))
+    found = _covering(spark, sf_dir, 10)
+    return pagerank_rerank(found.select(F.col("question_id").alias("request_id"), F.col("place").alias("pos"), F.col("id").cast("string").alias("id"), "query", "title", F.col("text").alias("content"), F.col("specificity").alias("prior")))
 
 
 @plan_query
@@ -275,12 +288,12 @@ def deduplicated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan_query
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of alike documents of a question, each document beside a copy with two more words; the oracle compares all pairs."""
+    """Pairs of alike pages among all, each page beside a copy with two more words; the oracle compares all pairs."""
     from pyspark.sql import functions as F
 
     from tidemark.operators.documents import near_duplicate_pairs as pairs
 
-    docs = _question_documents(spark, sf_dir)
+    docs = _question_documents(spark, sf_dir).withColumn("query_id", F.lit(0))
     copies = docs.withColumns({"pos": F.col("pos") + 1000000, "content": F.concat("content", F.lit(" lantern beacon"))})
     return pairs(docs.unionByName(copies)).withColumn("jaccard", F.round("jaccard", 9))
 
@@ -288,7 +301,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_pairs() -> str:
     """DuckDB's answer to near_duplicate_pairs by comparing every pair."""
     d = DUCK
-    rows = f"SELECT abs(id) % {len(S.QUESTIONS)} AS query_id, id + 1000 + n * 1000000 AS pos, concat(text, CASE WHEN n = 1 THEN ' lantern beacon' ELSE '' END) AS content FROM {S.pages(d)} p CROSS JOIN (SELECT unnest([0, 1]) AS n) c"
+    rows = f"SELECT 0 AS query_id, id + 1000 + n * 1000000 AS pos, concat(text, CASE WHEN n = 1 THEN ' lantern beacon' ELSE '' END) AS content FROM {S.pages(d)} p CROSS JOIN (SELECT unnest([0, 1]) AS n) c"
     terms = f"SELECT query_id, pos, list_distinct({T.important_terms(d, f'lower({T.normalize_whitespace(d, 'content')})')}) AS terms FROM ({rows}) r"
     shared = "len(list_intersect(a.terms, b.terms))"
     jaccard = f"CAST({shared} AS DOUBLE) / (len(a.terms) + len(b.terms) - {shared})"
@@ -447,19 +460,12 @@ ORACLES["grounded_pages"] = _grounded_of_all_pairs()
 @plan_query
 def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed answer of each invented question and benchmark item, from the six pages that cover it best."""
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from tidemark.operators.answers import extracted
-    from tidemark.operators.grounding import asked, coverage, seen
-    from tidemark.operators.staging import kept
 
-    questions, pages = kept(run_sql(spark, sf_dir, f"SELECT id, query FROM {S.questions(SPARK)} q WHERE id < 1000000")), kept(_pages(spark, sf_dir))
-    best = Window.partitionBy("question_id").orderBy(F.desc("matched_groups"), F.desc("specificity"), "id")
-    found = coverage(kept(asked(questions)), kept(seen(pages).select("id", "low"))).withColumn("place", F.row_number().over(best)).where("place <= 6")
-    rows = found.join(questions.withColumnRenamed("id", "question_id"), "question_id").join(pages, "id")
-    rows = rows.select(F.concat_ws(":", "question_id", "id").alias("id"), F.col("question_id").alias("query_id"), "query", "place", "url", "title", "text", F.col("specificity").alias("rank_score"), F.col("specificity").alias("retrieval_score"))
-    return extracted(kept(rows)).withColumnRenamed("id", "source")
+    rows = _covering(spark, sf_dir, 6).select(F.concat_ws(":", "question_id", "id").alias("id"), F.col("question_id").alias("query_id"), "query", "place", "url", "title", "text", F.col("specificity").alias("rank_score"), F.col("specificity").alias("retrieval_score"))
+    return extracted(rows).withColumnRenamed("id", "source")
 
 
 #: Candidates of answers made of search hits: a hit's clue answers its query, hit by hit.
