@@ -59,6 +59,43 @@ def test_slots_must_agree(spark):
     assert found(docs, benchmark(spark, [(5, item)])) == {(1, 5)}
 
 
+def test_slots_agree_both_ways_and_by_type(spark):
+    numbers = "Take {} red and {} blue stones, add {} more of both and then take {} away again and leave {} in all please"
+    names = "First {} met the baker, then {} met the smith, and then {} met the miller before noon with {} loaves of new bread"
+    items = benchmark(spark, [(5, numbers.format(3, 7, 9, 12, 50)), (6, names.format("Tom", "Tom", "Tom", 4))])
+    texts = [numbers.format(4, 4, 4, 4, 4), numbers.format(8, 17, 2, 33, 61), numbers.format(8, 17, 8, 33, 61), names.format("Bob", "Zed", "Kim", 4), names.format("Bob", "Bob", "Bob", 9), numbers.format(8, 8, 8, 33, 8)]
+    docs = documents(spark, [(k, t, None, None, 1) for k, t in enumerate(texts)])
+    assert found(docs, items) == {(1, 5), (2, 5), (4, 6)}
+
+
+def slots_by_hand(slots):
+    """Whether pairs (slot, type, theirs, ours) agree: in both directions, by type."""
+    for kind in {t for _, t, _, _ in slots}:
+        own = {(s, a, b) for s, t, a, b in slots if t == kind}
+        for side, least in ((1, 0.8), (2, decontamination.APART)):
+            groups = {}
+            for x in own:
+                groups.setdefault(x[side], []).append(x[3 - side])
+            if sum(max(map(g.count, g)) for g in groups.values()) < least * len(own):
+                return False
+    return True
+
+
+def test_slot_agreement_equals_a_loop(spark):
+    import random
+
+    draw = random.Random(7)
+    template = "we saw {} large boats and {} small boats near the old port while {} men sold {} fish to {} women that day"
+    item = [3, 5, 3, 8, 5]
+    docs, want = [], set()
+    for k in range(80):
+        values = [draw.choice((3, 5, 8, 21, 34)) for _ in item]
+        docs.append((k, template.format(*values), None, None, 1))
+        if slots_by_hand([(s, "n", a, b) for s, (a, b) in enumerate(zip(item, values))]):
+            want.add((k, 5))
+    assert 3 < len(want) < 60 and found(documents(spark, docs), benchmark(spark, [(5, template.format(*item))])) == want
+
+
 REPEATED = "The red box holds 52 red balls and 31 blue balls. The old box holds 27 red balls and 96 blue balls. How many red balls are there in all?"
 
 

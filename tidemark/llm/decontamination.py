@@ -2,10 +2,10 @@
 
 Numbers, units after numbers and names inside sentences become typed placeholders. Windows of five template words
 are hashed and joined with the windows of the benchmark items. Every place where a window with slots met is kept;
-its place in the document less that in the item tells the aligned instance. What stood in the slots of an instance
-must map each value of the item to one value of the document, and the best instance of an item counts. So verbatim
-copies and questions with exchanged parameters are found, also where templates repeat, and instances whose slots
-contradict each other don't count.
+its place in the document less that in the item tells the aligned instance. Over the different slots of an instance,
+numbers, units and names each, a value of the item must stand for one value of the document, and values of the item may
+not fall together in the document; the best instance of an item counts. So verbatim copies and questions with exchanged
+parameters are found, also where templates repeat, and instances whose slots contradict each other don't count.
 
 A window with fewer than two literal words is hashed by its own values, so bare tables of numbers aren't
 found as templates.
@@ -27,6 +27,8 @@ from .common import size_checked, staged, text_hash
 
 WIDTH = 5
 COVERAGE = 0.8
+#: The share of an instance's slots of a type whose value in the document no other value of the item has, too.
+APART = 0.5
 #: Up to this many benchmark windows are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 MARK, NUMBER, UNIT, NAME, OPENS = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
@@ -151,13 +153,13 @@ def windows(table: DataFrame, *keys: str, widths: tuple[int, ...] = (WIDTH,)) ->
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_pos, h and item_slots (place in the window and value; null: none) of the benchmark's windows."""
-    none = F.lit(None).cast("array<struct<at:int,value:string>>")
+    """item_id, item_pos, h and item_slots (place in the window, type and value; null: none) of the benchmark's windows."""
+    none = F.lit(None).cast("array<struct<at:int,type:string,value:string>>")
 
     def window(template: Column, plain: Column, i: Column) -> Column:
         def made(w: Column) -> Column:
             at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda j: _slot(F.get(w, j)))
-            values = F.transform(at, lambda j: F.struct(j.alias("at"), F.get(plain, i + j).alias("value")))
+            values = F.transform(at, lambda j: F.struct(j.alias("at"), F.get(w, j).alias("type"), F.get(plain, i + j).alias("value")))
             bare = _bare(w)
             return F.struct(i.alias("item_pos"), F.when(bare, F.xxhash64(F.slice(plain, i + 1, WIDTH))).otherwise(F.xxhash64(w)).alias("h"), F.when(~bare & F.exists(w, _slot), values).otherwise(none).alias("item_slots"))
 
@@ -183,7 +185,8 @@ def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     """doc_id, text_h (see `text_hash`), item_id, n_windows, n_found, coverage and slot_agreement of the rows that hold an item.
 
     A row holds an item if at least `coverage` of the item's windows are in it, counting windows with slots only where
-    the slots agree: each value of the item has one value in the document, in `coverage` of the slots."""
+    the slots agree: in `coverage` of the slots of each type a value of the item has one value in the document, and in APART
+    of them that value is no other's."""
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
     short = [r["n"] for r in items.select(F.size(words(F.col("text"))).alias("n")).where(f"n between 1 and {WIDTH - 1}").distinct().collect()]  # four numbers at most
     item = staged(item_windows(items))
@@ -196,7 +199,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     places = met.groupBy("doc", "item_id").agg(F.collect_set("item_pos").alias("any"), F.collect_set(F.when(F.col("item_slots").isNull(), F.col("item_pos"))).alias("plain"))
     places = places.join(size_checked(size, BROADCAST_ROWS), "item_id").where(F.size("any") >= coverage * F.col("n_windows")).select("doc", "item_id", "n_windows", "plain")
     slotted = staged(met.where(F.col("item_slots").isNotNull()).join(places.select("doc", "item_id", "n_windows"), ["doc", "item_id"]))
-    pairs = F.transform("item_slots", lambda x: F.struct(x["value"].alias("theirs"), F.get("words", x["at"]).alias("ours")))
+    pairs = F.transform("item_slots", lambda x: F.struct((F.col("item_pos") + x["at"]).alias("slot"), x["type"].alias("type"), x["value"].alias("theirs"), F.get("words", x["at"]).alias("ours")))
     slotted = slotted.join(slot_words(rows, slotted.select("doc", "pos")), ["doc", "pos"]).select("doc", "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
     best = instances(slotted, places, coverage)
     found = places.join(best, ["doc", "item_id"], "left").select("doc.doc_id", "doc.text_h", "item_id", "n_windows", F.greatest(F.size("plain"), F.coalesce("with_slots", F.lit(0))).cast("long").alias("n_found"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
@@ -221,8 +224,15 @@ def instances(slotted: DataFrame, places: DataFrame, coverage: float) -> DataFra
     aligned = slotted.join(anchors, ["doc", "item_id", "near"]).where(away <= F.col("n_windows")).groupBy("doc", "item_id", "anchor", "item_pos").agg(F.min_by("pairs", F.struct(away, "shift")).alias("pairs"), F.min(away).alias("away"))
     aligned = aligned.withColumn("form", F.explode(F.when(F.col("away") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     key = ["doc", "item_id", "anchor", "form"]
-    values = aligned.select(*key, F.explode("pairs").alias("pair")).groupBy(*key, "pair.theirs", "pair.ours").agg(F.count(F.lit(1)).alias("n"))
-    agreed = values.groupBy(*key, "theirs").agg(F.max("n").alias("most"), F.sum("n").alias("all")).groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("slot_agreement"))
+    slots = aligned.select(*key, F.explode("pairs").alias("pair")).select(*key, "pair.*").distinct()
+    values = slots.groupBy(*key, "type", "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))
+
+    def settled(side: str, name: str) -> DataFrame:
+        """By type, the share of the slots that have the value which is most frequent beside their value of a side."""
+        most = values.groupBy(*key, "type", side).agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+        return most.groupBy(*key, "type").agg((F.sum("most") / F.sum("all")).alias(name))
+
+    agreed = settled("theirs", "agreement").join(settled("ours", "apart"), [*key, "type"]).groupBy(*key).agg(F.min("agreement").alias("slot_agreement"), F.min("apart").alias("apart"))
     made = aligned.groupBy(*key).agg(F.collect_set("item_pos").alias("at")).join(agreed, key).join(places.select("doc", "item_id", "plain"), ["doc", "item_id"])
-    n = F.when(F.col("slot_agreement") >= coverage, F.size(F.array_union("plain", "at"))).otherwise(0)
+    n = F.when((F.col("slot_agreement") >= coverage) & (F.col("apart") >= APART), F.size(F.array_union("plain", "at"))).otherwise(0)
     return made.select("doc", "item_id", n.alias("with_slots"), "slot_agreement").groupBy("doc", "item_id").agg(F.max(F.struct("with_slots", "slot_agreement")).alias("best")).select("doc", "item_id", "best.*")
