@@ -1,10 +1,13 @@
-"""Candidates that stand, best-first search and the loop of hops against plain loops."""
+"""Candidates that stand, best-first search, similar clues and the loop of hops against plain loops."""
 
 import heapq
 import random
+from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.clues import alike, novel
 from tidemark.operators.frontier import expanded
 from tidemark.plans import research as R
 from tidemark.plans.config import load_config
@@ -71,6 +74,34 @@ def test_best_first_search_equals_a_heap(spark):
     assert max(v[1] for own in got.values() for v in own.values()) == 3
 
 
+def mutated(draw, text):
+    out = list(text)
+    for _ in range(draw.randrange(5)):
+        k = draw.randrange(len(out) + 1)
+        out[k : k + draw.randrange(2)] = draw.choice(("", "x", " ", "é"))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("ratio", [0.85, 0.92])
+def test_similar_clues_equal_all_pairs(spark, ratio):
+    draw = random.Random(11)
+    base = ["".join(draw.choice("abcde é") for _ in range(draw.randrange(1, 40))) for _ in range(60)] + ["a", "ab", "aaaa aaaa", "lamp oil", "Lamp  OIL", "", " "]
+    left, right = ([(draw.randrange(2), k, mutated(draw, draw.choice(base))) for k in range(220)] for _ in range(2))
+    schema = "query_id long, pos long, clue string"
+    got = {(r["query_id"], r["id_a"], r["id_b"]): r["ratio"] for r in alike(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ratio).collect()}
+    fold = lambda t: " ".join(t.split()).lower()
+    want = {(q, i, j): r for q, i, a in left for p, j, b in right if p == q and fold(a) and fold(b) and (r := SequenceMatcher(None, fold(a), fold(b)).ratio()) >= ratio}
+    assert got == want and len(want) > 100
+
+
+def test_new_clues_say_something_else(spark):
+    clues = [(1, 0, "red lamp makers of Oslo"), (1, 1, "Red  lamp makers of oslo"), (1, 2, "harbour lanterns"), (1, 3, "green lamp"), (2, 0, "red lamp makers of Oslo"), (2, 1, " ")]
+    existing = [(1, "the red lamp makers of Oslo"), (1, "green lamp"), (3, "harbour lanterns")]
+    schema = "query_id long, pos long, clue string"
+    got = novel(spark.createDataFrame(clues, schema), spark.createDataFrame(existing, "query_id long, clue string")).collect()
+    assert {(r["query_id"], r["pos"]) for r in got} == {(1, 2), (2, 0)}
+
+
 def test_questions_leave_one_by_one(spark):
     corpus = spark.createDataFrame([(k, None, f"Page {k}", f"filler words number {k} about nothing in particular here") for k in range(12)] + [(99, "https://e.org", "Amber lantern makers", "Amber lantern makers lived in the harbour town and sold lanterns to ships for many years.")], "doc_key long, url string, title string, text string")
     long = "Which amber lantern makers, who lived in the harbour town before 1990, sold lanterns to ships and later moved to Rome in 1995 with their families?"

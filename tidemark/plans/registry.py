@@ -515,6 +515,17 @@ def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded(kept(seeds), links, score, rounds=2, least=0.2).withColumn("score", F.round("score", 9))
 
 
+@plan_query
+def similar_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of questions whose words are alike by the matcher's ratio, 0.85 or more; an equal one of a smaller number stands first."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.clues import alike
+
+    rows = run_sql(spark, sf_dir, f"SELECT 0 AS query_id, id AS pos, query AS clue FROM {S.questions(SPARK)} q")
+    return alike(rows, rows, 0.85).where("id_a < id_b").select("id_a", "id_b", F.round("ratio", 9).alias("ratio"))
+
+
 @plan_query
 def question_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans.clues import question_clues as clues

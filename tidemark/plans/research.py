@@ -16,6 +16,7 @@ from tidemark.functions import questions as Q
 from tidemark.functions import similarity as S
 from tidemark.functions.dialect import SPARK
 from tidemark.operators import documents as O
+from tidemark.operators.clues import novel
 from tidemark.operators.grounding import named
 from tidemark.operators.staging import kept
 from tidemark.plans import clues as C
@@ -114,7 +115,8 @@ def converged(questions: DataFrame, corpus: DataFrame, config: EngineConfig | No
         going = active.join(done, "query_id", "left_anti")
         ends = kept(ends.union(left(done, "sure")).union(left(going.where(F.col("budget") <= hop), "budget")))
         active = kept(going.where(F.col("budget") > hop))
-        frontier = kept(frontier.unionByName(follow_up_clues(best.join(active, "query_id", "left_semi"), config.follow_up_source_docs)))
+        more = follow_up_clues(best.join(active, "query_id", "left_semi"), config.follow_up_source_docs)
+        frontier = kept(frontier.unionByName(novel(more, frontier).select(frontier.columns)))
     none = asked.select("query_id", *(F.lit(None).cast(k).alias(c) for c, k in (("answer", "string"), ("evidence", "string"), ("source", "string"), ("confidence", "double"))))
     answers = none.limit(0) if candidates is None else standing(candidates).select("query_id", "answer", "evidence", "source", "confidence")
     if found is None:
