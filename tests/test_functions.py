@@ -296,12 +296,12 @@ def test_context_documents(spark):
     rows = []
 
     def add(query, pos, url, score, rank, mode, **signals):
-        rows.append((query, pos, url, f"t{pos}", score, rank, mode, *(float(signals.get(n, 0)) for n in names)))
+        rows.append((query, pos, url, f"t{pos}", score, rank, mode, 1 if mode == "multi-hop" else None, *(float(signals.get(n, 0)) for n in names)))
 
     for k, (url, signals) in enumerate([("https://a.org", {}), ("https://www.a.org/", {"paper": 0.9}), ("https://b.org", {"paper": 0.3}), ("https://c.org", {"career": 0.2}), ("https://d.org", {}), ("", {}), ("", {})]):
         for query, mode in ((1, "multi-hop"), (2, "decomposition"), (3, "simple")):
             add(query, k, url, 1 - 0.1 * k, k + 1, mode, **signals)
-    df = spark.createDataFrame(rows, "query_id long, pos int, url string, title string, rank_score double, rank int, mode string, " + ", ".join(f"{n} double" for n in names))
+    df = spark.createDataFrame(rows, "query_id long, pos int, url string, title string, rank_score double, rank int, mode string, primary int, " + ", ".join(f"{n} double" for n in names))
 
     def of(n):
         out = {}
@@ -310,6 +310,6 @@ def test_context_documents(spark):
         return out
 
     assert of(1) == {1: [1], 2: [0], 3: [0]}
-    assert of(3) == {1: [1, 3, 2], 2: [0, 2, 3], 3: [0, 1, 2]}
-    assert of(20) == {1: [1, 3, 2, 4, 5, 6], 2: [0, 2, 3, 4, 5, 6], 3: [0, 1, 2, 3, 4, 5, 6]}
+    assert of(3) == {1: [1, 2, 3], 2: [0, 2, 3], 3: [0, 1, 2]}
+    assert of(20) == {1: [1, 2, 3, 4, 5, 6], 2: [0, 2, 3, 4, 5, 6], 3: [0, 1, 2, 3, 4, 5, 6]}
     assert of(0) == {} and O.context_documents(df.where("false"), 3).count() == 0
