@@ -13,6 +13,8 @@ OFFICIAL = ("official", "tourism", "municipal", "municipality", "province")
 TOP_CITY_PHRASES = ("top 4", "largest cities", "population census")
 YEAR_QUESTIONS = ("what year", "which year", "in what year", "when was", "when did", "dated")
 MEMORIAL_TERMS = ("monument", "memorial", "spomenik", "victims", "loss of lives", "in their honor")
+#: Characters of a document, after its title, in which an institution is looked for.
+INSTITUTION_CHARS = 2500
 LINK_PENALTIES = ("category", "history", "list", "portal", "template")
 
 
@@ -103,7 +105,7 @@ def anchor_groups(d: Dialect, relation: str) -> str:
 def first_answers(d: Dialect, documents: str) -> str:
     """The first document of each question (query_id, place, id, title, text) that names a title, and an institution."""
     titled = P.title_phrases(d, documents)
-    place = d.at(T.institutions(d, "left(text, 3000)"), 1)
+    place = d.at(T.institutions(d, f"concat_ws({d.lit(' ')}, title, left(text, {INSTITUTION_CHARS}))"), 1)
     rows = f"SELECT query_id, place, title_phrase, coalesce({place}, '') AS institution FROM {titled} t"
     best = lambda column: f"SELECT query_id, {column} AS answer FROM (SELECT query_id, {column}, row_number() OVER (PARTITION BY query_id ORDER BY place) AS nth FROM f1 WHERE {column} <> '') x WHERE nth = 1"
     return f"(WITH f1 AS ({rows}) SELECT query_id, 'title' AS answer_type, answer, 0.58e0 AS confidence FROM ({best('title_phrase')}) a UNION ALL SELECT query_id, 'institution', answer, 0.56e0 FROM ({best('institution')}) b)"
