@@ -301,3 +301,19 @@ def test_scores_settle_over_a_chain_of_patterns(spark):
     assert max(abs(score[v] - values[v]) for v in values) < 0.02 and score["v7.0"] > 0.3
     with pytest.raises(RuntimeError):
         pii.scored(spark.createDataFrame(edges, "pattern string, value string, seed boolean"), sweeps=2)
+
+
+def test_pii_looks_for_rare_patterns_only_where_they_stand(spark):
+    """Words that stand before anything leave in a share of the texts; a scan for the rest takes only texts that have them apart."""
+    common = [(k, f"the w{k} the v{k} stays", None, None, 1) for k in range(3000)]
+    rare = [(5000 + k, f"Ticket ΟΔΟΣ(R{k}: and ACCOUNT\nQ{k}7 here", None, None, 1) for k in range(6)]
+    docs = documents(spark, common + rare)
+    many = spark.createDataFrame([("the", 6), ("account", 6), ("οδος(", 6)], "pattern string, n long")
+    assert {r[0] for r in pii.promising(docs, many).collect()} == {"account", "οδος("}
+    known = many.where("pattern <> 'the'").select("pattern")
+    patterns = ["account", "οδος("]
+    assert pii.holding(docs, patterns).count() == len(rare)
+    assert pii.holding(docs, [*patterns, "the"]).count() == len(common) + len(rare)
+    assert pii.words(docs, patterns).count() == 2 * len(rare) and pii.words(docs).count() == 5 * len(common) + 6 * len(rare)
+    found = {(r["pattern"], r["value"]) for r in pii.instances(docs, known).collect()}
+    assert found == {x for k in range(6) for x in (("account", f"Q{k}7"), ("οδος(", f"R{k}"))}

@@ -18,7 +18,8 @@ letter, and an identifier a character that is no letter: words of letters alone
 
 Spans count code points, end exclusive. A scan takes time in proportion to the text: a match of a base expression starts
 only at the start of a run or where the last match ended, which is where a leftmost match starts anyway, and offsets are
-summed in blocks. Contexts, blanks and replacements are cut from pieces of the text, never from the whole of it.
+summed in blocks. Contexts, blanks and replacements are cut from pieces of the text, never from the whole of it. Texts are
+folded whole, not word by word, and where few patterns or values are looked for, texts that have none aren't taken apart.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are found one by one and score as one
 value; a table without seeds gives base columns alone; other columns of the input are ignored."""
@@ -42,6 +43,7 @@ BASE = {
 KINDS = [*BASE, "id"]
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _OPEN, _CLOSE = r"(\[<\"'=:", r",;)\]>"
+OPENING = "([<\"'=:"
 #: A word up to the end of its first token: opening marks, then what stands before closing ones.
 TOKEN = rf"^[{_OPEN}]*+([^\s{_OPEN}{_CLOSE}]++)"
 #: A token inside a word, after one of the opening marks.
@@ -70,6 +72,10 @@ BLOCK = 256
 EXTRA_ROWS = 100_000
 #: Patterns, values or seeds are broadcast up to this many (some 10 MB); beyond it Spark shuffles.
 PATTERN_ROWS = 200_000
+#: Texts are looked through for up to so many patterns, or parts of words, before they are taken apart.
+FEW, FEW_PARTS = 1000, 32
+#: Candidates are counted in a 64th of the texts, those that are left in an eighth, and the rest of them in all.
+SHARES = (64, 8, 1)
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
@@ -161,7 +167,8 @@ def base_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def _folded(text: Column) -> Column:
-    return F.translate(F.lower(text), "0123456789", "9" * 10)
+    """text in lower case with nines for digits. Words of a folded text are the folded words: no blank comes or goes."""
+    return F.regexp_replace(F.lower(text), "[0-9]", "9")
 
 
 def _short(word: Column) -> Column:
@@ -203,15 +210,53 @@ def blanked(text: Column) -> Column:
     return F.when(text.rlike("[@0-9]"), out).otherwise(text)
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """h, i, word, earlier, before and after of every word of the texts: its neighbours, empty if there are none."""
+def words(docs: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+    """h, i, word, earlier, before and after of every word of the texts: its folded neighbours, empty if there are none.
+
+    With patterns, only of words that one of these surrounds or opens."""
     text = F.coalesce("text", F.lit("")).alias("text")
-    texts = docs.select(text).select(F.xxhash64("text").alias("h"), F.regexp_extract_all(blanked(F.col("text")), F.lit(WORD), F.lit(0)).alias("w"))
-    none, all_but = F.array(F.lit("")), lambda n: F.slice("w", F.lit(1), F.greatest(F.size("w") - n, F.lit(0)))
-    each = F.arrays_zip(F.col("w").alias("word"), F.concat(none, none, all_but(2)).alias("earlier"), F.concat(none, all_but(1)).alias("before"), F.slice("w", F.lit(2), F.size("w")).alias("after"))
+    found = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    texts = docs.select(text).select(F.xxhash64("text").alias("h"), blanked(F.col("text")).alias("b")).select("h", found(F.col("b")).alias("w"), found(_folded(F.col("b"))).alias("f"))
+    if patterns is not None:
+        of = lambda k: F.get("f", k)
+        heads, openings = {p.split(f" {BLANK} ")[0].split(" ")[-1] for p in patterns}, [_one_sigma(F.lit(p)) for p in patterns if p[-1] in OPENING]
+        opened = lambda i: F.exists(F.array(*openings), lambda p: _one_sigma(of(i)).contains(p)) if openings else F.lit(False)
+        at = F.when(F.size("f") > 0, F.filter(F.sequence(F.lit(0), F.size("f") - 1), lambda i: of(i - 1).isin(*heads) | opened(i)))
+        at = F.filter(at, lambda i: F.exists(_patterns(of(i - 2), of(i - 1), of(i + 1)), lambda p: p.isin(*patterns)) | opened(i))
+        each = F.transform(at, lambda i: F.struct(i.alias("i"), F.get("w", i).alias("word"), *(F.coalesce(of(i + k), F.lit("")).alias(name) for k, name in ((-2, "earlier"), (-1, "before"), (1, "after")))))
+        return texts.select("h", F.explode(each).alias("x")).select("h", "x.*")
+    none, all_but = F.array(F.lit("")), lambda n: F.slice("f", F.lit(1), F.greatest(F.size("f") - n, F.lit(0)))
+    each = F.arrays_zip(F.col("w").alias("word"), F.concat(none, none, all_but(2)).alias("earlier"), F.concat(none, all_but(1)).alias("before"), F.slice("f", F.lit(2), F.size("f")).alias("after"))
     return texts.select("h", F.posexplode(each).alias("i", "x")).select("h", "i", "x.*")
 
 
+def few(rows: DataFrame, most: int) -> list[str] | None:
+    """The strings of rows (one column), or None if they are more than `most`."""
+    found = [r[0] for r in rows.limit(most + 1).collect()]
+    return found if len(found) <= most else None
+
+
+def _one_sigma(text: Column) -> Column:
+    """A folded text whose sigmas are alike: at the end of a word they have another form, and a part of a word ends anywhere."""
+    return F.regexp_replace(text, "\u03c2", "\u03c3")
+
+
+def holding(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """docs that may have an instance of one of the patterns.
+
+    A word without BLANK stands in the text itself as well. The longest word of a pattern is looked for, or the pattern
+    as a part of the text if it opens a word."""
+    openings = [p for p in patterns if p[-1] in OPENING]
+    longest = {max((w for w in p.split(" ") if BLANK not in w), key=len, default="") for p in patterns if p[-1] not in OPENING}
+    if "" in longest or len(openings) > FEW_PARTS or any(BLANK in p for p in openings):
+        return docs
+    folded = _folded(F.coalesce("text", F.lit("")))
+    has = F.arrays_overlap(F.split(folded, r"\s+", -1), F.array(*map(F.lit, sorted(longest))).cast("array<string>"))
+    for p in openings:
+        has = has | _one_sigma(folded).contains(_one_sigma(F.lit(p)))
+    return docs.where(has)
+
+
 def _first(word: Column) -> Column:
     """The token that a word opens with, without end marks; empty if there is none."""
     return F.regexp_replace(F.regexp_extract(word, TOKEN, 1), ENDS, "")
@@ -235,13 +280,15 @@ def instances(docs: DataFrame, known: DataFrame) -> DataFrame:
     """h, i, at, value and pattern of every token of the texts that a known pattern (column pattern) surrounds.
 
     It starts `at` characters into word i. Base spans are left out: they are instances already."""
-    known, rows = size_checked(staged(known.select("pattern").distinct()), PATTERN_ROWS), words(docs)
+    known = size_checked(staged(known.select("pattern").distinct()), PATTERN_ROWS)
+    marked = known.where(F.col("pattern").rlike(f"[{_OPEN}]$"))
     head = F.substring_index(F.substring_index("pattern", f" {BLANK} ", 1), " ", -1).alias("head")
     heads = size_checked(staged(known.select(head).distinct()), PATTERN_ROWS)
-    around = rows.join(heads, _folded(F.col("before")) == F.col("head"), "left_semi").where(~F.col("word").rlike(f"^[{_OPEN}]"))
-    around = around.select("h", "i", "word", F.explode(_patterns(*(_folded(F.col(k)) for k in ("earlier", "before", "after")))).alias("pattern"))
+    patterns = few(known, FEW)
+    rows = words(docs) if patterns is None else words(holding(docs, patterns), patterns)
+    around = rows.join(heads, F.col("before") == F.col("head"), "left_semi").where(~F.col("word").rlike(f"^[{_OPEN}]"))
+    around = around.select("h", "i", "word", F.explode(_patterns(*map(F.col, ("earlier", "before", "after")))).alias("pattern"))
     around = around.join(known, "pattern", "left_semi").select("h", "i", F.lit(0).cast("long").alias("at"), _first(F.col("word")).alias("value"), "pattern")
-    marked = known.where(F.col("pattern").rlike(f"[{_OPEN}]$"))
     if not marked.isEmpty():
         inner = rows.select("h", "i", "word", F.explode(_inner(F.col("word"))).alias("t")).select("h", "i", "t.at", "t.value", _inside(F.col("word"), F.col("t.at")).alias("pattern"))
         around = around.unionByName(inner.join(size_checked(marked, PATTERN_ROWS), "pattern", "left_semi"))
@@ -252,8 +299,11 @@ def contexts(docs: DataFrame, values: DataFrame) -> DataFrame:
     """The different (pattern, value) of all places where one of the values (column value) stands."""
     first = F.array(F.struct(F.lit(0).cast("long").alias("at"), _first(F.col("word")).alias("value")))
     tokens = F.when(F.col("word").rlike(f"[{_OPEN}]"), F.concat(F.when(F.col("word").rlike(f"^[^{_OPEN}]"), first).otherwise(F.array().cast("array<struct<at:bigint,value:string>>")), _inner(F.col("word")))).otherwise(first)
+    parts = few(values.select("value").distinct(), FEW_PARTS)
+    if parts is not None:  # values have no blanks for spans, so they stand in the texts
+        docs = docs.where(F.exists(F.array(*map(F.lit, parts)).cast("array<string>"), lambda x: F.coalesce("text", F.lit("")).contains(x)))
     found = words(docs).select("word", "earlier", "before", "after", F.explode(tokens).alias("t")).select("*", "t.at", "t.value").join(size_checked(values, PATTERN_ROWS), "value", "left_semi")
-    around = _patterns(*(_folded(F.col(k)) for k in ("earlier", "before", "after")))
+    around = _patterns(*map(F.col, ("earlier", "before", "after")))
     found = found.select("value", F.explode(F.when(F.col("at") == 0, around).otherwise(F.array(_inside(F.col("word"), F.col("at"))))).alias("pattern"))
     return found.where(F.col("pattern").rlike(LETTER)).select("pattern", "value").distinct()
 
@@ -298,9 +348,15 @@ def promising(docs: DataFrame, many: DataFrame) -> DataFrame:
     """The patterns of many (pattern, n good values) that may be admitted, by sketches of how many values they surround.
 
     A pattern is admitted if its good values are at least ADMITTED of all; a sketch is wrong by a twentieth, and counts
-    here only if it is wrong by a half."""
-    about = instances(docs, many).groupBy("pattern").agg(F.approx_count_distinct("value", 0.05).alias("about"))
-    return many.join(about, "pattern", "left").where(F.coalesce("about", F.lit(0)) <= SKETCHED * F.col("n") / ADMITTED).select("pattern")
+    here only if it is wrong by a half. What surrounds too many values in a share of the texts does so in all of them, so
+    words that stand before anything leave early, and only rarer ones are looked for in every text."""
+    for share in SHARES:
+        part = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(share)) == 0) if share > 1 else docs
+        about = instances(part, many).groupBy("pattern").agg(F.approx_count_distinct("value", 0.05).alias("about"))
+        many = staged(many.join(about, "pattern", "left").where(F.coalesce("about", F.lit(0)) <= SKETCHED * F.col("n") / ADMITTED).select("pattern", "n"))
+        if many.isEmpty():
+            break
+    return many.select("pattern")
 
 
 def bootstrapped(docs: DataFrame, given: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame | None:
