@@ -317,3 +317,13 @@ def test_pii_looks_for_rare_patterns_only_where_they_stand(spark):
     assert pii.words(docs, patterns).count() == 2 * len(rare) and pii.words(docs).count() == 5 * len(common) + 6 * len(rare)
     found = {(r["pattern"], r["value"]) for r in pii.instances(docs, known).collect()}
     assert found == {x for k in range(6) for x in (("account", f"Q{k}7"), ("οδος(", f"R{k}"))}
+
+
+def test_few_patterns_are_looked_for_in_their_places(spark):
+    texts = ["wh id-1, the, end", "The, id-2 wh", "wh +1 202 555 0100 the, x", "wh abc,+1 202 555 0100 the, x", "xwh id-3 the,", "wh id-4\tthe,", "call\nno9 id-5", "no8 a wh", "the, wh"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    patterns = [f"wh {pii.BLANK} the,", "call no9"]
+    held = {r["doc_id"] for r in pii.holding(rows, patterns).collect()}
+    assert {0, 2, 3, 5, 6} <= held and not held & {1, 4, 7, 8}
+    known = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    assert {(r["pattern"], r["value"]) for r in pii.instances(rows, known).collect()} == {(patterns[0], "id-1"), (patterns[0], "abc"), (patterns[0], "id-4"), (patterns[1], "id-5")}

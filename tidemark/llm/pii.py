@@ -74,8 +74,8 @@ EXTRA_ROWS = 100_000
 PATTERN_ROWS = 200_000
 #: Texts are looked through for up to so many patterns, or parts of words, before they are taken apart.
 FEW, FEW_PARTS = 1000, 32
-#: Candidates are counted in a 64th of the texts, those that are left in an eighth, and the rest of them in all.
-SHARES = (64, 8, 1)
+#: Candidates are sketched in a 64th of the texts, and those that are left in an eighth; the rest are counted in all.
+SHARES = (64, 8)
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
@@ -241,17 +241,32 @@ def _one_sigma(text: Column) -> Column:
     return F.regexp_replace(text, "\u03c2", "\u03c3")
 
 
+def _in_place(pattern: str) -> str | None:
+    """An expression for the pattern's words in their places, in a text in lower case; None if one of them has a BLANK.
+
+    Blanking joins words of a text only inside a card or a phone number, so other texts have the pattern as it is."""
+    parts = pattern.split(f" {BLANK} ")
+    if len(parts) > 2 or any(BLANK in x for x in parts):
+        return None
+    quoted = [r"\s+".join("[0-9]".join(rf"\Q{x}\E" if x else "" for x in w.split("9")) for w in part.split(" ")) for part in parts]
+    return rf"{quoted[0]}\s+\S" + (rf"++\s+{quoted[1]}(?!\S)" if len(parts) == 2 else "")
+
+
 def holding(docs: DataFrame, patterns: list[str]) -> DataFrame:
     """docs that may have an instance of one of the patterns.
 
-    A word without BLANK stands in the text itself as well. The longest word of a pattern is looked for, or the pattern
-    as a part of the text if it opens a word."""
+    A word without BLANK stands in the text itself as well. Few patterns are looked for word by word (see `_in_place`);
+    of more, the longest word, or the pattern as a part of the text if it opens a word."""
     openings = [p for p in patterns if p[-1] in OPENING]
     longest = {max((w for w in p.split(" ") if BLANK not in w), key=len, default="") for p in patterns if p[-1] not in OPENING}
     if "" in longest or len(openings) > FEW_PARTS or any(BLANK in p for p in openings):
         return docs
-    folded = _folded(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    folded = _folded(text)
     has = F.arrays_overlap(F.split(folded, r"\s+", -1), F.array(*map(F.lit, sorted(longest))).cast("array<string>"))
+    placed = [_in_place(p) for p in patterns if p[-1] not in OPENING]
+    if placed and len(placed) <= FEW_PARTS and None not in placed:
+        has = F.lower(text).rlike(rf"(?<!\S)(?:{'|'.join(placed)})") | ((WORTH["card"](text) | WORTH["phone"](text)) & has)
     for p in openings:
         has = has | _one_sigma(folded).contains(_one_sigma(F.lit(p)))
     return docs.where(has)
@@ -349,9 +364,10 @@ def promising(docs: DataFrame, many: DataFrame) -> DataFrame:
 
     A pattern is admitted if its good values are at least ADMITTED of all; a sketch is wrong by a twentieth, and counts
     here only if it is wrong by a half. What surrounds too many values in a share of the texts does so in all of them, so
-    words that stand before anything leave early, and only rarer ones are looked for in every text."""
+    words that stand before anything leave early, and only rarer ones are looked for in every text. What is left after
+    the last share surrounds about as many times its good values as there are shares, so its values may be shuffled."""
     for share in SHARES:
-        part = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(share)) == 0) if share > 1 else docs
+        part = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(share)) == 0)
         about = instances(part, many).groupBy("pattern").agg(F.approx_count_distinct("value", 0.05).alias("about"))
         many = staged(many.join(about, "pattern", "left").where(F.coalesce("about", F.lit(0)) <= SKETCHED * F.col("n") / ADMITTED).select("pattern", "n"))
         if many.isEmpty():
