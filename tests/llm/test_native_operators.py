@@ -128,6 +128,12 @@ def test_signs_and_windows_of_numbers(spark):
     assert found(docs, benchmark(spark, [(5, QUESTION), (6, bare)])) == {(1, 6), (3, 6), (4, 5)}
 
 
+def test_decontamination_ends_in_a_small_plan(spark):
+    docs, items = read(spark, SF, "documents"), read(spark, SF, "benchmark")
+    plan = decontamination.held_items(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 12
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = benchmark(spark, [(1, "one"), (2, None), (3, ""), (4, "!!!"), (5, "the cat sat on the mat and looked at the moon"), (5, "the cat sat on the mat and looked at the moon"), (6, "123 456"), (None, "a b")])
     got = found(odd, items)

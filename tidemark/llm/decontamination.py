@@ -197,11 +197,11 @@ def held_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     # windows without slots count wherever they are
     met = staged(met.select("doc", "item_id", "item_pos", "item_slots", F.when(F.col("item_slots").isNotNull(), F.col("pos")).alias("pos")).distinct())
     places = met.groupBy("doc", "item_id").agg(F.collect_set("item_pos").alias("any"), F.collect_set(F.when(F.col("item_slots").isNull(), F.col("item_pos"))).alias("plain"))
-    places = places.join(size_checked(size, BROADCAST_ROWS), "item_id").where(F.size("any") >= coverage * F.col("n_windows")).select("doc", "item_id", "n_windows", "plain")
+    places = staged(places.join(size_checked(size, BROADCAST_ROWS), "item_id").where(F.size("any") >= coverage * F.col("n_windows")).select("doc", "item_id", "n_windows", "plain"))
     slotted = staged(met.where(F.col("item_slots").isNotNull()).join(places.select("doc", "item_id", "n_windows"), ["doc", "item_id"]))
     pairs = F.transform("item_slots", lambda x: F.struct((F.col("item_pos") + x["at"]).alias("slot"), x["type"].alias("type"), x["value"].alias("theirs"), F.get("words", x["at"]).alias("ours")))
     slotted = slotted.join(slot_words(rows, slotted.select("doc", "pos")), ["doc", "pos"]).select("doc", "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
-    best = instances(slotted, places, coverage)
+    best = staged(instances(slotted, places, coverage))
     found = places.join(best, ["doc", "item_id"], "left").select("doc.doc_id", "doc.text_h", "item_id", "n_windows", F.greatest(F.size("plain"), F.coalesce("with_slots", F.lit(0))).cast("long").alias("n_found"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"))
     return found.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage).select("doc_id", "text_h", "item_id", "n_windows", "n_found", "coverage", "slot_agreement")
 
@@ -216,16 +216,19 @@ def instances(slotted: DataFrame, places: DataFrame, coverage: float) -> DataFra
 
     An instance is anchored at a shift. It is tried in two forms: the windows at that very shift, and for each window
     of the item the nearest place within the item's length, which bears words put in or left out. with_slots counts
-    the windows found, those without slots among them, and is 0 where no instance's slots agree."""
+    the windows found, those without slots among them, and is 0 where no instance's slots agree.
+
+    What is read more than once is staged: as one plan it would be planned again after each of its exchanges, and fill
+    the driver's memory."""
     slotted = slotted.groupBy("doc", "item_id", "n_windows", "item_pos", "shift").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    slotted = slotted.withColumn("near", F.floor(F.col("shift") / F.col("n_windows")))
+    slotted = staged(slotted.withColumn("near", F.floor(F.col("shift") / F.col("n_windows"))))
     anchors = slotted.select("doc", "item_id", F.col("shift").alias("anchor"), "near").distinct().withColumn("near", F.explode(F.array(*(F.col("near") + k for k in (-1, 0, 1)))))
     away = F.abs(F.col("shift") - F.col("anchor"))
     aligned = slotted.join(anchors, ["doc", "item_id", "near"]).where(away <= F.col("n_windows")).groupBy("doc", "item_id", "anchor", "item_pos").agg(F.min_by("pairs", F.struct(away, "shift")).alias("pairs"), F.min(away).alias("away"))
-    aligned = aligned.withColumn("form", F.explode(F.when(F.col("away") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    aligned = staged(aligned.withColumn("form", F.explode(F.when(F.col("away") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))))
     key = ["doc", "item_id", "anchor", "form"]
     slots = aligned.select(*key, F.explode("pairs").alias("pair")).select(*key, "pair.*").distinct()
-    values = slots.groupBy(*key, "type", "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))
+    values = staged(slots.groupBy(*key, "type", "theirs", "ours").agg(F.count(F.lit(1)).alias("n")))
 
     def settled(side: str, name: str) -> DataFrame:
         """By type, the share of the slots that have the value which is most frequent beside their value of a side."""
