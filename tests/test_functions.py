@@ -1,5 +1,7 @@
 """Functions and operators on hand-made rows with known results."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -313,3 +315,22 @@ def test_context_documents(spark):
     assert of(3) == {1: [1, 2, 3], 2: [0, 2, 3], 3: [0, 1, 2]}
     assert of(20) == {1: [1, 2, 3, 4, 5, 6], 2: [0, 2, 3, 4, 5, 6], 3: [0, 1, 2, 3, 4, 5, 6]}
     assert of(0) == {} and O.context_documents(df.where("false"), 3).count() == 0
+
+
+def test_alike_contents_are_found_without_comparing_all(monkeypatch):
+    draw = random.Random(5)
+    syllables = ("the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "ou", "sti")
+    texts = [" ".join("".join(draw.choice(syllables) for _ in range(draw.randint(1, 3))) for _ in range(draw.choice((0, 3, 60, 300)))) for _ in range(60)]
+    for t in texts[:40]:
+        cut = draw.randint(0, len(t))
+        texts.append(t[:cut] + draw.choice(("", "x", " lantern", "z" * 40)) + t[cut + draw.randint(0, 60) :])
+    views = [O.TextView(t) for t in texts]
+    slow = [next((k for k in range(n) if O.alike(v, views[k]) >= 0.92), n) for n, v in enumerate(views)]
+    compared, alike = [], O.alike
+    monkeypatch.setattr(O, "alike", lambda a, b: compared.append(1) or alike(a, b))
+    contents, fast = O.AlikeContents(0.92), []
+    for n, v in enumerate(views):
+        fast.append(contents.first(v, n))
+        contents.put(v, n)
+    assert fast == slow and any(k < n for n, k in enumerate(slow))
+    assert len(compared) < len(views) * 10
