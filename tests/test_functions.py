@@ -334,3 +334,15 @@ def test_alike_contents_are_found_without_comparing_all(monkeypatch):
         contents.put(v, n)
     assert fast == slow and any(k < n for n, k in enumerate(slow))
     assert len(compared) < len(views) * 10
+
+
+def test_pages_reach_workers_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        rows = spark.range(1200).selectExpr("id AS page_id", "'https://a.org' AS url", "concat('<p>', id, '</p>') AS html").coalesce(1)
+        assert html.elements(rows).count() == 1200
+        assert int(spark.conf.get(name)) <= html.BATCH
+    finally:
+        spark.conf.set(name, before)
