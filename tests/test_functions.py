@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import answers as A
 from tidemark.functions import pages as P
 from tidemark.functions import questions as Q
 from tidemark.functions import ranking as K
@@ -346,3 +347,14 @@ def test_pages_reach_workers_in_small_batches(spark):
         assert int(spark.conf.get(name)) <= html.BATCH
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_questions_terms_and_phrases_are_made_once(spark):
+    # comparing in the sort, and the look for an earlier spelling, made them again for every pair
+    assert T.specific_terms(D, "query").count("regexp_extract_all") == 1
+    assert T.constraint_phrases(D, "query").count("regexp_extract_all") == 5
+    rows = A.anchor_groups(D, "(SELECT 1 AS id, 'Old lamps burn. Bright towers, which shine in Mostar' AS query UNION ALL SELECT 2, 'Lamps burn, and towers shine' UNION ALL SELECT 3, '')")
+    plan = spark.sql(f"SELECT * FROM {rows} a")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") <= 1 and "Join" not in plan
+    got = [tuple(r) for r in spark.sql(f"SELECT * FROM {rows} a ORDER BY id, nth").collect()]
+    assert got == [(1, 1, "lamps burn"), (1, 2, "bright towers mostar shine"), (2, 1, "towers lamps shine burn"), (2, 2, "lamps burn"), (2, 3, "towers shine")]
