@@ -1,5 +1,8 @@
 """Clues and research over a small corpus."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import questions as Q
@@ -8,6 +11,7 @@ from tidemark.functions.dialect import SPARK as D
 from tidemark.plans import clues as C
 from tidemark.plans import research as R
 from tidemark.plans.config import load_config
+from tidemark.sources import search
 from tidemark.sources.relations import QUESTIONS
 
 
@@ -53,3 +57,23 @@ def test_research_finds_the_document_on_the_topic(spark):
     got = R.research(questions, corpus, load_config({"TIDEMARK_MAX_ITERATIONS": "2"})).orderBy("rank").first()
     assert got["doc_key"] == 99 and "lantern" in got["snippet"]
     assert R.research(questions.where(F.lit(False)), corpus).count() == 0
+
+
+def test_corpus_search_equals_a_loop_and_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "CLUE_BLOCK", 3)
+    monkeypatch.setattr(search, "DOCUMENT_BLOCK", 7)
+    draw = random.Random(4)
+    words = [f"word{k}" for k in range(30)]
+    docs = [(k, None, draw.choice(words), " ".join(draw.choices(words, k=draw.randint(0, 9)))) for k in range(60)]
+    clues = [(k % 4, " ".join(draw.choices(words, k=draw.randint(0, 4)))) for k in range(12)] + [(9, "unknown")]
+    found = search.corpus_search(spark.createDataFrame(clues, "query_id long, clue string"), spark.createDataFrame(docs, "doc_key long, url string, title string, text string"), 3)
+    got = {(r["query_id"], r["clue"], r["idx"]): r["doc_key"] for r in found.collect()}
+    terms = {k: {title, *text.split()} for k, _, title, text in docs}
+    df = {w: sum(w in t for t in terms.values()) for w in words}
+    want = {}
+    for q, clue in clues:
+        shared = {k: sorted(t & {*clue.split()}) for k, t in terms.items()}
+        best = sorted((k for k, t in shared.items() if t), key=lambda k: (-round(sum(1 / math.log1p(df[w]) for w in shared[k]), 12), k))
+        want |= {(q, clue, n): k for n, k in enumerate(best[:3])}
+    assert got == want
+    assert "HashAggregate(keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()

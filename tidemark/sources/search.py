@@ -5,13 +5,17 @@ Providers are injected callables, so nothing here opens a connection by itself;
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import similarity as S
+from tidemark.operators.staging import kept
 
 # Where providers keep hits and their parts, and what a used-up quota looks like.
 LAYOUTS = {
@@ -148,17 +152,66 @@ def search_cascade(clues: Iterable[str], providers: dict[str, Callable[[str], li
     raise first if isinstance(first, SearchError) else SearchError("search_pool", str(first))
 
 
+#: Clues and documents that meet in one block, about.
+CLUE_BLOCK, DOCUMENT_BLOCK = 500, 5000
+
+
+def _fields(column: pa.Array) -> list[pa.Array]:
+    """The fields of a column of lists of structs."""
+    inner = column.flatten()
+    return [inner.field(k) for k in range(inner.type.num_fields)]
+
+
 def corpus_search(clues: DataFrame, corpus: DataFrame, top_k: int = 5) -> DataFrame:
     """The top_k corpus documents of each clue by shared terms: an inverted index made by a join on terms.
 
     clues: query_id, clue; corpus: doc_key, url, title, text. Terms are distinct on both sides; weights fall with the
-    number of documents that have a term, and the join is on the term, so no clue meets a document without one."""
-    asked = clues.select("query_id", "clue", F.explode(F.array_distinct(S.terms(F.lower("clue")))).alias("term"))
+    number of documents that have a term. Blocks of clues meet blocks of documents, and of each meeting only a clue's best
+    documents go on: a clue shares some term with most documents, so the pairs are neither rows nor shuffled."""
+    asked = kept(clues.select("query_id", "clue").distinct().withColumn("number", F.monotonically_increasing_id()))
+    wants = asked.select("number", F.explode(F.array_distinct(S.terms(F.lower("clue")))).alias("term"))
+    words = kept(wants.select("term").distinct().withColumn("word", F.monotonically_increasing_id()))
     told = corpus.select("doc_key", F.explode(F.array_distinct(S.terms(F.lower(F.concat_ws(" ", "title", "text"))))).alias("term"))
-    told = told.join(asked.select("term").distinct(), "term", "left_semi")
-    weight = told.groupBy("term").agg((1 / F.log1p(F.count(F.lit(1)).cast("double"))).alias("weight"))
-    scored = asked.join(told, "term").join(weight, "term").groupBy("query_id", "clue", "doc_key").agg(F.sum("weight").alias("score"))
-    order = Window.partitionBy("query_id", "clue").orderBy(F.col("score").desc(), "doc_key")
-    best = scored.withColumn("idx", F.row_number().over(order) - 1).where(F.col("idx") < top_k)
-    total = F.count(F.lit(1)).over(Window.partitionBy("query_id", "clue"))
-    return best.withColumn("retrieval_score", rank_to_score(F.col("idx"), total)).join(corpus, "doc_key").select("query_id", "clue", "idx", "doc_key", "url", "title", "text", "retrieval_score")
+    told = kept(told.join(words, "term").select("doc_key", "word"))
+    weight = told.groupBy("word").agg((1 / F.log1p(F.count(F.lit(1)).cast("double"))).alias("weight"))
+    blocks, c_blocks = max(1, -(-corpus.count() // DOCUMENT_BLOCK)), max(1, -(-asked.count() // CLUE_BLOCK))
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
+    left = wants.join(words, "term").join(weight, "word").groupBy(block("number", c_blocks).alias("of")).agg(F.collect_list(F.struct("number", "word", "weight")).alias("asked"))
+    right = told.where("doc_key IS NOT NULL").groupBy(block("doc_key", blocks).alias("at")).agg(F.collect_list(F.struct("doc_key", "word")).alias("held"))
+    left, right = kept(left.repartitionByRange(min(c_blocks, 100), "of")), kept(right.repartitionByRange(min(blocks, 200), "at"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                number, word, weight = (x.to_numpy() for x in _fields(b.column("asked").slice(k, 1)))
+                keys, held = _fields(b.column("held").slice(k, 1))
+                named, held = pc.dictionary_encode(keys), held.to_numpy()
+                names, of = named.dictionary, named.indices.to_numpy()
+                by_name = np.empty(len(names), np.int64)
+                by_name[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+                order = np.argsort(held, kind="stable")
+                held, of = held[order], of[order]
+                order = np.lexsort((word, number))
+                number, word, weight = number[order], word[order], weight[order]
+                first, last = np.searchsorted(held, word), np.searchsorted(held, word, "right")
+                own, start = np.unique(number, return_index=True)
+                found: list[tuple[int, np.ndarray, np.ndarray]] = []
+                for c, x, y in zip(own.tolist(), start, [*start[1:], len(number)]):
+                    at = np.concatenate([of[i:j] for i, j in zip(first[x:y], last[x:y])])
+                    score = np.bincount(at, np.repeat(weight[x:y], (last - first)[x:y]), minlength=len(names))
+                    least = np.partition(score, -top_k)[-top_k] if len(score) > top_k else 0.0
+                    best = np.flatnonzero((score > 0) & (score >= least))
+                    best = best[np.lexsort((by_name[best], -score[best]))][:top_k]
+                    found.append((c, best, score[best]))
+                if found:
+                    size = [len(best) for _, best, _ in found]
+                    picks = pa.array(np.concatenate([best for _, best, _ in found]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([c for c, _, _ in found], size)), names.take(picks), pa.array(np.concatenate([score for _, _, score in found]))], ["number", "doc_key", "score"])
+
+    kind = corpus.schema["doc_key"].dataType.simpleString()
+    best = left.crossJoin(right).mapInArrow(kernel, f"number long, doc_key {kind}, score double")
+    order = Window.partitionBy("number").orderBy(F.col("score").desc(), "doc_key")
+    best = best.withColumn("idx", F.row_number().over(order) - 1).where(F.col("idx") < top_k)
+    total = F.count(F.lit(1)).over(Window.partitionBy("number"))
+    best = best.withColumn("retrieval_score", rank_to_score(F.col("idx"), total)).join(asked, "number")
+    return best.join(corpus, "doc_key").select("query_id", "clue", "idx", "doc_key", "url", "title", "text", "retrieval_score")
