@@ -94,6 +94,33 @@ def test_similar_clues_equal_all_pairs(spark, ratio):
     assert got == want and len(want) > 100
 
 
+def test_texts_of_few_syllables_seldom_meet_the_matcher(monkeypatch):
+    """All pairs of alike texts are found, also where the matcher starts from rare characters, and few others reach it."""
+    import numpy as np
+
+    from tidemark.operators import clues
+
+    draw = random.Random(5)
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st is ar ing tion ly k w . z".split()
+    base = ["".join(draw.choice([*syllables, " "]) for _ in range(draw.randrange(20, 150))) for _ in range(60)] + ["the of " * 40, "x" * 250, "a"]
+    left, right = ([mutated(draw, mutated(draw, mutated(draw, draw.choice(base)))) or "a" for _ in range(90)] for _ in range(2))
+    want = {(i, j): r for i, a in enumerate(left) for j, b in enumerate(right) if (r := SequenceMatcher(None, a, b).ratio()) >= 0.85}
+    met = []
+
+    class Counting(SequenceMatcher):
+        def ratio(self):
+            met.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(clues, "SequenceMatcher", Counting)
+    for words in (8, 0):  # common subsequences of all pairs together, and one by one
+        met.clear()
+        monkeypatch.setattr(clues, "WORDS", words)
+        got = list(clues.alike_texts(left, right, 0.85, np.ones((90, 90), bool)))
+        assert {(i, j): r for i, j, r in got} == want and len(got) == len(want) > 50
+        assert len(met) < 2 * len(want) < 8100 / 10
+
+
 def test_new_clues_say_something_else(spark):
     clues = [(1, 0, "red lamp makers of Oslo"), (1, 1, "Red  lamp makers of oslo"), (1, 2, "harbour lanterns"), (1, 3, "green lamp"), (2, 0, "red lamp makers of Oslo"), (2, 1, " ")]
     existing = [(1, "the red lamp makers of Oslo"), (1, "green lamp"), (3, "harbour lanterns")]
