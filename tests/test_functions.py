@@ -337,6 +337,34 @@ def test_alike_contents_are_found_without_comparing_all(monkeypatch):
     assert len(compared) < len(views) * 10
 
 
+def test_deduplication_by_links_is_the_greedy_one(spark):
+    """Leaders as a plain loop over all of them finds them; a group's rows hold no contents, and equal texts that the matcher can't start in aren't alike."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice(("the", "er", "on", "qui", "re", "za", "in", "ed", "nd")) for _ in range(draw.randint(1, 3)))
+    texts = [" ".join(word() for _ in range(draw.choice((0, 2, 40, 300)))) for _ in range(25)] + ["of the " * 60, "of the " * 60, "of the " * 60 + "and"]
+    texts += [t[: (cut := draw.randint(0, len(t)))] + draw.choice(("", " lantern", "z" * 30)) + t[cut + draw.randint(0, 90) :] for t in texts for _ in range(2)]
+    rows = [(1 + k % 2, k, f"https://x.org/{draw.randint(0, 90)}", draw.choice(("", "", "A", f"T{k}")), t, "x.org", draw.choice((0.1, 0.5)), [f"c{k % 3}"]) for k, t in enumerate(texts)]
+    want = {}
+    for q in (1, 2):
+        leaders, views = [], {r[1]: O.TextView(r[4]) for r in rows}
+        for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[6], -len(r[4]), -len(r[7]), r[1])):
+            k = next((k for k in leaders if O._url_key(k["url"]) == O._url_key(r[2]) or (r[3] and (r[3].lower(), r[5]) in k["names"]) or O.alike(views[r[1]], views[k["has"]]) >= 0.92), None)
+            if k is None:
+                leaders.append({"pos": r[1], "url": r[2], "has": r[1], "title": r[3], "names": {(r[3].lower(), r[5])}, "merged": 0})
+                continue
+            k["merged"] += 1
+            k["has"] = r[1] if len(r[4]) > len(texts[k["has"]]) else k["has"]
+            if not k["title"] and r[3]:
+                k["title"] = r[3]
+                k["names"].add((r[3].lower(), r[5]))
+        want |= {(q, k["pos"]): (texts[k["has"]], k["title"], k["merged"]) for k in leaders}
+    docs = spark.createDataFrame(rows, "query_id long, pos int, url string, title string, content string, source string, retrieval_score double, matched_clues array<string>")
+    found = O.deduplicate(docs)
+    assert {(r["query_id"], r["pos"]): (r["content"], r["title"], r["merged"]) for r in found.collect()} == want
+    grouped = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "FlatMapCoGroups" in line)
+    assert "content#" not in grouped
+
+
 def test_pages_reach_workers_in_small_batches(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
