@@ -338,7 +338,7 @@ def test_alike_contents_are_found_without_comparing_all(monkeypatch):
 
 
 def test_deduplication_by_links_is_the_greedy_one(spark):
-    """Leaders as a plain loop over all of them finds them; a group's rows hold no contents, and equal texts that the matcher can't start in aren't alike."""
+    """Leaders as a plain loop over all of them finds them; a group's rows hold no contents."""
     draw = random.Random(11)
     word = lambda: "".join(draw.choice(("the", "er", "on", "qui", "re", "za", "in", "ed", "nd")) for _ in range(draw.randint(1, 3)))
     texts = [" ".join(word() for _ in range(draw.choice((0, 2, 40, 300)))) for _ in range(25)] + ["of the " * 60, "of the " * 60, "of the " * 60 + "and"]

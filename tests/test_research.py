@@ -150,3 +150,26 @@ def test_questions_leave_one_by_one(spark):
     assert seen == [{1, 2, 3}, {3}]
     first = {r["query_id"]: r["doc_key"] for r in ranked.where("rank = 1").collect()}
     assert first[1] == first[2] == first[3] == 99
+
+
+def test_two_blocks_meet_once_for_both_ways():
+    """One meeting finds what either block's strings are as the left one, though the matcher isn't symmetric."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.operators import clues
+
+    draw = random.Random(4)
+    left = [" ".join(draw.choice(("amber", "lamp", "of", "the", "quiz", "harbor")) for _ in range(draw.choice((4, 40, 70)))) for _ in range(30)]
+    right = [t[: (cut := draw.randint(0, len(t)))] + draw.choice(("", "x", "the lamp")) + t[cut + draw.randint(0, 12) :] for t in left] + left[:3] + ["of the " * 40]
+    held = lambda texts, first: pa.array([[{"by": 0, "low": t, "least": first + k, "most": first + k} for k, t in enumerate(texts)]])
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    batch = pa.RecordBatch.from_arrays([held(left, 0), held(right, 100), pa.array([True])], ["held", "held_b", "both"])
+    found = {(r["low"], r["low_b"]): r["ratio"] for out in clues._met(0.85, False)([batch]) for r in out.to_pylist()}
+    assert found == {(x, y): r for a, b in ((left, right), (right, left)) for x in a for y in b if (r := ratio(x, y)) >= 0.85} and len(found) > 20
+    once = [(r["low"], r["low_b"]) for out in clues._met(0.85, True)([batch]) for r in out.to_pylist()]
+    assert set(once) == {(x, y) for x in left for y in right if ratio(x, y) >= 0.85}
+    i, j = clues._may_match(left, right, 0.85, np.zeros((len(left), len(right)), bool), True)
+    assert not len(i) and not len(j)
